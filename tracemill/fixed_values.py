@@ -14,6 +14,7 @@ TRACE_INFIX = ".trc"
 
 # --- trace line patterns -----------------------------------------------------
 
+HAS_SESSION = r"(?U)^\s*[^|\s][^|]*\s[^|\s]+\|"
 MTI_LABEL = r"M\.?\s*T\.?\s*I\.?"
 MTI = rf"(?iuU){MTI_LABEL}\s*:+\s*\[?(\d{{3,4}})\]?"
 MTI_START = rf"(?iuU)-\s*{MTI_LABEL}\s*:+\s*\[?(\d{{3,4}})\]?"

@@ -10,7 +10,7 @@ from tracemill.functions.text import blank_to_null, col, extract, join_clauses,
 
 
 def expected_length(attributes: Column | str) -> Column:
-    return F.try_to_number(extract(attributes, fv.EXPECTED_TYPE, 1), F.lit("999999999")).cast("int")
+    return extract(attributes, fv.EXPECTED_TYPE, 1).try_cast("int")
 
 
 def expected_type(attributes: Column | str) -> Column:
@@ -59,6 +59,12 @@ def matches_type(value: Column | str, kind: Column | str) -> Column:
     )
 
 
+def violates(value: Column | str, kind: Column | str, max_length: Column | str) -> Column:
+    """Whether :func:`reasons` has anything to say (no text is built)."""
+    too_long = F.coalesce((col(max_length) > 0) & (F.length(unmasked(value)) > col(max_length)), F.lit(False))
+    return is_missing(value) | ~matches_type(value, kind) | too_long
+
+
 def reasons(value: Column | str, kind: Column | str, max_length: Column | str) -> Column:
     """Why a value does not conform, or null."""
     k, limit = col(kind), col(max_length)

@@ -19,8 +19,10 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Remove every kind of blank at both ends."""
-    return F.btrim(col(c), F.lit(BLANKS))
+    """Remove every kind of blank at both ends (text that begins and ends in plain ASCII is left as it is)."""
+    t = col(c)
+    plain = F.ascii(t).between(33, 126) & F.ascii(F.right(t, F.lit(1))).between(33, 126)
+    return F.when(plain, t).otherwise(F.btrim(t, F.lit(BLANKS)))
 
 
 def blank_to_null(c: Column | str) -> Column:

@@ -13,29 +13,31 @@ def split_line(lines: DataFrame, text: str = "line") -> DataFrame:
     """Add ``session_id, ts_text, level, message``; keep only lines with a session.
 
     The session is the last word directly in front of the first ``|`` and needs at
-    least one word before it.  Blank lines and lines without a session go away.
+    least one word before it.  Blank lines and lines without a session go away, and so
+    do bytes that are not valid UTF-8.
     """
-    line = strip(F.regexp_replace(F.col(text), "�", ""))
+    raw = F.col(text)
+    repaired = F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit(""))
+    line = strip(F.when(F.is_valid_utf8(raw), raw).otherwise(repaired))
     prefix = F.substring_index(F.col("__line"), "|", 1)
     words = F.split(prefix, r"(?U)\s+")
     parts = F.split(F.col("__line"), r"\|", 3)
     first, second, last = F.get("__words", F.lit(0)), F.get("__words", F.lit(1)), F.element_at("__words", -1)
     dated = first.contains("-") | first.contains("/")
     timed = first.contains(":") | second.contains(":")
-    rows = (
-        lines.withColumn("__line", line)
-        .filter(F.contains("__line", F.lit("|")))
-        .withColumns({"__words": words, "__parts": parts})
-        .filter((F.size("__words") >= 2) & (last != ""))
-    )
     kept = [c for c in lines.columns if c != text]
-    return rows.select(
-        *kept,
-        F.col("__line").alias(text),
-        last.alias("session_id"),
-        F.when(timed & dated, F.concat_ws(" ", first, second)).when(timed, first).alias("ts_text"),
-        strip(F.get("__parts", F.lit(1))).alias("level"),
-        strip(F.element_at("__parts", -1)).alias("message"),
+    return (
+        lines.filter(F.contains(raw, F.lit("|")) & F.rlike(raw, F.lit(fv.HAS_SESSION)))
+        .select(*kept, line.alias("__line"))
+        .select(*kept, "__line", words.alias("__words"), parts.alias("__parts"))
+        .select(
+            *kept,
+            F.col("__line").alias(text),
+            last.alias("session_id"),
+            F.when(timed & dated, F.concat_ws(" ", first, second)).when(timed, first).alias("ts_text"),
+            strip(F.get("__parts", F.lit(1))).alias("level"),
+            strip(F.element_at("__parts", -1)).alias("message"),
+        )
     )
 
 

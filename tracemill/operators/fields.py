@@ -107,6 +107,19 @@ def document_definitions(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
+def with_expected_type(definitions: DataFrame) -> DataFrame:
+    """Definitions that state a type: ``expected_type, max_length, expected_type_label`` read from ``attributes`` once.
+
+    Field 52 is left out where it is declared numeric (it holds hexadecimal digits).
+    """
+    typed = definitions.withColumns(
+        {"max_length": cf.expected_length("attributes"), "expected_type": cf.expected_type("attributes")}
+    ).filter(F.col("expected_type").isNotNull())
+    number = "field_key" if "field_key" in definitions.columns else "field_number"
+    strict = typed.filter(~cf.is_exempt(field_key(number), "expected_type"))
+    return strict.withColumn("expected_type_label", cf.type_label("expected_type"))
+
+
 def conformance(fields: DataFrame, reference: DataFrame, chunks: DataFrame | None = None, doc_session: str | None = None) -> DataFrame:
     """Format violations of ``fields`` (any table with ``field_number, value``).
 
@@ -114,7 +127,7 @@ def conformance(fields: DataFrame, reference: DataFrame, chunks: DataFrame | Non
     know are looked up once per distinct number in the document chunks, if given.
     """
     keyed = fields.withColumn("field_key", field_key("field_number"))
-    known = keyed.join(F.broadcast(reference), "field_key", "left")
+    known = keyed.join(F.broadcast(with_expected_type(reference).drop("priority")), "field_key", "left")
     if chunks is not None:
         open_numbers = (
             known.filter(F.col("attributes").isNull())
@@ -122,32 +135,24 @@ def conformance(fields: DataFrame, reference: DataFrame, chunks: DataFrame | Non
             .distinct()
             .withColumn("session_id", F.lit(doc_session))
         )
-        found = document_definitions(open_numbers, chunks).select(
-            "field_number",
-            F.col("field_name").alias("d_name"),
-            F.col("attributes").alias("d_attributes"),
-            F.col("source").alias("d_source"),
+        found = document_definitions(open_numbers, chunks).drop("session_id").withColumns(
+            {
+                "field_name": F.coalesce("field_name", F.concat(F.lit("Field "), "field_number")),
+                "source": F.coalesce("source", F.lit(fv.SESSION_SOURCE)),
+            }
         )
+        columns = [c for c in with_expected_type(found).columns if c != "field_number"]
+        late = with_expected_type(found).select("field_number", *[F.col(c).alias(f"__{c}") for c in columns])
         known = (
-            known.join(found, "field_number", "left")
-            .withColumns(
-                {
-                    "field_name": F.coalesce("field_name", "d_name", F.concat(F.lit("Field "), "field_number")),
-                    "attributes": F.coalesce("attributes", "d_attributes"),
-                    "source": F.coalesce("source", "d_source", F.lit(fv.SESSION_SOURCE)),
-                }
-            )
-            .drop("d_name", "d_attributes", "d_source")
+            known.join(late, "field_number", "left")
+            .withColumns({c: F.coalesce(c, f"__{c}") for c in columns})
+            .drop(*[f"__{c}" for c in columns])
         )
-    typed = known.withColumns(
-        {"max_length": cf.expected_length("attributes"), "expected_type": cf.expected_type("attributes")}
-    ).filter(F.col("expected_type").isNotNull())
-    checked = typed.filter(~cf.is_exempt("field_key", "expected_type")).withColumns(
+    typed = known.filter(F.col("expected_type").isNotNull())
+    bad = typed.filter(cf.violates("value", "expected_type", "max_length")).withColumns(
         {
             "observed_value": cf.observed("value"),
-            "expected_type_label": cf.type_label("expected_type"),
             "non_conformity_type": cf.reasons("value", "expected_type", "max_length"),
         }
     )
-    bad = checked.filter(F.col("non_conformity_type").isNotNull())
-    return bad.withColumn("message", cf.message()).drop("field_key", "priority", "max_length")
+    return bad.withColumn("message", cf.message()).drop("field_key", "max_length")

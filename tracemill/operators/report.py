@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracemill import fixed_values as fv
 from tracemill.functions import report as rp
 from tracemill.functions.text import strip
+from tracemill.functions.trace_line import mask_pan
 from tracemill.operators.ordered import ordered_distinct, ordered_union, top_per_group
 from tracemill.operators.transactions import TX
 
@@ -116,13 +117,16 @@ def enrich_report(report: DataFrame, parsed: DataFrame) -> DataFrame:
     )
 
 
-def transaction_lines(tx: DataFrame, placed: DataFrame, mode: str = "compact") -> DataFrame:
+def transaction_lines(tx: DataFrame, placed: DataFrame, mode: str = "compact", mask: bool = True) -> DataFrame:
     """Text of each transaction as ordered lines (``file_id, tx_no, section, at, text``).
 
     Sections: 0 title, 1 identifiers, 2 response, 3 chronology head, 4 chronology,
     5 alerts, 6 successful functions.  A transaction may have any number of lines; a
-    file is written by sorting on ``(file_id, tx_no, section, at)``.
+    file is written by sorting on ``(file_id, tx_no, section, at)``.  Card numbers are
+    masked unless ``mask`` is off.
     """
+    if mask:
+        tx = tx.withColumn("pan", mask_pan("pan"))
     shown = lambda c: F.coalesce(F.col(c), F.lit(fv.NOT_AVAILABLE))
     mti = F.when(F.col("mti").isNotNull(), F.format_string("MTI %s (%s)", F.col("mti"), F.col("mti_description"))).otherwise("MTI non spécifié")
     kind = "synthétique" if mode == "compact" else "exhaustive"

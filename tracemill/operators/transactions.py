@@ -8,7 +8,7 @@ file by ``(close_key, session_first)``; ``close_key`` is the line that closed it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill import fixed_values as fv
@@ -265,12 +265,20 @@ def merge_roots(tx: DataFrame, split_heartbeats: bool = False, block: int = BLOC
     return merged.unionByName(rest)
 
 
-FOLD = ["target.close_key", "target.session_first", "merged_by_rrn", "close_key", "session_first"]
+def fold_place() -> Column:
+    """Place of a part among the parts of its root: by target, the target before its orphans, then file order."""
+    return F.struct(
+        F.col("target.close_key").alias("target_close"),
+        F.col("target.session_first").alias("target_first"),
+        "merged_by_rrn",
+        "close_key",
+        "session_first",
+    )
 
 
 def fold_merged(rooted: DataFrame) -> DataFrame:
     """One row per root: its own identity, first known RRN and response code, number of merged parts."""
-    place = F.struct(*FOLD)
+    place = fold_place()
     is_root = F.col("me") == F.col("root")
 
     def own(name: str):
@@ -305,7 +313,7 @@ def merge_places(rooted: DataFrame) -> DataFrame:
         *TX,
         F.col("root.session_id").alias("root_session_id"),
         F.col("root.seg").alias("root_seg"),
-        F.struct(*FOLD).alias("place"),
+        fold_place().alias("place"),
     )
 
 

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Methods beyond HotSpot's limit are never compiled; past it Spark uses split projections instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -56,6 +58,16 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least one partition per core.
+
+    Large inputs already come in many splits and pass through unchanged; only an
+    input of fewer splits than cores is redistributed, before CPU-heavy text work.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def bounded_rows(df: DataFrame, limit: int) -> list | None:
     """Rows of ``df`` if there are at most ``limit`` of them, else ``None``.
 
@@ -66,4 +78,4 @@ def bounded_rows(df: DataFrame, limit: int) -> list | None:
     return rows if len(rows) <= limit else None
 
 
-__all__ = ["SETTINGS", "configure", "shared_folder", "stage", "bounded_rows"]
+__all__ = ["SETTINGS", "configure", "shared_folder", "stage", "spread", "bounded_rows"]

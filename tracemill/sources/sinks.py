@@ -36,8 +36,9 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_trace_report(lines: DataFrame, path: str) -> None:
     """Transaction lines as text, one folder per file, in report order."""
-    ordered = lines.repartitionByRange("file_id", "tx_no", "section", "at").sortWithinPartitions("file_id", "tx_no", "section", "at")
-    ordered.select(F.xxhash64("file_id").alias("file"), F.col("text").alias("value")).write.mode("overwrite").partitionBy("file").text(path)
+    order = ["file", "tx_no", "section", "at"]
+    placed = lines.withColumn("file", F.xxhash64("file_id")).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.select("file", F.col("text").alias("value")).write.mode("overwrite").partitionBy("file").text(path)
 
 
 def append_usage(usage: DataFrame, path: str) -> None:

@@ -18,23 +18,15 @@ def is_trace_file(name: Column | str) -> Column:
     return accepted
 
 
-def read_traces(spark: SparkSession, path: str, trace_only: bool = True) -> DataFrame:
-    """``file_id, line_no, line`` of every line (blank ones included) of all files under ``path``.
+def number_lines(raw: DataFrame) -> DataFrame:
+    """``file_id, line_no, line`` of a text scan (``file_id, start, line`` straight from the files).
 
     Files are read in splits.  Inside a split the row id grows by one per line, so a
     line's number is its distance from the split's first row plus the lines of all
     earlier splits of the file; only that small per-split table is ordered, and Spark
     broadcasts it when its measured size allows.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").text(path)
-    rows = raw.select(
-        F.col("_metadata.file_path").alias("file_id"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.col("value").alias("line"),
-        F.monotonically_increasing_id().alias("row_id"),
-    )
-    if trace_only:
-        rows = rows.filter(is_trace_file(F.element_at(F.split("file_id", "/"), -1)))
+    rows = raw.withColumn("row_id", F.monotonically_increasing_id())
     splits = rows.groupBy("file_id", "start").agg(F.min("row_id").alias("first_row"), F.count("*").alias("n"))
     before = Window.partitionBy("file_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
@@ -45,6 +37,22 @@ def read_traces(spark: SparkSession, path: str, trace_only: bool = True) -> Data
     )
 
 
+def text_scan(reader) -> DataFrame:
+    """Batch or streaming text files with their path and the offset of the split each line came from."""
+    return reader.select(
+        F.col("_metadata.file_path").alias("file_id"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.col("value").alias("line"),
+    )
+
+
+def read_traces(spark: SparkSession, path: str, trace_only: bool = True) -> DataFrame:
+    """Numbered lines (blank ones included) of all trace files under ``path``."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    lines = number_lines(text_scan(raw))
+    return lines.filter(is_trace_file(F.element_at(F.split("file_id", "/"), -1))) if trace_only else lines
+
+
 def trace_hints(lines: DataFrame, n: int = fv.TRACE_HINT_LINES) -> DataFrame:
     """First ``n`` lines of each file that look like a trace at all."""
     return top_per_group(lines.filter(looks_like_trace("line")), ["file_id"], [F.col("line_no")], n)
