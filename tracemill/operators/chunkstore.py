@@ -145,7 +145,8 @@ def rebuild_version(stored: DataFrame, new: DataFrame, version: str = fv.CHUNK_V
     """Store after new chunks arrive: files present only in other versions are dropped and rebuilt,
     files of the current version keep what they have, missing chunks are added."""
     files = new.select("file_hash").distinct()
-    stats = hash_stats(stored.join(files, "file_hash", "left_semi"), version)
-    outdated = stats.filter("version_mismatch").select("file_hash")
+    touched = stored.join(files, "file_hash", "left_semi").groupBy("file_hash")
+    current = touched.agg(F.count_if(F.col("chunking_version") == version).alias("n"))
+    outdated = current.filter("n = 0").select("file_hash")
     kept = stored.join(outdated, "file_hash", "left_anti")
     return kept.unionByName(missing_chunks(new, kept), allowMissingColumns=True)
