@@ -116,13 +116,14 @@ def inclusion_notice(blocks: DataFrame, selected: DataFrame, budget: int = fv.CO
     return both.withColumn("notice", F.when(F.col("included") < F.col("total"), part).otherwise(whole))
 
 
-def json_prefix(rows: DataFrame, keys: Sequence[str], position: str, item: Column, cap: int, block: int = BLOCK) -> DataFrame:
+def json_prefix(rows: DataFrame, keys: Sequence[str], order: Sequence[str], item: Column, cap: int, block: int = BLOCK) -> DataFrame:
     """Rows of each group that form the longest prefix whose JSON array stays within ``cap`` characters.
 
-    An array of n items takes the items, ``", "`` between them and two brackets.
+    An array of n items takes the items, ``", "`` between them and two brackets.  The
+    first ``order`` column is a numeric position; further ones break ties.
     """
     sized = rows.withColumn("__size", (F.length(item) + 2).cast("bigint"))
-    total = block_scan(sized, list(keys), [position], position_block(position, block), [Running("json_chars", "sum", "__size")])
+    total = block_scan(sized, list(keys), list(order), position_block(order[0], block), [Running("json_chars", "sum", "__size")])
     return total.filter(F.col("json_chars") <= cap).drop("__size")
 
 

@@ -11,6 +11,7 @@ from tracemill.functions.text import strip
 from tracemill.operators.containment import contains_join
 from tracemill.operators.ordered import top_per_group
 from tracemill.operators.retrieval import command_lookup, first_level, spec_score_topk
+from tracemill.session import stage
 
 SPEC_SOURCE = "spécification des fonctions"
 
@@ -110,33 +111,34 @@ def hsm_documentation(codes: DataFrame, chunks: DataFrame, pages: DataFrame, err
     dictionary entry is always added.
     """
     has_session = "session_id" in codes.columns
-    parsed = parse_hsm_codes(codes, resolved).filter("lookup_key != ''")
+    parsed = stage(parse_hsm_codes(codes, resolved).filter("lookup_key != ''"), "codes")
     lookup_letters = F.when(F.rlike("lookup_key", F.lit("^[A-Z]{2}")), F.left("lookup_key", F.lit(2))).otherwise(F.col("lookup_key"))
     tokens = F.array_distinct(F.array_compact(F.array("response_code", "command_code", lookup_letters)))
     usual = F.array(*[F.lit(c) for c in fv.NUMBER_ONLY_RESPONSES])
     tokens = F.when(F.col("error_number").isNotNull() & F.col("response_code").isNull(), F.array_union(tokens, usual)).otherwise(tokens)
-    asked = parsed.select("query_id", "error_number", *(["session_id"] if has_session else []), F.posexplode(tokens).alias("token_no", "code"))
-    levels = [(1, asked.drop("session_id"))]
-    if has_session:
-        levels.insert(0, (0, asked.filter(strip("session_id") != "")))
-    found = None
-    for level, wanted in levels:
-        keyed = wanted.withColumn("sub_id", F.struct("query_id", "token_no"))
-        named = keyed.withColumnRenamed("query_id", "owner").withColumnRenamed("sub_id", "query_id")
-        hits = command_lookup(named.select("query_id", "code", *(["session_id"] if level == 0 else [])), chunks, resolved, limit=6)
-        placed = hits.select(
-            F.col("query_id.query_id").alias("query_id"),
-            F.struct(F.col("query_id.token_no").alias("token_no"), F.col("rank").alias("rank")).alias("place"),
-            "chunk_id",
-            F.lit(level).alias("level"),
-        )
-        found = placed if found is None else found.unionByName(placed)
+    anywhere = F.struct(F.lit(1).alias("level"), F.lit(None).cast("string").alias("scope"))
+    mine = F.struct(F.lit(0).alias("level"), strip("session_id").alias("scope")) if has_session else anywhere
+    asked = (
+        parsed.select("query_id", F.posexplode(tokens).alias("token_no", "code"), *(["session_id"] if has_session else []))
+        .withColumn("s", F.explode(F.array_distinct(F.array(mine, anywhere))))
+        .filter((F.col("s.level") == 1) | (F.col("s.scope") != ""))
+    )
+    named = asked.select(
+        F.struct("query_id", "token_no", F.col("s.level").alias("level")).alias("query_id"), "code", F.col("s.scope").alias("session_id")
+    )
+    hits = command_lookup(named, chunks, resolved, limit=6)
+    found = hits.select(
+        F.col("query_id.query_id").alias("query_id"),
+        F.struct(F.col("query_id.token_no").alias("token_no"), F.col("rank").alias("rank")).alias("place"),
+        "chunk_id",
+        F.col("query_id.level").alias("level"),
+    )
     texts = chunks.select(
         "chunk_id", "text", "source", "page", F.col("command_code").alias("meta_command"), F.col("response_code").alias("meta_response")
     )
     numbers = parsed.select("query_id", "error_number", "command_code", "response_code", "display")
     read = found.join(texts, "chunk_id").join(numbers, "query_id").filter(hsm.names_error("text", "error_number"))
-    shown = top_per_group(first_level(read), ["query_id"], [F.col("place"), F.col("chunk_id")], n)
+    shown = stage(top_per_group(first_level(read), ["query_id"], [F.col("place"), F.col("chunk_id")], n), "excerpts")
     from_chunks = shown.select(
         "query_id",
         F.when(F.col("level") == 0, "rag_session").otherwise("rag").alias("origin"),

