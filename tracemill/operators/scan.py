@@ -64,7 +64,8 @@ def block_scan(
 ) -> DataFrame:
     """Add the ``measures`` to ``df``.
 
-    ``block`` must grow with ``order`` inside a group (a coarser position).
+    ``block`` must never fall as ``order`` grows inside a group (a coarser position; of
+    several, a later one may only cut rows that are equal in what the earlier ones cut).
     """
     blocks = [block] if isinstance(block, Column) else list(block)
     names = [f"__b{i}" for i in range(len(blocks))]

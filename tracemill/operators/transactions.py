@@ -174,8 +174,14 @@ def file_order(tx: DataFrame, out: str = "tx_no", block: int = BLOCK) -> DataFra
     return ranked(tx, ["file_id"], ["close_key", "session_first"], _places(block), out)
 
 
-def _places(block: int):
-    return [position_block("close_key", block), position_block("session_first", block)]
+def _blocks(position: str, tie: str, block: int) -> list[Column]:
+    """Blocks that grow with ``(position, tie)``; only rows that share END_OF_FILE are cut by their tie."""
+    last = F.when(F.col(position) == END_OF_FILE, position_block(tie, block)).otherwise(0)
+    return [position_block(position, block), last]
+
+
+def _places(block: int) -> list[Column]:
+    return _blocks("close_key", "session_first", block)
 
 
 def response_as_of(tx: DataFrame, pairs: DataFrame, asof: bool = True, block: int = BLOCK) -> DataFrame:
@@ -203,7 +209,7 @@ def response_as_of(tx: DataFrame, pairs: DataFrame, asof: bool = True, block: in
         both,
         ["file_id", "stan"],
         ["__pos", "__side", "__sub"],
-        [position_block("__pos", block), position_block("__sub", block)],
+        _blocks("__pos", "__sub", block),
         [Running("__found", "max", "__code")],
     )
     out = found.filter("__side = 1").withColumn("network_response", F.col("__found.code"))

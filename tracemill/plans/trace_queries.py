@@ -13,6 +13,7 @@ from tracemill.operators import transactions as tr
 from tracemill.operators.transactions import TX
 from tracemill.plans.catalogue import call_lines, function_specs, query, table, trace_lines
 from tracemill.plans.trace_report import analyze
+from tracemill.session import stage
 from tracemill.sources.refdata import field_reference, rows_of
 from tracemill.sources.traces import trace_hints
 
@@ -48,6 +49,15 @@ tx AS (
   WHERE is_heartbeat OR stan IS NOT NULL OR rrn IS NOT NULL)
 """
 
+def _segmented(spark, sf_dir):
+    """Segmented lines, written once because several consumers read them."""
+    return stage(tr.segments(tr.line_facts(trace_lines(spark, sf_dir)), responses=True), "lines")
+
+
+def _closed(segmented):
+    return stage(tr.drop_ghosts(tr.assemble(segmented)), "transactions")
+
+
 APPROVAL = (
     "CASE WHEN response_code IS NULL THEN 'Inconnue' WHEN response_code IN ('00', '000') THEN 'Approuvée' "
     "ELSE concat('Déclinée (Code: ', response_code, ')') END"
@@ -157,7 +167,7 @@ p AS (
 @query("response_pairs", f"WITH {PAIRS} SELECT file_id, session_id, open_line, done_line, stan, response_code FROM p")
 def response_pairs(spark, sf_dir):
     """Completed 1110 responses: first line by which fields 011 and 039 were both seen."""
-    return tr.response_pairs(tr.segments(tr.line_facts(trace_lines(spark, sf_dir)), responses=True))
+    return tr.response_pairs(_segmented(spark, sf_dir))
 
 
 def _asof_sql(condition: str) -> str:
@@ -171,8 +181,8 @@ FROM tx LEFT JOIN b USING (file_id, session_id, seg)"""
 
 
 def _responses(spark, sf_dir, asof):
-    segmented = tr.segments(tr.line_facts(trace_lines(spark, sf_dir)), responses=True)
-    tx = tr.drop_ghosts(tr.assemble(segmented))
+    segmented = _segmented(spark, sf_dir)
+    tx = _closed(segmented)
     found = tr.response_as_of(tx, tr.response_pairs(segmented), asof)
     return found.select("file_id", "session_id", "seg", "stan", "network_response", tr.response_event().alias("sentence"))
 
@@ -196,7 +206,7 @@ SELECT file_id, session_id, seg, CAST(row_number() OVER (PARTITION BY file_id OR
 )
 def file_order(spark, sf_dir):
     """Place of each transaction in its file."""
-    tx = tr.drop_ghosts(tr.assemble(tr.segments(tr.line_facts(trace_lines(spark, sf_dir)))))
+    tx = _closed(tr.segments(tr.line_facts(trace_lines(spark, sf_dir))))
     return tr.file_order(tx).select("file_id", "session_id", "seg", "tx_no")
 
 
@@ -237,7 +247,7 @@ def tx_merge_split(spark, sf_dir):
 
 
 def _merged(spark, sf_dir, split):
-    tx = tr.drop_ghosts(tr.assemble(tr.segments(tr.line_facts(trace_lines(spark, sf_dir)))))
+    tx = _closed(tr.segments(tr.line_facts(trace_lines(spark, sf_dir))))
     merged = tr.fold_merged(tr.merge_roots(tx, split))
     return merged.select("file_id", "session_id", "seg", "mti", "is_heartbeat", "stan", "rrn", "response_code", "parts")
 
