@@ -130,9 +130,9 @@ def _with_query_blocks(specs: DataFrame, key: str, queries: DataFrame, packed: C
     )
     if blocks == 1:
         return specs.withColumn("__blk", F.lit(0).cast("bigint")).join(F.broadcast(grouped), "__blk").drop("__blk")
-    salted = grouped.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("bigint"))
+    salted = grouped.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
     spread = specs.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALT))).withColumn(
-        "__blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")
+        "__blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
     )
     return spread.join(salted, ["__blk", "__salt"]).drop("__blk", "__salt")
 
