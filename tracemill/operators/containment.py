@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.session import bounded_rows
+from tracemill.session import bounded_rows, small
 
 #: Needle lists up to this many distinct entries become a literal array.
 LITERAL_NEEDLES = 2000
@@ -33,9 +33,9 @@ def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str,
 
     keyed = needles.filter(F.length(needle) > 0).withColumn("__key", fold(F.col(needle)))
     keys = keyed.select("__key").distinct()
-    small = bounded_rows(keys, LITERAL_NEEDLES)
-    if small is not None and not any(_SEP in r[0] for r in small):
-        wanted = literal_array([r[0] for r in small])
+    few = bounded_rows(keys, LITERAL_NEEDLES)
+    if few is not None and not any(_SEP in r[0] for r in few):
+        wanted = literal_array([r[0] for r in few])
         folded = texts.withColumn("__text", fold(F.col(text)))
         hits = folded.withColumn("__key", F.explode(F.filter(wanted, lambda k: F.contains(F.col("__text"), k)))).drop("__text")
     else:
@@ -43,7 +43,7 @@ def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str,
         short = keys.filter(F.length("__key") < GRAM)
         if bounded_rows(short, 0) is None:
             hits = hits.unionByName(_by_grams(texts, fold(F.col(text)), short, 1))
-    return hits.join(keyed, "__key").drop("__key")
+    return hits.join(small(keyed), "__key").drop("__key")
 
 
 def _grams(text: Column, size: int) -> Column:

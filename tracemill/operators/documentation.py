@@ -11,7 +11,7 @@ from tracemill.functions.text import strip
 from tracemill.operators.containment import contains_join
 from tracemill.operators.ordered import top_per_group
 from tracemill.operators.retrieval import command_lookup, first_level, spec_score_topk
-from tracemill.session import stage
+from tracemill.session import small, stage
 
 SPEC_SOURCE = "spécification des fonctions"
 
@@ -30,8 +30,8 @@ def parse_hsm_codes(raw: DataFrame, resolved: DataFrame, text: str = "raw") -> D
     code = F.coalesce("response_code", "lookup_key")
     joined = (
         staged.withColumn("__code", code)
-        .join(F.broadcast(inverse), F.col("__code") == F.col("__resp"), "left")
-        .join(F.broadcast(forward), F.col("__code") == F.col("__cmd"), "left")
+        .join(small(inverse), F.col("__code") == F.col("__resp"), "left")
+        .join(small(forward), F.col("__code") == F.col("__cmd"), "left")
     )
     as_response, as_command = F.col("__by_response").isNotNull(), F.col("__by_command").isNotNull()
     command = F.when(as_response, F.col("__by_response")).when(as_command, F.col("__code"))

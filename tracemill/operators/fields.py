@@ -11,6 +11,7 @@ from tracemill.functions import trace_line as tl
 from tracemill.operators.containment import contains_join
 from tracemill.operators.ordered import top_per_group
 from tracemill.operators.transactions import TX
+from tracemill.session import small
 from tracemill.sources.refdata import field_key, lookup
 
 
@@ -77,7 +78,8 @@ def document_definitions(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
     needles = terms.select("term").distinct()
     texts = chunks.select("session_id", "chunk_id", "text", "field_name", "attributes", "source")
     hits = contains_join(texts, "text", needles, "term", ignore_case=True)
-    mine = top_per_group(terms.join(hits, ["session_id", "term"]), ["session_id", "field_number"], [F.col("chunk_id")], 1)
+    first = top_per_group(hits, ["session_id", "term"], [F.col("chunk_id")], 1)
+    mine = terms.join(first, ["session_id", "term"])
     session_level = mine.select(
         "session_id",
         "field_number",
@@ -123,11 +125,11 @@ def with_expected_type(definitions: DataFrame) -> DataFrame:
 def conformance(fields: DataFrame, reference: DataFrame, chunks: DataFrame | None = None, doc_session: str | None = None) -> DataFrame:
     """Format violations of ``fields`` (any table with ``field_number, value``).
 
-    The reference table has a fixed size and is broadcast.  Numbers it does not
+    The reference table is broadcast when its size allows.  Numbers it does not
     know are looked up once per distinct number in the document chunks, if given.
     """
     keyed = fields.withColumn("field_key", field_key("field_number"))
-    known = keyed.join(F.broadcast(with_expected_type(reference).drop("priority")), "field_key", "left")
+    known = keyed.join(small(with_expected_type(reference).drop("priority")), "field_key", "left")
     if chunks is not None:
         open_numbers = (
             known.filter(F.col("attributes").isNull())

@@ -15,7 +15,7 @@ from tracemill.functions import questions as qs
 from tracemill.functions.text import strip
 from tracemill.operators.containment import LITERAL_NEEDLES, contains_join, literal_array
 from tracemill.operators.ordered import top_per_group
-from tracemill.session import bounded_rows, stage
+from tracemill.session import bounded_rows, small, stage
 
 #: Query vectors up to this many travel to every task; more are joined block by block.
 TASK_QUERIES = 4096
@@ -31,7 +31,9 @@ def keyword_search(chunks: DataFrame, terms: DataFrame, limit: int = 5, keys: Se
     """
     hits = contains_join(chunks, "text", terms.select("term").distinct(), "term", ignore_case=True)
     on = ["term"] + [c for c in ("session_id",) if c in terms.columns]
-    return top_per_group(hits.join(terms, on), list(keys), [F.col("chunk_id")], limit)
+    # Nothing beyond the first hits of a term can be used, so they are cut before anything is joined.
+    first = top_per_group(hits, on, [F.col("chunk_id")], limit, "__n").drop("__n")
+    return top_per_group(first.join(small(terms), on), list(keys), [F.col("chunk_id")], limit)
 
 
 # --- vectors -----------------------------------------------------------------

@@ -269,12 +269,13 @@ def delete_outcome(spark, sf_dir):
 
 @query(
     "delete_rows",
-    """SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
+    """SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
 )
 def delete_rows(spark, sf_dir):
     """Rows left after deleting keys."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    return st.delete_keys(rows, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
+    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id"))
+    return st.delete_keys(rows, urgent)
 
 
 @query(

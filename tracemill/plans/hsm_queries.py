@@ -72,15 +72,16 @@ def hsm_report_codes(spark, sf_dir):
 
 @query(
     "code_pairs",
-    f"""WITH {MAP_SQL}, n AS (SELECT upper(left(n_name, 1)) || upper(substr(n_name, 2, 1)) AS code FROM nation)
-SELECT n.code, coalesce(f.cmd, i.cmd) AS target_command, coalesce(f.resp, i.resp) AS target_response, count(*) AS nations
+    f"""WITH {MAP_SQL}, n AS (SELECT upper(left(p_name, 1)) || upper(left(split_part(p_name, ' ', 2), 1)) AS code FROM part)
+SELECT n.code, coalesce(f.cmd, i.cmd) AS target_command, coalesce(f.resp, i.resp) AS target_response, count(*) AS parts
 FROM n LEFT JOIN m f ON f.cmd = n.code LEFT JOIN m i ON i.resp = n.code GROUP BY ALL""",
 )
 def code_pairs(spark, sf_dir):
-    """Command / response reading of two-letter codes taken from nation names."""
-    codes = table(spark, sf_dir, "nation").select(F.upper(F.left("n_name", F.lit(2))).alias("code"))
+    """Command / response reading of two-letter codes taken from the initials of part names."""
+    second = F.split_part("p_name", F.lit(" "), F.lit(2))
+    codes = table(spark, sf_dir, "part").select(F.upper(F.concat(F.left("p_name", F.lit(1)), F.left(second, F.lit(1)))).alias("code"))
     joined = codes.join(_resolved(spark).drop("is_command"), "code", "left")
-    return joined.groupBy("code", "target_command", "target_response").agg(F.count("*").alias("nations"))
+    return joined.groupBy("code", "target_command", "target_response").agg(F.count("*").alias("parts"))
 
 
 ERRORS = "('05'), ('15'), ('99'), ('ED'), ('ED05'), ('EC')"

@@ -10,6 +10,7 @@ from tracemill.operators import documentation as dc
 from tracemill.operators import retrieval as rt
 from tracemill.operators.containment import contains_join
 from tracemill.plans.catalogue import CHUNKS_SQL, chunks, query, sql_values, table
+from tracemill.session import small
 from tracemill.sources.refdata import command_pairs, resolve_codes
 
 TERMS = [("ther",), ("eaux",), ("Schl",), ("parity error",), ("100%",), ("the_",), ("über",)]
@@ -364,7 +365,7 @@ def field_definitions(spark, sf_dir):
     )
     sections = chunks(spark, sf_dir, "chunk_id", "type", "field_number", "field_name", "attributes", "source", "text")
     nearest = sections.filter("type = 'field_definition'").agg(F.min("chunk_id").alias("chunk_id")).withColumn("one", F.lit(1))
-    semantic = queries.select("query_id", F.lit(1).alias("one")).join(F.broadcast(nearest), "one").select(
+    semantic = queries.select("query_id", F.lit(1).alias("one")).join(small(nearest), "one").select(
         "query_id", "chunk_id", F.lit(1).alias("rank")
     )
     out = rt.field_definitions(queries, sections, semantic)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings the operators rely on.  They are runtime-checked by Spark itself:
 #: broadcasts are chosen from measured sizes and skewed join partitions are split.
@@ -78,4 +79,9 @@ def bounded_rows(df: DataFrame, limit: int) -> list | None:
     return rows if len(rows) <= limit else None
 
 
-__all__ = ["SETTINGS", "configure", "shared_folder", "stage", "spread", "bounded_rows"]
+def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows, else unchanged (then Spark shuffles both sides)."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+__all__ = ["SETTINGS", "configure", "shared_folder", "stage", "spread", "bounded_rows", "small"]
