@@ -133,3 +133,24 @@ def test_payload_fit(spark):
     out = cx.fit_payload(df, ["question", "body"], 1000, "m").collect()
     assert out[0]["estimated_tokens"] <= 800 and not out[0]["skipped"] and "PAYLOAD_TRUNCATED" in out[0]["body"]
     assert out[1]["body"] == "court" and not out[1]["skipped"]
+
+
+def test_hsm_documentation_cascade(spark):
+    chunks = spark.createDataFrame(
+        [
+            (1, "h", "A", "doc", 3, "EC", "ED", False, "EC command, error 05 listed"),
+            (2, "h", "B", "doc", 4, None, None, False, "ED answers with error codes"),
+            (3, "h", "B", "doc", 5, None, None, False, "nothing about it"),
+        ],
+        "chunk_id int, file_hash string, session_id string, source string, page int, command_code string, response_code string, contains_error_table boolean, text string",
+    )
+    pages = spark.createDataFrame([("manual", 7, "KA key import, response KB"), ("manual", 8, "unrelated")], "source string, page int, text string")
+    codes = spark.createDataFrame([("q1", "ED05", "A"), ("q2", "ED05", "C"), ("q3", "KA", "A"), ("q4", "ZZ", "A")], "query_id string, raw string, session_id string")
+    rows = dc.hsm_documentation(codes, chunks, pages, rd.hsm_errors(spark), rd.resolve_codes(rd.command_pairs(spark))).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["origin"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["origin"], r["label"]))
+    assert got["q1"] == [("dictionary", "dictionnaire HSM"), ("rag_session", "doc (p. 3)")]
+    assert got["q2"] == [("dictionary", "dictionnaire HSM"), ("rag", "doc (p. 3)"), ("rag", "doc (p. 4)")]
+    assert got["q3"] == [("page", "manual (p. 7)")]
+    assert "q4" not in got

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.session import configure, spread
+from tracemill.session import configure, spread, values
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,8 +95,8 @@ def _split_columns(text: str) -> list[str]:
 def function_specs(spark: SparkSession) -> DataFrame:
     """A small specification that documents Fn0 to Fn4 only (the driver has no such sheet)."""
     rows = [(f"Fn{i}", f"mod{i % 2}", f"/src/fn{i}.c", f"Fonction numéro {i}", "NOK si refus", i) for i in range(5)]
-    return spark.createDataFrame(
-        rows, "function string, source string, path string, description string, exception string, spec_no bigint"
+    return values(
+        spark, rows, "function string, source string, path string, description string, exception string, spec_no bigint"
     )
 
 
@@ -132,10 +132,6 @@ def chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 CHUNKS_SQL = f"c AS (SELECT {CHUNK_COLUMNS} FROM documents)"
 
 
-def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
 def sql_values(rows: list[tuple], columns: str) -> str:
     """``(VALUES …) AS t(columns)`` for an oracle."""
 
@@ -144,10 +140,3 @@ def sql_values(rows: list[tuple], columns: str) -> str:
 
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
     return f"(VALUES {body}) AS t({columns})"
-
-
-def mapped(sql_of_pairs: list[tuple[str, str]], key: str) -> str:
-    """A CASE expression over fixed pairs."""
-    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sql_of_pairs) + " END"
-
-

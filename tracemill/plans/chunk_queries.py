@@ -12,7 +12,7 @@ from tracemill.operators import chunkstore as cs
 from tracemill.operators.ordered import top_per_group
 from tracemill.operators.scan import position_block, ranked
 from tracemill.plans.catalogue import CHUNKS_SQL, chunks, query, table
-from tracemill.session import stage
+from tracemill.session import stage, values
 
 # One document per (source, lang); its pages are the rows in order of doc_id.
 PAGES = "p AS (SELECT concat(source, '-', lang) AS file_hash, doc_id AS page, CASE WHEN doc_id % 17 = 0 THEN '' ELSE text END AS text FROM documents)"
@@ -272,8 +272,8 @@ SELECT chunk_id, CASE WHEN file_hash IN ('H1', 'H2', 'H3') THEN concat('new-', f
 def repoint(spark, sf_dir):
     """Chunks of some files given to other sessions."""
     all_chunks = chunks(spark, sf_dir, "chunk_id", "file_hash", "session_id", "last_accessed")
-    moves = spark.createDataFrame(
-        [(h, f"new-{h}", "2024-03-01T00:00:00") for h in ("H1", "H2", "H3")], "file_hash string, session_id string, accessed_at string"
+    moves = values(
+        spark, [(h, f"new-{h}", "2024-03-01T00:00:00") for h in ("H1", "H2", "H3")], "file_hash string, session_id string, accessed_at string"
     )
     return cs.repoint(all_chunks, moves).select("chunk_id", "session_id", "last_accessed")
 

@@ -13,7 +13,7 @@ from tracemill.operators import report as rp
 from tracemill.operators import store as st
 from tracemill.operators.containment import literal_array
 from tracemill.plans.catalogue import query, sql_values, table
-from tracemill.session import stage
+from tracemill.session import stage, values
 
 COUNT_TERMS = [("the",), ("ED",), ("NOK",), ("ther",), ("eau",)]
 
@@ -27,7 +27,7 @@ SELECT file_id, term, CAST(sum(n) AS BIGINT) AS occurrences, count(*) FILTER (do
 def term_counts(spark, sf_dir):
     """Exact occurrences of terms in each file and the blocks that contain them."""
     blocks = table(spark, sf_dir, "documents").select(F.col("source").alias("file_id"), F.col("doc_id").alias("block_no"), "text")
-    return cx.term_counts(blocks, spark.createDataFrame(COUNT_TERMS, "term string"))
+    return cx.term_counts(blocks, values(spark, COUNT_TERMS, "term string"))
 
 
 CONTEXT_TERMS = ["PARITY", "ÖSTERREICH", "REGISTR"]

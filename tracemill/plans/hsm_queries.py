@@ -9,6 +9,7 @@ from tracemill.functions import hsm
 from tracemill.operators import documentation as dc
 from tracemill.plans.catalogue import CHUNKS_SQL, chunks, query, table
 from tracemill.plans.retrieval_queries import MAP_SQL
+from tracemill.session import values
 from tracemill.sources import documents as sd
 from tracemill.sources import refdata as rd
 
@@ -117,7 +118,7 @@ SELECT query_id, page, score, CAST(rank AS INTEGER) AS rank FROM w WHERE rank <=
 )
 def page_hits(spark, sf_dir):
     """Best pages that contain parts of a code."""
-    codes = spark.createDataFrame(PAGE_CODES, "query_id string, raw string")
+    codes = values(spark, PAGE_CODES, "query_id string, raw string")
     parsed = dc.parse_hsm_codes(codes, _resolved(spark))
     pages = table(spark, sf_dir, "documents").select(F.lit("doc").alias("source"), F.col("doc_id").alias("page"), "text")
     return dc.page_hits(parsed, pages).select("query_id", "page", "score", "rank")
@@ -187,7 +188,7 @@ DOC_CODES = [("Q1", "ED05", "S1"), ("Q2", "CA", "S2"), ("Q3", "HsmResultCode = 9
 @query("hsm_documentation")
 def hsm_documentation(spark, sf_dir):
     """Documentation of codes: session chunks, any chunks, pages, dictionary."""
-    codes = spark.createDataFrame(DOC_CODES, "query_id string, raw string, session_id string")
+    codes = values(spark, DOC_CODES, "query_id string, raw string, session_id string")
     base = chunks(spark, sf_dir, "chunk_id", "file_hash", "session_id", "source", "page", "command_code", "response_code", "contains_error_table", "text")
     pages = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page"), "text")
     docs = dc.hsm_documentation(codes, base, pages, rd.hsm_errors(spark), _resolved(spark))

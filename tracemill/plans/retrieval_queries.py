@@ -10,7 +10,7 @@ from tracemill.operators import documentation as dc
 from tracemill.operators import retrieval as rt
 from tracemill.operators.containment import contains_join
 from tracemill.plans.catalogue import CHUNKS_SQL, chunks, query, sql_values, table
-from tracemill.session import small
+from tracemill.session import small, values
 from tracemill.sources.refdata import command_pairs, resolve_codes
 
 TERMS = [("ther",), ("eaux",), ("Schl",), ("parity error",), ("100%",), ("the_",), ("über",)]
@@ -24,7 +24,7 @@ SELECT term, chunk_id, CAST(rank AS INTEGER) AS rank FROM h WHERE rank <= 5""",
 )
 def keyword_topk(spark, sf_dir):
     """First five chunks that contain each term, ignoring case."""
-    terms = spark.createDataFrame(TERMS, "term string")
+    terms = values(spark, TERMS, "term string")
     return rt.keyword_search(chunks(spark, sf_dir, "chunk_id", "text"), terms).select("term", "chunk_id", "rank")
 
 
@@ -36,7 +36,7 @@ SELECT session_id, term, chunk_id, CAST(rank AS INTEGER) AS rank FROM h WHERE ra
 )
 def keyword_in_session(spark, sf_dir):
     """The same inside each session only."""
-    terms = spark.createDataFrame([(t, f"S{i}") for (t,) in TERMS for i in range(20)], "term string, session_id string")
+    terms = values(spark, [(t, f"S{i}") for (t,) in TERMS for i in range(20)], "term string, session_id string")
     hits = rt.keyword_search(chunks(spark, sf_dir, "chunk_id", "session_id", "text"), terms, 3, keys=("term", "session_id"))
     return hits.select("session_id", "term", "chunk_id", "rank")
 
@@ -139,7 +139,7 @@ SELECT query_id, tc AS target_command, tr AS target_response, chunk_id, class, C
 )
 def command_lookup(spark, sf_dir):
     """Chunks for two-letter codes, read as command or response."""
-    codes = spark.createDataFrame([(c, c) for c in ASKED_CODES], "query_id string, code string")
+    codes = values(spark, [(c, c) for c in ASKED_CODES], "query_id string, code string")
     hits = rt.command_lookup(codes, _lookup_chunks(spark, sf_dir), resolve_codes(command_pairs(spark)))
     return hits.select("query_id", "target_command", "target_response", "chunk_id", "class", "rank")
 
@@ -173,7 +173,7 @@ SELECT CAST(rank AS INTEGER) AS rank, md5(snippet) AS snippet_hash FROM (SELECT
 )
 def spec_snippets(spark, sf_dir):
     """First four distinct snippets for the codes of one question."""
-    codes = spark.createDataFrame([(c, c, i) for i, c in enumerate(ASKED_CODES)], "query_id string, code string, code_no int")
+    codes = values(spark, [(c, c, i) for i, c in enumerate(ASKED_CODES)], "query_id string, code string, code_no int")
     base = _lookup_chunks(spark, sf_dir)
     hits = rt.command_lookup(codes.select("query_id", "code"), base, resolve_codes(command_pairs(spark)), limit=3)
     read = hits.drop("code").join(codes, "query_id").join(base.select("chunk_id", "text"), "chunk_id")
@@ -282,7 +282,7 @@ SELECT query_id, function, score, CAST(rank AS INTEGER) AS rank FROM (
 )
 def spec_score_topk(spark, sf_dir):
     """Best function specs per question by word points."""
-    queries = spark.createDataFrame(SPEC_QUERIES, "query_id int, query string")
+    queries = values(spark, SPEC_QUERIES, "query_id int, query string")
     return rt.spec_score_topk(queries, _specs(spark, sf_dir)).select("query_id", "function", "score", "rank")
 
 
@@ -299,7 +299,7 @@ UNION ALL SELECT query_id, function, CAST(rank AS INTEGER), 'keyword' FROM kw WH
 )
 def accept_hits(spark, sf_dir):
     """Vector hits kept where they name a function of the question, else keyword-scored specs."""
-    queries = spark.createDataFrame(SPEC_QUERIES, "query_id int, query string")
+    queries = values(spark, SPEC_QUERIES, "query_id int, query string")
     first = lambda name, key, column, q: table(spark, sf_dir, name).select(
         F.lit(q).alias("query_id"), F.col(column).alias("function"), F.col(key).alias("k")
     )

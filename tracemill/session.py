@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Settings the operators rely on.  They are runtime-checked by Spark itself:
 #: broadcasts are chosen from measured sizes and skewed join partitions are split.
@@ -79,9 +81,15 @@ def bounded_rows(df: DataFrame, limit: int) -> list | None:
     return rows if len(rows) <= limit else None
 
 
+def values(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A table of a few known rows as a local relation: its size is known to the planner, no job is needed to read it."""
+    struct = T.StructType.fromDDL(schema)
+    return spark.createDataFrame(pd.DataFrame([tuple(r) for r in rows], columns=struct.names, dtype=object), struct)
+
+
 def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``limit`` rows, else unchanged (then Spark shuffles both sides)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-__all__ = ["SETTINGS", "configure", "shared_folder", "stage", "spread", "bounded_rows", "small"]
+__all__ = ["SETTINGS", "configure", "shared_folder", "stage", "spread", "bounded_rows", "small", "values"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracemill import fixed_values as fv
 from tracemill.functions.text import blank_to_null, strip
+from tracemill.session import values
 
 
 def rows_of(table: str) -> list[list[str]]:
@@ -26,7 +27,7 @@ def lookup(table: str, key: Column, field: int) -> Column:
 
 
 def _table(spark: SparkSession, table: str, schema: str) -> DataFrame:
-    return spark.createDataFrame(rows_of(table), schema)
+    return values(spark, rows_of(table), schema)
 
 
 def message_types(spark: SparkSession) -> DataFrame:
@@ -55,7 +56,7 @@ def field_key(number: Column | str) -> Column:
 def network_fields(spark: SparkSession) -> DataFrame:
     """Seed of the network specification: ``number, name, length, type_code, format, source``."""
     rows = [(n, name, int(size), kind, enc, fv.NETWORK_SOURCE) for n, name, size, kind, enc in rows_of(fv.NETWORK_FIELDS)]
-    return spark.createDataFrame(rows, "number string, name string, length int, type_code string, format string, source string")
+    return values(spark, rows, "number string, name string, length int, type_code string, format string, source string")
 
 
 def read_network_fields(spark: SparkSession, path: str) -> DataFrame:
@@ -83,7 +84,7 @@ def overlay_fields(seed: DataFrame, extracted: DataFrame) -> DataFrame:
 
 def standard_fields(spark: SparkSession) -> DataFrame:
     rows = [(n, name, attributes, fv.STANDARD_SOURCE) for n, name, attributes in rows_of(fv.STANDARD_FIELDS)]
-    return spark.createDataFrame(rows, "number string, name string, attributes string, source string")
+    return values(spark, rows, "number string, name string, attributes string, source string")
 
 
 def field_reference(spark: SparkSession, network: DataFrame | None = None) -> DataFrame:
@@ -114,10 +115,10 @@ def command_pairs(spark: SparkSession, path: str | None = None) -> DataFrame:
     """``command_code, response_code``; the shipped pairs, or a JSON object ``{command: response}``."""
     if path is None:
         rows = [line.split() for line in fv.COMMAND_RESPONSES.strip().splitlines()]
-        return spark.createDataFrame(rows, "command_code string, response_code string")
+        return values(spark, rows, "command_code string, response_code string")
     raw = spark.read.text(path, wholetext=True)
     pairs = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("command_code", "response_code"))
-    default = spark.createDataFrame([fv.DEFAULT_COMMAND], "command_code string, response_code string")
+    default = values(spark, [fv.DEFAULT_COMMAND], "command_code string, response_code string")
     return pairs.unionByName(default.join(pairs.select(F.lit(1).alias("__any")).limit(1), F.lit(True), "left_anti"))
 
 
