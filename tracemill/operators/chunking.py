@@ -153,7 +153,7 @@ def plan_batches(
     ).select("__job", F.col("s.b").alias("__block"), "__pos", "__tok", F.col("s.own").alias("__own"))
     job_type = items.schema[job].dataType.simpleString()
 
-    def tabulate(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def tabulate(key, pdf):
         pdf = pdf.sort_values("__pos")
         count = int(pdf["__own"].sum())
         nxt = _next_batch(pdf["__tok"].to_numpy(), count, max_items, max_tokens)
@@ -164,7 +164,7 @@ def plan_batches(
         k = min(max_items, count)
         return pd.DataFrame({"__job": [key[0]], "__block": [key[1]], "leave": [leave[:k].tolist()], "started": [started[:k].tolist()]})
 
-    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(key, pdf):
         pdf = pdf.sort_values("__block")
         enter, base_no, rows = 0, 0, []
         for block_no, leave, started in zip(pdf["__block"], pdf["leave"], pdf["started"]):
@@ -183,7 +183,7 @@ def plan_batches(
     )
     entries = tables.groupBy("__job").applyInPandas(chain, f"__job {job_type}, __block bigint, __enter bigint, __base bigint")
 
-    def number(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def number(key, pdf):
         pdf = pdf.sort_values("__pos")
         count = int(pdf["__own"].sum())
         nxt = _next_batch(pdf["__tok"].to_numpy(), count, max_items, max_tokens)

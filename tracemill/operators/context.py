@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +84,7 @@ def select_blocks(
     candidates = likely.unionByName(first).dropDuplicates(["file_id", "block_no"])
     file_type = blocks.schema["file_id"].dataType.simpleString()
 
-    def choose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def choose(key, pdf):
         pdf = pdf.sort_values(["block_class", "block_no"])
         used, taken = int(pdf["start"].iloc[0]), []
         for i, c in enumerate(pdf["cost"]):
