@@ -174,6 +174,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.col("n_words") * F.lit(share)))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05) -> DataFrame:
+    """Rows of ``docs`` that are not contaminated; all columns.  The join moves ids and texts once, by ``doc_id``."""
+    hit = decontaminate(docs, benchmark, window, share).filter("contaminated").select(F.col("doc_id").alias("_hit"))
+    return docs.join(hit, docs.doc_id == hit._hit, "left_anti")
+
+
 def _union_of(spans: str):
     """Union of word ranges."""
     start = F.array_sort(spans)

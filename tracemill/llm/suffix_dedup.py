@@ -21,17 +21,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracemill.llm.common import batch_of, group_of, query, read, shuffle_partitions, text_bytes
 from tracemill.llm.scan import CODES, Chunk, Prefix, chunks, mix, spans_inside
 
 LEAD = 32
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 #: Sampled suffixes from which the splitters are chosen, and buckets per shuffle partition.
 SPLITTER_SAMPLE = 20_000
-BUCKETS_PER_PARTITION = 8
+BUCKETS_PER_PARTITION = 4
 HOT_GROUPS = 256
 
 TOP32 = np.uint64(0xFFFFFFFF00000000)
@@ -87,16 +89,18 @@ def covered_windows(buffer: np.ndarray, at: np.ndarray, counts: np.ndarray, doc:
     order = np.lexsort((start, doc))
     at, counts = at[order], counts[order]
     where, owner = spans_inside(at, counts)
-    first = Prefix(CODES[0][buffer]).span(where, where + length)
-    second = Prefix(CODES[1][buffer]).span(where, where + length)
-    rank = np.argsort(first, kind="stable")
-    a, b = first[rank], second[rank]
-    same = np.zeros(len(rank), bool)
-    same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    prints = Prefix(CODES[0][buffer]).span(where, where + length)
+    rank = np.argsort(prints, kind="stable")
+    prints = prints[rank]
+    again = np.flatnonzero(prints[1:] == prints[:-1])  # rank[again + 1] repeats rank[again]
+    del prints
     covered = np.zeros(len(rank), bool)
-    covered[rank] = same
-    offset = where - at[owner]
-    return covered, order[owner], offset
+    if len(again):
+        second = Prefix(CODES[1][buffer])
+        here, before = where[rank[again + 1]], where[rank[again]]
+        covered[rank[again + 1][second.span(here, here + length) == second.span(before, before + length)]] = True
+    del rank
+    return covered, order[owner], where - at[owner]
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -243,12 +247,16 @@ def compare_windows(length: int):
     """All pieces of a bucket together: covered intervals, by document."""
 
     def run(batches):
-        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in PIECES.names[1:]), strict=True)]
-        if not rows:
-            return
+        rows = {}
+        for batch in batches:
+            for bucket, *r in zip(*(batch.column(c).to_pylist() for c in PIECES.names), strict=True):
+                rows.setdefault(bucket, []).append(r)
+        for bucket in sorted(rows):
+            yield from compare(rows.pop(bucket))
+
+    def compare(rows):
         doc, start, n = (np.concatenate([np.frombuffer(r[i], I64) for r in rows]) for i in range(3))
         data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        del rows
         known = n < 0
         found = [(doc[known], start[known], start[known] - n[known] + length - 1)]
         doc, start, n = doc[~known], start[~known], n[~known]
@@ -344,6 +352,38 @@ def suffix_dedup(docs: DataFrame, length: int = 100, with_text: bool = True, wit
     return dealt.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(keep_rest(with_text, with_digest), ddl(RESULT))
 
 
+def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """``docs`` with repeated text cut out and ``n_chars`` brought up to date; rows of which nothing is left go.
+
+    Rows whose text was null or empty from the start stay.  All columns are kept in their order and with their types.
+    """
+    spans = repeated_spans(docs, length)[1]
+    groups = max(1, -(-text_bytes(docs) // GROUP_BYTES))
+    dealt = docs.withColumn("_g", group_of("doc_id", groups))
+    names = docs.columns
+    kind = T.StructType([f for f in docs.schema.fields])
+    out = dealt.groupBy("_g").cogroup(spans.groupBy("g")).applyInArrow(_cut(names), kind)
+    return out
+
+
+def _cut(names: list[str]):
+    keep = keep_rest(True, False)
+
+    def run(key, rows: pa.Table, spans: pa.Table) -> pa.Table:
+        rows = rows.select(names)
+        made = keep(key, rows.select(["doc_id", "text"]), spans)
+        text = made.column("kept_text")
+        if "n_chars" in names:
+            cut = pc.greater(made.column("n_spans"), 0)
+            n = pc.if_else(cut, pc.utf8_length(text).cast(rows.schema.field("n_chars").type), rows.column("n_chars"))
+            rows = rows.set_column(names.index("n_chars"), "n_chars", n)
+        rows = rows.set_column(names.index("text"), "text", text.cast(rows.schema.field("text").type))
+        gone = pc.and_(pc.greater(made.column("n_spans"), 0), pc.equal(pc.fill_null(pc.binary_length(text), 0), 0))
+        return rows.filter(pc.invert(gone))
+
+    return run
+
+
 @query("op2_suffix_dedup")
 def op2(spark, sf_dir):
     return suffix_dedup(read(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
