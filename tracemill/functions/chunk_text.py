@@ -43,9 +43,9 @@ def has_error_table(text: Column | str) -> Column:
     return found
 
 
-def two_letter_tokens(text: Column | str) -> Column:
-    """Distinct two-character alphanumeric words of a text, upper case."""
-    return F.array_distinct(F.regexp_extract_all(F.upper(col(text)), F.lit(r"(?U)\b([A-Z0-9]{2})\b"), F.lit(1)))
+def word_tokens(text: Column | str) -> Column:
+    """Distinct alphanumeric words of a text, upper case."""
+    return F.array_distinct(F.regexp_extract_all(F.upper(col(text)), F.lit(r"(?U)\b([A-Z0-9]+)\b"), F.lit(1)))
 
 
 def split_spans(text: str, size: int, overlap: int, separators: Sequence[str] = fv.SEPARATORS) -> list[str]:

@@ -31,8 +31,10 @@ def scope(chunks: DataFrame, session_id: str | None = None, file_hashes: Sequenc
 
 
 def missing_chunks(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """New chunks whose file, version and index are not stored yet."""
-    return new.join(stored.select(*CHUNK_KEY), CHUNK_KEY, "left_anti")
+    """New chunks whose file, version and index are not stored yet (nulls are equal to each other)."""
+    held = stored.select(*[F.col(c).alias(f"__{c}") for c in CHUNK_KEY])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in CHUNK_KEY]
+    return new.join(held, same, "left_anti")
 
 
 def existing_indexes(stored: DataFrame, version: str = fv.CHUNK_VERSION) -> DataFrame:

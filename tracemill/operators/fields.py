@@ -110,29 +110,32 @@ def document_definitions(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def with_expected_type(definitions: DataFrame) -> DataFrame:
-    """Definitions that state a type: ``expected_type, max_length, expected_type_label`` read from ``attributes`` once.
+    """Definitions with ``expected_type, max_length, expected_type_label`` read from ``attributes`` once.
 
-    Field 52 is left out where it is declared numeric (it holds hexadecimal digits).
+    The type is null where none is stated, and for field 52 where it is declared numeric (it holds hexadecimal digits).
     """
+    number = "field_key" if "field_key" in definitions.columns else "field_number"
     typed = definitions.withColumns(
         {"max_length": cf.expected_length("attributes"), "expected_type": cf.expected_type("attributes")}
-    ).filter(F.col("expected_type").isNotNull())
-    number = "field_key" if "field_key" in definitions.columns else "field_number"
-    strict = typed.filter(~cf.is_exempt(field_key(number), "expected_type"))
+    )
+    exempt = F.coalesce(cf.is_exempt(field_key(number), "expected_type"), F.lit(False))
+    strict = typed.withColumn("expected_type", F.when(~exempt, F.col("expected_type")))
     return strict.withColumn("expected_type_label", cf.type_label("expected_type"))
 
 
 def conformance(fields: DataFrame, reference: DataFrame, chunks: DataFrame | None = None, doc_session: str | None = None) -> DataFrame:
     """Format violations of ``fields`` (any table with ``field_number, value``).
 
-    The reference table is broadcast when its size allows.  Numbers it does not
-    know are looked up once per distinct number in the document chunks, if given.
+    A number the reference knows is never looked up elsewhere, whether or not its entry
+    states a usable type.  Numbers it does not know are looked up once per distinct
+    number in the document chunks, if given.
     """
     keyed = fields.withColumn("field_key", field_key("field_number"))
-    known = keyed.join(small(with_expected_type(reference).drop("priority")), "field_key", "left")
+    entries = with_expected_type(reference).drop("priority").withColumn("__known", F.lit(True))
+    known = keyed.join(small(entries), "field_key", "left")
     if chunks is not None:
         open_numbers = (
-            known.filter(F.col("attributes").isNull())
+            known.filter(F.col("__known").isNull())
             .select("field_number")
             .distinct()
             .withColumn("session_id", F.lit(doc_session))
@@ -150,7 +153,7 @@ def conformance(fields: DataFrame, reference: DataFrame, chunks: DataFrame | Non
             .withColumns({c: F.coalesce(c, f"__{c}") for c in columns})
             .drop(*[f"__{c}" for c in columns])
         )
-    typed = known.filter(F.col("expected_type").isNotNull())
+    typed = known.drop("__known").filter(F.col("expected_type").isNotNull())
     bad = typed.filter(cf.violates("value", "expected_type", "max_length")).withColumns(
         {
             "observed_value": cf.observed("value"),

@@ -27,9 +27,9 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last version of each key (map-side combined, no window)."""
+    """The last version of each key (map-side combined, no window); equal times go by the hash of the row."""
     rest = [c for c in df.columns if c not in keys]
-    packed = F.max_by(F.struct(*rest), F.struct(*order))
+    packed = F.max_by(F.struct(*rest), F.struct(*order, F.xxhash64(*rest).alias("__tie")))
     return df.groupBy(*keys).agg(packed.alias("__row")).select(*keys, "__row.*").select(*df.columns)
 
 

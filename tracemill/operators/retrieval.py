@@ -188,7 +188,7 @@ def accept_hits(queries: DataFrame, hits: DataFrame, specs: DataFrame, k: int =
 
 
 def command_lookup(codes: DataFrame, chunks: DataFrame, resolved: DataFrame, limit: int = 8, loose: bool = False) -> DataFrame:
-    """Chunks that document a two-letter code, read as a command or as a response.
+    """Chunks that document a code, read as a command or as a response.
 
     ``codes``: ``query_id, code`` and optional ``session_id``, ``file_hash`` (null: anywhere).
     ``resolved``: :func:`~tracemill.sources.refdata.resolve_codes`.  Rank classes: 1 the
@@ -228,12 +228,14 @@ def command_lookup(codes: DataFrame, chunks: DataFrame, resolved: DataFrame, lim
         words = contains_join(base.select("chunk_id", "__where", "text"), "text", pair, "token", ignore_case=True)
         by_word = words.select("chunk_id", "__where", "token", F.lit(3).alias("class"))
     else:
-        by_word = base.select("chunk_id", "__where", F.explode(narrow(ct.two_letter_tokens("text"))).alias("token"), F.lit(3).alias("class"))
+        by_word = base.select("chunk_id", "__where", F.explode(narrow(ct.word_tokens("text"))).alias("token"), F.lit(3).alias("class"))
     offered = (
         by_meta.unionByName(by_word)
         .join(pair, "token", "left_semi")
         .select("chunk_id", "token", "class", F.explode("__where").alias("scope"))
     )
+    # Whatever ranks behind ``limit`` chunks of its own scope, token and class ranks behind them for every query.
+    offered = top_per_group(offered.distinct(), ["scope", "token", "class"], [F.col("chunk_id")], limit, "__n").drop("__n")
     wanted = asked.select(
         "query_id",
         "scope",

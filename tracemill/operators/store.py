@@ -15,11 +15,17 @@ from tracemill.operators.scan import position_block, ranked
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", activity: str = "updated_at", created: str = "created_at") -> DataFrame:
-    """Old and new versions folded to the latest per key; the first creation time is kept."""
-    both = old.unionByName(new, allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in (key, created)]
-    folded = both.groupBy(key).agg(F.max_by(F.struct(*rest), activity).alias("__r"), F.min(created).alias(created))
-    return folded.select(key, created, "__r.*").select(*both.columns)
+    """Old and new versions folded to the latest per key; the first creation time is kept.
+
+    At equal activity the new version wins, among several new ones the one with the larger hash.
+    """
+    marked = lambda df, is_new: df.withColumn("__new", F.lit(is_new))
+    both = marked(old, False).unionByName(marked(new, True), allowMissingColumns=True)
+    columns = [c for c in both.columns if c != "__new"]
+    rest = [c for c in columns if c not in (key, created)]
+    order = F.struct(activity, "__new", F.xxhash64(*rest).alias("__tie"))
+    folded = both.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("__r"), F.min(created).alias(created))
+    return folded.select(key, created, "__r.*").select(*columns)
 
 
 def patch(old: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -66,7 +72,8 @@ def unique_titles(
 
     The first conversation with a title keeps it, the first further one of a given
     minute gets `` · HH:MM``, all others ``#2``, ``#3`` … in order of creation (after
-    the last number, the time suffix again).  ``existing`` titles count as used.
+    the last number, the time suffix again).  ``existing`` titles count as used, in all
+    three forms, and so do the plain titles of the other new conversations.
     """
     base = F.left("title", F.lit(max_len))
     seconds = F.unix_seconds(F.col("created_at").cast("timestamp"))
@@ -88,9 +95,19 @@ def unique_titles(
         ).drop("__timed", "__clash")
     first_of_minute = again.filter("__m = 1").withColumn("unique_title", timed)
     rest = ranked(again.filter("__m > 1"), ["agent_type", "__base"], ["created_at", key], when, "__o")
-    number = F.col("__o") + 1
-    counted = F.left(F.concat("title", F.lit(" #"), number.cast("string")), F.lit(max_len))
-    rest = rest.withColumn("unique_title", F.when(number < fv.TITLE_NUMBERS, counted).otherwise(timed))
+    # The n-th conversation left over takes the n-th number that is free for its title.
+    taken = numbered.select("agent_type", F.col("__base").alias("__try"))
+    if existing is not None:
+        taken = taken.unionByName(existing.select("agent_type", F.col("title").alias("__try")))
+    bases = rest.select("agent_type", "__base").distinct()
+    tries = bases.withColumn("__no", F.explode(F.sequence(F.lit(2), F.lit(fv.TITLE_NUMBERS - 1)))).withColumn(
+        "__try", F.left(F.concat("__base", F.lit(" #"), F.col("__no").cast("string")), F.lit(max_len))
+    )
+    free = tries.join(taken.distinct(), ["agent_type", "__try"], "left_anti").groupBy("agent_type", "__base").agg(F.sort_array(F.collect_list("__no")).alias("__free"))
+    rest = rest.join(free, ["agent_type", "__base"], "left")
+    number = F.get("__free", F.col("__o").cast("int") - 1)
+    counted = F.left(F.concat("__base", F.lit(" #"), number.cast("string")), F.lit(max_len))
+    rest = rest.withColumn("unique_title", F.coalesce(counted, timed))
     plain = split.filter("NOT __extra").withColumn("unique_title", F.col("__base"))
     columns = [*conversations.columns, "unique_title"]
     return plain.select(*columns).unionByName(first_of_minute.select(*columns)).unionByName(rest.select(*columns))
@@ -132,6 +149,7 @@ def daily_usage(usage: DataFrame, limit: int = fv.DAILY_REQUESTS, time: str = "t
 
 
 def usage_tail(usage: DataFrame, n: int = 50, order: Sequence[str] = ("timestamp",)) -> DataFrame:
-    """Last ``n`` usage entries, oldest first."""
-    newest: list[Column] = [F.desc(c) for c in order]
-    return usage.orderBy(*newest).limit(n).orderBy(*order)
+    """Last ``n`` usage entries, oldest first; equal times go by the other columns."""
+    full = [*order, *[c for c in usage.columns if c not in order]]
+    newest: list[Column] = [F.desc(c) for c in full]
+    return usage.orderBy(*newest).limit(n).orderBy(*full)

@@ -15,15 +15,17 @@ from tracemill.plans.catalogue import CHUNKS_SQL, chunks, query, table
 from tracemill.session import stage, values
 
 # One document per (source, lang); its pages are the rows in order of doc_id.
-PAGES = "p AS (SELECT concat(source, '-', lang) AS file_hash, doc_id AS page, CASE WHEN doc_id % 17 = 0 THEN '' ELSE text END AS text FROM documents)"
+# Every 17th page is followed by a blank one.
+PAGES = """p AS (SELECT concat(source, '-', lang) AS file_hash, doc_id * 2 AS page, text FROM documents
+  UNION ALL SELECT concat(source, '-', lang), doc_id * 2 + 1, ' ' FROM documents WHERE doc_id % 17 = 0)"""
 
 
 def pages(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
-        F.concat_ws("-", "source", "lang").alias("file_hash"),
-        F.col("doc_id").alias("page"),
-        F.when(F.col("doc_id") % 17 == 0, "").otherwise(F.col("text")).alias("text"),
-    )
+    docs = table(spark, sf_dir, "documents")
+    file_hash = F.concat_ws("-", "source", "lang").alias("file_hash")
+    full = docs.select(file_hash, (F.col("doc_id") * 2).alias("page"), "text")
+    blank = docs.filter(F.col("doc_id") % 17 == 0).select(file_hash, (F.col("doc_id") * 2 + 1).alias("page"), F.lit(" ").alias("text"))
+    return full.unionByName(blank)
 
 
 @query(
@@ -68,7 +70,7 @@ def chunk_recursive(spark, sf_dir):
 TAGGED = """SELECT doc_id, concat(
   CASE doc_id % 5 WHEN 0 THEN 'Host Command EC (ED) table. ' WHEN 1 THEN 'Commands CA/CB here. ' WHEN 2 THEN 'KA and KB differ. '
     WHEN 3 THEN 'Command MY/MZ. Response Code 2 A Value ''nd'' end. ' ELSE '' END,
-  CASE WHEN doc_id % 7 = 0 THEN 'PVK Parity Error listed. ' ELSE '' END, CASE WHEN doc_id % 5 = 4 THEN '' ELSE text END) AS text FROM documents"""
+  CASE WHEN doc_id % 7 = 0 THEN 'PVK Parity Error listed. ' ELSE '' END, text) AS text FROM documents"""
 
 
 @query(
@@ -91,8 +93,7 @@ def chunk_tags(spark, sf_dir):
         .otherwise("")
     )
     parity = F.when(F.col("doc_id") % 7 == 0, "PVK Parity Error listed. ").otherwise("")
-    body = F.when(kind == 4, "").otherwise(F.col("text"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, parity, body).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, parity, "text").alias("text"))
     tagged = ck.tag_chunks(docs)
     return tagged.select(
         "doc_id", "command_code", "response_code", "contains_error_table", ct.content_hash("text").alias("content_hash"), pl.token_estimate("text").alias("tokens")
@@ -166,15 +167,16 @@ def rebuild_version(spark, sf_dir):
 
 @query(
     "scanned_documents",
-    """WITH d AS (SELECT concat(source, '-', lang) AS file_hash, count(*) AS total_pages, count(*) FILTER (n_chars >= 700) AS pages_with_text FROM documents GROUP BY 1)
+    """WITH p AS (SELECT concat(source, '-', lang) AS file_hash, text FROM documents UNION ALL SELECT concat(source, '-', lang), unnest([' ', chr(10)]) FROM documents WHERE lang = 'es'),
+d AS (SELECT file_hash, count(*) AS total_pages, count(*) FILTER (regexp_matches(text, '\\S')) AS pages_with_text FROM p GROUP BY 1)
 SELECT file_hash, total_pages, pages_with_text, CASE WHEN total_pages > 30 THEN 'too_many_pages' ELSE 'scanned_pdf' END AS error_type
 FROM d WHERE total_pages > 30 OR pages_with_text = 0 OR pages_with_text / total_pages < 0.5""",
 )
 def scanned_documents(spark, sf_dir):
-    """Documents that cannot be indexed (short pages count as pages without text)."""
-    text = F.when(F.col("n_chars") >= 700, "x").otherwise(" \n")
-    docs = table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", "lang").alias("file_hash"), text.alias("text"))
-    return ck.scanned_documents(docs, max_pages=30)
+    """Documents that cannot be indexed; in Spanish two blank pages follow every page."""
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", "lang").alias("file_hash"), "lang", "text")
+    blank = docs.filter("lang = 'es'").select("file_hash", F.explode(F.array(F.lit(" "), F.lit("\n"))).alias("text"))
+    return ck.scanned_documents(docs.select("file_hash", "text").unionByName(blank), max_pages=30)
 
 
 @query(

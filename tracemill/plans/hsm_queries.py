@@ -159,16 +159,15 @@ def best_excerpts(spark, sf_dir):
 
 @query(
     "clean_excerpts",
-    """SELECT doc_id, md5(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) AS hash FROM documents WHERE NOT contains(text, 'All Rights Reserved') AND NOT contains(text, 'All rights reserved')""",
+    """SELECT doc_id, md5(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) AS hash FROM documents""",
 )
 def clean_excerpts(spark, sf_dir):
     """Page marks and running heads put around every text and taken out again."""
     docs = table(spark, sf_dir, "documents")
-    plain = docs.filter(~F.contains("text", F.lit("All Rights Reserved")) & ~F.contains("text", F.lit("All rights reserved")))
     framed = F.concat(
         F.lit("--- Page 7 ---\npayShield 10K Core Host Commands\n"), "text", F.lit("\n--- Début page suivante (contexte) ---\nX All Rights Reserved")
     )
-    return plain.select("doc_id", F.md5(hsm.without_page_artifacts(framed)).alias("hash"))
+    return docs.select("doc_id", F.md5(hsm.without_page_artifacts(framed)).alias("hash"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracemill import fixed_values as fv
@@ -443,14 +444,13 @@ def failed_functions(spark, sf_dir):
 pl AS (SELECT k.file_id, k.root, k.pos, s.line_no, s.fn, {ALERT_TEXT.replace('fn', 's.fn')} AS alert FROM s JOIN k USING (file_id, session_id, seg) WHERE s.fn IS NOT NULL),
 fi AS (SELECT file_id, root, alert, min(pos * 10000000000 + line_no) AS place FROM pl GROUP BY ALL)
 SELECT fi.file_id, o.session_id, o.seg, fi.alert, CAST(row_number() OVER (PARTITION BY fi.file_id, fi.root ORDER BY place) AS INTEGER) AS alert_no
-FROM fi JOIN o ON o.file_id = fi.file_id AND o.ord = fi.root QUALIFY alert_no <= 5""",
+FROM fi JOIN o ON o.file_id = fi.file_id AND o.ord = fi.root""",
 )
 def merged_alerts(spark, sf_dir):
-    """First five distinct alerts of every merged transaction, in fold order."""
-    from tracemill.operators.ordered import top_per_group
-
+    """Distinct alerts of every merged transaction, numbered in fold order."""
     alerts = _analysis(spark, sf_dir).alerts()
-    return top_per_group(alerts, TX, [F.col("first_seen")], 5, "alert_no").select(*TX, "alert", "alert_no")
+    number = F.row_number().over(Window.partitionBy(*TX).orderBy("first_seen"))
+    return alerts.select(*TX, "alert", number.alias("alert_no"))
 
 
 @query(

@@ -7,16 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators.chunkstore import missing_chunks
+from tracemill.operators.chunkstore import CHUNK_KEY, missing_chunks
 
 
 def append_chunks(new: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Append chunks the store does not hold yet; a failed run leaves the stored ones untouched and may be repeated."""
+    """Append chunks the store does not hold yet, each key once; a failed run leaves the stored ones untouched and may be repeated."""
     spark = new.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         new = missing_chunks(new, spark.read.parquet(path))
-    new.write.mode("append").partitionBy(*partition_by).parquet(path)
+    new.dropDuplicates(CHUNK_KEY).write.mode("append").partitionBy(*partition_by).parquet(path)
     return spark.read.parquet(path)
 
 
@@ -36,14 +36,16 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_trace_report(lines: DataFrame, path: str) -> None:
     """Transaction lines as text, one folder per file, in report order."""
-    order = ["file", "tx_no", "section", "at"]
-    placed = lines.withColumn("file", F.xxhash64("file_id")).repartitionByRange(*order).sortWithinPartitions(*order)
-    placed.select("file", F.col("text").alias("value")).write.mode("overwrite").partitionBy("file").text(path)
+    order = ["file_id", "tx_no", "section", "at"]
+    placed = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.select("file_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("file_id").text(path)
 
 
 def append_usage(usage: DataFrame, path: str) -> None:
     usage.write.mode("append").parquet(path)
 
 
-def append_session_files(files: DataFrame, path: str) -> None:
-    files.write.mode("append").partitionBy("session_id").parquet(path)
+def append_session_files(files: DataFrame, path: str, buckets: int = 64) -> None:
+    """Append session files, clustered by a bounded number of session buckets (column ``bucket``)."""
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")
+    files.withColumn("bucket", bucket).repartition(buckets, "bucket").write.mode("append").partitionBy("bucket").parquet(path)
