@@ -76,8 +76,8 @@ TAGGED = """SELECT doc_id, concat(
 @query(
     "chunk_tags",
     f"""WITH t AS ({TAGGED})
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'EC' WHEN 1 THEN 'CA' WHEN 2 THEN 'KA' WHEN 3 THEN 'MY' END AS command_code,
-  CASE doc_id % 5 WHEN 0 THEN 'ED' WHEN 1 THEN 'CB' WHEN 2 THEN 'KB' WHEN 3 THEN 'ND' END AS response_code,
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'EC' WHEN 1 THEN 'CA' WHEN 2 THEN 'KA' WHEN 3 THEN 'MY' ELSE upper(nullif(regexp_extract(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])([A-Z0-9]{{2}})\\s*(?:/|\\s+and\\s+|\\s*\\(\\s*)\\s*([A-Z0-9]{{2}})', 1), '')) END AS command_code,
+  CASE doc_id % 5 WHEN 0 THEN 'ED' WHEN 1 THEN 'CB' WHEN 2 THEN 'KB' WHEN 3 THEN 'ND' ELSE upper(nullif(regexp_extract(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])([A-Z0-9]{{2}})\\s*(?:/|\\s+and\\s+|\\s*\\(\\s*)\\s*([A-Z0-9]{{2}})', 2), '')) END AS response_code,
   regexp_matches(lower(text), 'parity error|pin block format has been disabled|response code|error code') AS contains_error_table,
   sha256(text) AS content_hash, CAST(length(text) // 4 AS BIGINT) AS tokens
 FROM t""",
