@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import group_of, query, read, text_bytes
+from tracemill.llm.common import fresh, group_of, query, read, text_bytes
 from tracemill.llm.scan import CODES, Chunk, Prefix, chunks, per_text, spans_inside
 
 WINDOW = 13
@@ -176,8 +176,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05) -> DataFrame:
     """Rows of ``docs`` that are not contaminated; all columns.  The join moves ids and texts once, by ``doc_id``."""
-    hit = decontaminate(docs, benchmark, window, share).filter("contaminated").select(F.col("doc_id").alias("_hit"))
-    return docs.join(hit, docs.doc_id == hit._hit, "left_anti")
+    name = fresh(docs, "_hit")
+    hit = decontaminate(docs, benchmark, window, share).filter("contaminated").select(F.col("doc_id").alias(name))
+    return docs.join(hit, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def _union_of(spans: str):

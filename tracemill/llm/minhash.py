@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import query, read, write_stage
+from tracemill.llm.common import fresh, query, read, write_stage
 from tracemill.llm.decontaminate import words_of
 from tracemill.llm.scan import Chunk, Prefix, chunks, mix
 
@@ -259,8 +259,9 @@ def minhash_dedup(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGL
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One document of each class, that with the smallest id; all columns of ``docs``."""
-    kept = minhash_dedup(docs, least).filter("doc_id = class_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs.doc_id == kept._kept, "left_semi")
+    name = fresh(docs, "_kept")
+    kept = minhash_dedup(docs, least).filter("doc_id = class_id").select(F.col("doc_id").alias(name))
+    return docs.join(kept, F.col("doc_id") == F.col(name), "left_semi")
 
 
 @query("op7_minhash_dedup")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import query, read, write_stage
+from tracemill.llm.common import fresh, query, read, write_stage
 from tracemill.llm.scan import CODES, Chunk, Prefix, chunks, mix, per_text
 
 #: Labelled rows the list is learned from: those with the smallest hash of their id, all if there are fewer.
@@ -242,9 +242,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND)
 def keep_good(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND) -> DataFrame:
     """Rows of ``docs`` that the base and the list keep, with their columns; no text is shuffled."""
     _, rules = quality_rules(docs, labels, bound)
-    name = "_statistics"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "_statistics")
     of = lambda c: F.col(f"{name}.{c}")
     return with_statistics(docs, name).filter(~base_failed(of) & (rule_number(rules, of) == 0)).drop(name)
 

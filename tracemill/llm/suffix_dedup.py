@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import batch_of, group_of, query, read, shuffle_partitions, text_bytes
+from tracemill.llm.common import batch_of, fresh, group_of, query, read, shuffle_partitions, text_bytes
 from tracemill.llm.scan import CODES, Chunk, Prefix, chunks, mix, spans_inside
 
 LEAD = 32
@@ -359,10 +359,11 @@ def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """
     spans = repeated_spans(docs, length)[1]
     groups = max(1, -(-text_bytes(docs) // GROUP_BYTES))
-    dealt = docs.withColumn("_g", group_of("doc_id", groups))
+    g = fresh(docs, "_g")
+    dealt = docs.withColumn(g, group_of("doc_id", groups))
     names = docs.columns
     kind = T.StructType([f for f in docs.schema.fields])
-    out = dealt.groupBy("_g").cogroup(spans.groupBy("g")).applyInArrow(_cut(names), kind)
+    out = dealt.groupBy(g).cogroup(spans.groupBy("g")).applyInArrow(_cut(names), kind)
     return out
 
 
