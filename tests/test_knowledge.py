@@ -18,13 +18,15 @@ from tracemill.sources import refdata as rd
 
 def test_field_conformance(spark):
     rows = [("002", "12345a789"), ("003", ""), ("003", "000000"), ("011", "123456"), ("010", "61000000"), ("010", "ABC"), ("037", "402812345678"),
-            ("039", "00"), ("052", "0123456789ABCDEF"), ("2", "4000****9010"), ("200", "PROP"), ("201", "123456")]
+            ("039", "00"), ("052", "0123456789ABCDEF"), ("2", "4000****9010"), ("200", "PROP"), ("201", "123456"), ("066", "ABCDEFGH"), ("300", "12")]
     fields = spark.createDataFrame(rows, "field_number string, value string")
     chunks = spark.createDataFrame(
-        [(1, "S", "Field 200 Prop. Attributes 3 AN, EBCDIC", "Prop", "", "doc.pdf", "text", None), (2, "T", "x", "Autre", "4 N", "glob.pdf", "field_definition", "201")],
+        [(1, "S", "Field 200 Prop. Attributes 3 AN, EBCDIC", "Prop", "", "doc.pdf", "text", None), (2, "T", "x", "Autre", "4 N", "glob.pdf", "field_definition", "201"), (3, "T", "x", "Connu", "2 N", "glob.pdf", "field_definition", "066")],
         "chunk_id int, session_id string, text string, field_name string, attributes string, source string, type string, field_number string",
     )
-    bad = {(r["field_number"], r["value"]): r for r in conformance(fields, rd.field_reference(spark), chunks, "S").collect()}
+    reference = rd.field_reference(spark)
+    known = reference.unionByName(reference.limit(1).withColumns({"field_key": F.lit("66"), "attributes": F.lit("C0")}))
+    bad = {(r["field_number"], r["value"]): r for r in conformance(fields, known, chunks, "S").collect()}
     assert set(bad) == {("002", "12345a789"), ("003", ""), ("010", "ABC"), ("052", "0123456789ABCDEF"), ("200", "PROP"), ("201", "123456")}
     assert bad[("002", "12345a789")]["attributes"] == "19 N"
     assert bad[("002", "12345a789")]["non_conformity_type"] == "contient des lettres/symboles non conformes (attendu numérique)"
@@ -90,6 +92,9 @@ def test_command_lookup_modes(spark):
     codes = spark.createDataFrame([(1, "ED", None), (2, "ED", "B"), (3, "ZZ", "B")], "query_id int, code string, session_id string")
     strict = [(r["query_id"], r["chunk_id"], r["class"]) for r in rt.command_lookup(codes, chunks, resolved).orderBy("query_id", "rank").collect()]
     assert strict == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 3, 3)]
+    numbers = chunks.union(spark.createDataFrame([(5, "h3", "C", None, None, False, "result 123 here")], chunks.schema))
+    three = rt.command_lookup(spark.createDataFrame([(1, "123", None)], codes.schema), numbers, resolved).collect()
+    assert {(r["chunk_id"], r["class"]) for r in three} >= {(5, 3)}
     loose = {(r["query_id"], r["chunk_id"]) for r in rt.command_lookup(codes, chunks, resolved, loose=True).collect()}
     assert (1, 4) in loose and (2, 4) in loose
     hit = rt.annotate_pair(rt.command_lookup(codes, chunks, resolved).join(chunks.select("chunk_id", "text"), "chunk_id")).filter("query_id = 2").collect()[0]
@@ -111,6 +116,11 @@ def test_store(spark, tmp_path):
     typed = titles.withColumn("created_at", F.to_timestamp("created_at"))
     assert [r["unique_title"] for r in st.unique_titles(typed).orderBy("id").collect()] == ["Base", "Base · 10:00", "Base #2", "Base · 10:01", "Base #3"]
     assert st.unique_titles(typed, used).filter("unique_title = 'Base'").count() == 0
+    more = spark.createDataFrame([("x", t) for t in ("Base", "Base · 10:00", "Base #2", "Base #4")], used.schema)
+    given = [r["unique_title"] for r in st.unique_titles(typed, more).orderBy("id").collect()]
+    assert len(set(given)) == 5 and not set(given) & {"Base", "Base · 10:00", "Base #2", "Base #4"} and given[0] == "Base #3"
+    tie = [spark.createDataFrame([("a", t, "2024-01-01", "2024-03-01")], old.schema) for t in ("m", "n")]
+    assert st.upsert(*tie).first()["title"] == "n" and st.upsert(*tie[::-1]).first()["title"] == "m"
 
 
 def test_chunk_reuse(spark, tmp_path):
@@ -122,6 +132,8 @@ def test_chunk_reuse(spark, tmp_path):
     assert append_chunks(new.filter("chunk_index < 3"), path).count() == 3
     assert append_chunks(new, path).count() == 5
     assert append_chunks(new, path).count() == 5
+    nameless = spark.createDataFrame([(None, "v2", 1), (None, "v2", 1)], new.schema)
+    assert append_chunks(nameless, path).count() == 6 == append_chunks(nameless, path).count()
     old = spark.createDataFrame([("h", "v1", i) for i in range(10)], new.schema)
     stats = cs.hash_stats(old.withColumn("page", F.lit(1))).collect()[0]
     assert not stats["found"] and stats["version_mismatch"]
@@ -133,6 +145,13 @@ def test_payload_fit(spark):
     out = cx.fit_payload(df, ["question", "body"], 1000, "m").collect()
     assert out[0]["estimated_tokens"] <= 800 and not out[0]["skipped"] and "PAYLOAD_TRUNCATED" in out[0]["body"]
     assert out[1]["body"] == "court" and not out[1]["skipped"]
+    array = json.dumps([{"i": i, "t": "a, b: \"é\""} for i in range(400)], ensure_ascii=False)
+    whole = json.dumps({"k": list(range(1500)), "s": "a:b"})
+    for text in (array, whole):
+        cut = cx.fit_payload(spark.createDataFrame([("q", text)], df.schema), ["question", "body"], 2000, "m").first()["body"]
+        assert json.loads(cut) and len(cut) < len(text)
+        if text is array:
+            assert json.dumps(json.loads(cut), ensure_ascii=False) == cut and json.loads(cut) == json.loads(array)[: len(json.loads(cut))]
 
 
 def test_hsm_documentation_cascade(spark):

@@ -374,14 +374,9 @@ HSM_REPORT_CODES = (
 )
 HSM_REPORT_SHAPE = r"\b[A-Z]{2}\d{2}\b"
 
-HSM_ERRORS = """
-05|HSM Result Code 05|Code retour non nominal (05).|Opération cryptographique refusée par le module ; le détail dépend de la commande émise.|Contrôler la commande TO HSM précédente et la table d'erreurs de sa réponse.|dictionnaire HSM
-15|HSM Error 15|Erreur fréquente des vérifications PIN / ARQC.|Bloc PIN ou format cryptographique invalide ou désactivé.|Contrôler le format du PIN block, les clés et la commande source.|dictionnaire HSM
-99|HSM Result Code 99|Code d'erreur générique.|Statut d'échec du module, à lire avec le couple commande/réponse.|Relier le code à la dernière commande TO HSM.|dictionnaire HSM
-ED|Réponse ED (commande EC)|ED répond à la commande EC (vérification de PIN).|Une réponse ED avec sous-code signale un échec de EC.|Lire le sous-code (ED05, ED15) dans la table d'erreurs ED.|dictionnaire HSM
-ED05|ED05|Réponse ED avec le code 05.|Échec de la commande EC, sous-code 05.|Vérifier clés, données d'entrée et format du message.|dictionnaire HSM
-EC|Commande EC|Commande de vérification de PIN.|La réponse attendue est ED.|Analyser la réponse FROM HSM et sa table d'erreurs.|dictionnaire HSM
-"""
+# Codes the dictionary knows when no file is given; their texts come from a file.
+HSM_ERROR_CODES = ("05", "15", "99", "ED", "ED05", "EC")
+HSM_ERROR_SOURCE = "dictionnaire HSM"
 
 # --- excerpts ----------------------------------------------------------------
 

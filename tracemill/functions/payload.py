@@ -37,6 +37,56 @@ def cut_at_line(text: Column | str, cap: Column | int, model: str = "") -> Colum
     return F.concat(cut, F.lit(f"\n\n[PAYLOAD_TRUNCATED: Troncature appliquée pour le modèle {model}]"))
 
 
+def spaced_json(compact: Column) -> Column:
+    """JSON text with one space after every comma and colon outside strings."""
+    tokens = F.regexp_extract_all(compact, F.lit(r'"(?:[^"\\]|\\.)*"|[^"]+'), F.lit(0))
+    apart = lambda t: F.replace(F.replace(t, F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": "))
+    return F.array_join(F.transform(tokens, lambda t: F.when(F.startswith(t, F.lit('"')), t).otherwise(apart(t))), "")
+
+
+def cut_json_array(text: Column | str, cap: Column) -> Column:
+    """The longest prefix of a JSON array whose text stays within ``cap`` characters; null for anything else."""
+    parts = F.from_json(F.to_json(F.try_parse_json(col(text))), "array<variant>")
+    items = F.transform(parts, lambda v: spaced_json(F.to_json(v)))
+    # Brackets and the separators between items: two characters more for every item.
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+    def add(acc, item):
+        size = acc["size"] + F.length(item) + 2
+        fits = acc["open"] & (size <= cap)
+        return F.struct(F.when(fits, size).otherwise(acc["size"]).alias("size"), (acc["n"] + fits.cast("int")).alias("n"), fits.alias("open"))
+
+    held = F.aggregate(items, start, add, lambda acc: acc["n"])
+    return F.concat(F.lit("["), F.array_join(F.slice(items, F.lit(1), held), ", "), F.lit("]"))
+
+
+def cut_json_object(text: Column | str, cap: Column) -> Column:
+    """A JSON object with every list cut to its first half (one item at least); null for anything else.
+
+    What is still longer than ``cap`` loses its tail and is then no longer JSON.
+    """
+    fields = F.map_entries(F.from_json(F.to_json(F.try_parse_json(col(text))), "map<string, variant>"))
+
+    def halved(v):
+        whole = F.from_json(F.to_json(v), "array<variant>")
+        half = F.slice(whole, F.lit(1), F.greatest(F.lit(1), F.floor(F.size(whole) / 2).cast("int")))
+        listed = F.concat(F.lit("["), F.array_join(F.transform(half, lambda x: spaced_json(F.to_json(x))), ", "), F.lit("]"))
+        is_list = F.startswith(F.to_json(v), F.lit("[")) & (F.size(whole) > 0)
+        return F.when(is_list, listed).otherwise(spaced_json(F.to_json(v)))
+
+    quoted = lambda k: F.concat(F.lit('"'), F.regexp_replace(k, r'(["\\])', r"\\$1"), F.lit('"'))
+    body = F.array_join(F.transform(fields, lambda e: F.concat(quoted(e["key"]), F.lit(": "), halved(e["value"]))), ", ")
+    return F.left(F.concat(F.lit("{"), body, F.lit("}")), cap)
+
+
+def cut_part(text: Column | str, cap: Column, model: str = "") -> Column:
+    """A prompt part cut to ``cap`` characters: JSON arrays and objects by their items, other text at a line end."""
+    t = strip(text)
+    enclosed = lambda a, b: F.startswith(t, F.lit(a)) & F.endswith(t, F.lit(b))
+    as_json = F.when(enclosed("[", "]"), cut_json_array(t, cap)).when(enclosed("{", "}"), cut_json_object(t, cap))
+    return F.coalesce(as_json, cut_at_line(text, cap, model))
+
+
 def conversation_title(question: Column | str, words: int = fv.TITLE_WORDS) -> Column:
     found = words_of(question)
     short = F.concat_ws(" ", F.slice(found, F.lit(1), F.lit(words)))

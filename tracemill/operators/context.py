@@ -129,8 +129,8 @@ def json_prefix(rows: DataFrame, keys: Sequence[str], order: Sequence[str], item
 def fit_payload(df: DataFrame, parts: Sequence[str], max_tokens: int, model: str = "") -> DataFrame:
     """Text columns ``parts`` of each row fitted to a model's context.
 
-    A row over 80 % of ``max_tokens`` has its longest part cut by the excess; a row where
-    that would destroy the part is marked ``skipped``.  Adds ``estimated_tokens``.
+    A row over 80 % of ``max_tokens`` has its longest part cut by the excess (JSON parts by
+    their items, so that they stay JSON); a row where that would destroy the part is marked ``skipped``.  Adds ``estimated_tokens``.
     """
     tokens = lambda: sum((F.when(F.col(p).isNull(), 0).otherwise(pl.token_estimate(p, 1)) for p in parts), F.lit(0))
     limit = int(max_tokens * fv.SAFE_SHARE)
@@ -144,7 +144,7 @@ def fit_payload(df: DataFrame, parts: Sequence[str], max_tokens: int, model: str
     cut = {}
     for p in parts:
         is_longest = F.coalesce(F.length(p), F.lit(0)) == F.col("__len")
-        cut[p] = F.when(F.col("__cut").isNotNull() & not_yet & is_longest, pl.cut_at_line(p, F.col("__cut"), model)).otherwise(F.col(p))
+        cut[p] = F.when(F.col("__cut").isNotNull() & not_yet & is_longest, pl.cut_part(p, F.col("__cut"), model)).otherwise(F.col(p))
         not_yet = not_yet & ~is_longest
     return work.withColumns(cut).withColumn("estimated_tokens", tokens()).drop("__t", "__len", "__cut")
 

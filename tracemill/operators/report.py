@@ -158,8 +158,7 @@ def transaction_lines(tx: DataFrame, placed: DataFrame, mode: str = "compact", m
     )
 
 
-def reassemble(lines: DataFrame, keys: Sequence[str], position: str, text: str = "text", part_lines: int = 100_000) -> DataFrame:
-    """Lines joined back to text, in order, in parts of at most ``part_lines`` positions (usually one)."""
-    part = F.floor(F.col(position) / part_lines).cast("bigint").alias("part")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, text))), lambda x: x[text]), "\n")
-    return lines.groupBy(*keys, part).agg(body.alias(text), F.count("*").alias("line_count"))
+def reassemble(lines: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "text") -> DataFrame:
+    """Lines of each group joined back to one text, in order."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text))), lambda x: x[text]), "\n")
+    return lines.groupBy(*keys).agg(body.alias(text), F.count("*").alias("line_count"))

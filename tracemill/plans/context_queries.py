@@ -107,6 +107,27 @@ def payload_fit(spark, sf_dir):
     return fitted.select("doc_id", "skipped", F.md5("text").alias("text_hash"))
 
 
+@query(
+    "payload_fit_json",
+    """WITH e AS (SELECT l_suppkey, l_orderkey, l_linenumber, concat('{"l": ', l_linenumber, ', "o": ', l_orderkey, ', "t": "a, b: c"}') AS el FROM lineitem),
+b AS (SELECT l_suppkey, string_agg(el, ', ' ORDER BY l_orderkey, l_linenumber) AS body, count(*) AS n FROM e GROUP BY 1),
+t AS (SELECT *, length(body) + 2 AS len, greatest((length(body) + 2) // 4, 1) AS t FROM b),
+c AS (SELECT *, CASE WHEN t > 1600 AND len > (t - 1600) * 4 + 200 THEN greatest(200, len - (t - 1600) * 4 - 300) END AS cut FROM t),
+r AS (SELECT l_suppkey, el, l_orderkey, l_linenumber, sum(length(el) + 2) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS size FROM e)
+SELECT c.l_suppkey, count(el) AS items, md5(concat('[', coalesce(string_agg(el, ', ' ORDER BY r.l_orderkey, r.l_linenumber), ''), ']')) AS body_hash
+FROM c LEFT JOIN r ON r.l_suppkey = c.l_suppkey AND (c.cut IS NULL OR r.size <= c.cut) GROUP BY 1""",
+)
+def payload_fit_json(spark, sf_dir):
+    """A JSON array per supplier fitted to 2,000 tokens; what is cut stays JSON."""
+    element = F.format_string('{"l": %d, "o": %d, "t": "a, b: c"}', "l_linenumber", "l_orderkey")
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", element.alias("el")).alias("e"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["el"]), ", ")
+    parts = items.groupBy("l_suppkey").agg(F.concat(F.lit("["), body, F.lit("]")).alias("body"))
+    fitted = cx.fit_payload(parts, ["body"], 2000)
+    held = F.size(F.from_json("body", "array<struct<l: int, o: bigint>>")).cast("bigint")
+    return fitted.select("l_suppkey", held.alias("items"), F.md5("body").alias("body_hash"))
+
+
 @query(
     "last_turns",
     """SELECT conv_id, turn, role, CAST(recency AS INTEGER) AS recency FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS recency FROM conversations) WHERE recency <= 6""",

@@ -10,30 +10,34 @@ from pyspark.sql import functions as F
 from tracemill import fixed_values as fv
 from tracemill.functions.text import blank_to_null, empty_to_null, lines_of, strip
 from tracemill.operators.report import reassemble
-from tracemill.operators.scan import BLOCK, Running, block_scan, position_block
+from tracemill.operators.scan import Running, block_scan, position_block
 
-#: Page numbers are spread by this factor so that (page, line) becomes one position.
-LINES_PER_PAGE = 1_000_000
+#: Pages per block when sections are followed through a document.
+PAGE_BLOCK = 4096
 
 
 def page_lines(pages: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
-    """Lines of page text with a position that grows over the whole document."""
-    return pages.select(*keys, "page", F.posexplode(lines_of("text")).alias("i", "line")).select(
-        *keys, "page", (F.col("page") * F.lit(LINES_PER_PAGE) + F.col("i")).cast("bigint").alias("pos"), "line"
-    )
+    """Lines of page text; ``(page, i)`` is their position in the document."""
+    return pages.select(*keys, "page", F.posexplode(lines_of("text")).alias("i", "line"))
 
 
-def field_sections(pages: DataFrame, keys: Sequence[str] = ("source",), block: int = BLOCK) -> DataFrame:
-    """Sections opened by a line ``Field N—Name``; later lines belong to it until the next one.
+def field_section_lines(pages: DataFrame, keys: Sequence[str] = ("source",), block: int = PAGE_BLOCK) -> DataFrame:
+    """Lines of sections opened by a line ``Field N—Name``; later lines belong to it until the next one.
 
-    ``section`` is the position of the header line; a very long section comes in several parts.
+    ``section`` is the position ``(page, i)`` of the header line.
     """
     keys = list(keys)
     lines = page_lines(pages, keys)
     number = empty_to_null(F.regexp_extract("line", fv.FIELD_HEADER, 1))
-    headed = lines.withColumn("__no", number).withColumn("__at", F.when(F.col("__no").isNotNull(), F.col("pos")))
-    scanned = block_scan(headed, keys, ["pos"], position_block("pos", block * LINES_PER_PAGE // 100), [Running("section", "max", "__at")])
-    inside = scanned.filter(F.col("section").isNotNull())
+    headed = lines.withColumn("__no", number).withColumn("__at", F.when(F.col("__no").isNotNull(), F.struct("page", "i")))
+    scanned = block_scan(headed, keys, ["page", "i"], position_block("page", block), [Running("section", "max", "__at")])
+    return scanned.filter(F.col("section").isNotNull()).drop("__at")
+
+
+def field_sections(pages: DataFrame, keys: Sequence[str] = ("source",), block: int = PAGE_BLOCK) -> DataFrame:
+    """One row per section with its text, number, name and page (see :func:`field_section_lines` for the lines)."""
+    keys = list(keys)
+    inside = field_section_lines(pages, keys, block)
     heads = inside.filter(F.col("__no").isNotNull()).select(
         *keys,
         "section",
@@ -41,7 +45,7 @@ def field_sections(pages: DataFrame, keys: Sequence[str] = ("source",), block: i
         strip(F.regexp_extract("line", fv.FIELD_HEADER, 2)).alias("field_name"),
         "page",
     )
-    texts = reassemble(inside.select(*keys, "section", "pos", F.col("line").alias("text")), [*keys, "section"], "pos", part_lines=LINES_PER_PAGE * 1000)
+    texts = reassemble(inside.select(*keys, "section", "page", "i", F.col("line").alias("text")), [*keys, "section"], ["page", "i"])
     return texts.join(heads, [*keys, "section"]).withColumn("attributes", F.lit(""))
 
 
@@ -74,10 +78,10 @@ def field_table(pages: DataFrame, keys: Sequence[str] = ("source",)) -> DataFram
     pick = lambda i: F.coalesce(
         empty_to_null(F.regexp_extract("line", fv.FIELD_ROW, i)), empty_to_null(F.regexp_extract("line", fv.FIELD_ROW_SHORT, i))
     )
-    rows = lines.select(*keys, "page", "pos", pick(1).alias("number"), strip(pick(2)).alias("name"), pick(3).cast("int").alias("length"), strip(pick(4)).alias("raw"))
+    rows = lines.select(*keys, "page", "i", pick(1).alias("number"), strip(pick(2)).alias("name"), pick(3).cast("int").alias("length"), strip(pick(4)).alias("raw"))
     good = rows.filter(F.col("number").cast("int").between(low, high) & (F.col("name") != "") & F.col("length").isNotNull())
     body = F.struct("name", "length", normal_type(F.col("raw")).alias("type_code"), encoding(F.col("raw")).alias("format"), "page")
-    first = good.groupBy(*keys, "number").agg(F.min_by(body, "pos").alias("f"))
+    first = good.groupBy(*keys, "number").agg(F.min_by(body, F.struct("page", "i")).alias("f"))
     return first.select(*keys, "number", "f.*")
 
 

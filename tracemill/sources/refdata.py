@@ -145,10 +145,11 @@ def resolve_codes(pairs: DataFrame) -> DataFrame:
 
 
 def hsm_errors(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """``code, title, description, meaning, diagnostic_hint, source``."""
+    """``code, title, description, meaning, diagnostic_hint, source``; without a file the known codes, untold."""
     schema = "code string, title string, description string, meaning string, diagnostic_hint string, source string"
     if path is None:
-        return _table(spark, fv.HSM_ERRORS, schema)
+        bare = [(c, f"Code HSM {c}", "", "", "", fv.HSM_ERROR_SOURCE) for c in fv.HSM_ERROR_CODES]
+        return values(spark, bare, schema)
     entry = "struct<title:string,description:string,meaning:string,error_meaning:string,diagnostic_hint:string,source:string>"
     raw = spark.read.text(path, wholetext=True)
     rows = raw.select(F.explode(F.from_json("value", f"map<string,{entry}>")).alias("code", "e"))
@@ -158,7 +159,7 @@ def hsm_errors(spark: SparkSession, path: str | None = None) -> DataFrame:
         F.coalesce("e.description", F.lit("")).alias("description"),
         F.coalesce(F.nullif("e.meaning", F.lit("")), "e.error_meaning", F.lit("")).alias("meaning"),
         F.coalesce("e.diagnostic_hint", F.lit("")).alias("diagnostic_hint"),
-        F.coalesce("e.source", F.lit("dictionnaire HSM")).alias("source"),
+        F.coalesce("e.source", F.lit(fv.HSM_ERROR_SOURCE)).alias("source"),
     )
 
 
