@@ -47,10 +47,12 @@ def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str,
 
 
 def _grams(text: Column, size: int) -> Column:
-    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, size)))
+    """Distinct character grams, in time linear in the text: its characters zipped with themselves."""
+    chars = F.split(text, "")
+    if size == 1:
+        return F.array_distinct(chars)
+    shifted = F.arrays_zip(*[F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars) - (size - 1), F.lit(0))).alias(str(k)) for k in range(size)])
+    return F.array_distinct(F.transform(shifted, lambda z: F.concat(*[z[str(k)] for k in range(size)])))
 
 
 def _by_grams(texts: DataFrame, text: Column, keys: DataFrame, size: int) -> DataFrame:
@@ -58,7 +60,7 @@ def _by_grams(texts: DataFrame, text: Column, keys: DataFrame, size: int) -> Dat
     common = pieces.groupBy("__gram").agg(F.count("*").alias("__n"))
     rarest = pieces.join(common, "__gram").groupBy("__key").agg(F.min(F.struct("__n", "__gram")).alias("__r"))
     probes = rarest.select("__key", F.col("__r.__gram").alias("__gram"))
-    exploded = texts.withColumn("__text", text).withColumn("__gram", F.explode(_grams(F.col("__text"), size)))
-    return (
-        exploded.join(probes, "__gram").filter(F.contains(F.col("__text"), F.col("__key"))).drop("__gram", "__text")
-    )
+    # Candidates carry a digest of their row only; each text is moved once, to its candidates.
+    rows = texts.withColumns({"__text": text, "__row": F.md5(F.to_json(F.struct(*texts.columns)))})
+    found = rows.select("__row", F.explode(_grams(F.col("__text"), size)).alias("__gram")).join(probes, "__gram").select("__row", "__key").distinct()
+    return rows.join(found, "__row").filter(F.contains(F.col("__text"), F.col("__key"))).drop("__row", "__text")

@@ -58,9 +58,16 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a staged table when the application ends: until then results may still read it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least one partition per core.
 
@@ -87,9 +94,10 @@ def values(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame([tuple(r) for r in rows], columns=struct.names, dtype=object), struct)
 
 
-def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, else unchanged (then Spark shuffles both sides)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its rows take at most ``limit`` bytes as text, else unchanged (then Spark decides)."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 16).alias("n")).first()["n"]
+    return F.broadcast(df) if (size or 0) <= limit else df
 
 
-__all__ = ["SETTINGS", "configure", "shared_folder", "stage", "spread", "bounded_rows", "small", "values"]
+__all__ = ["SETTINGS", "configure", "remove_at_end", "shared_folder", "stage", "spread", "bounded_rows", "small", "values"]

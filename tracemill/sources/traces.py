@@ -49,8 +49,9 @@ def text_scan(reader) -> DataFrame:
 def read_traces(spark: SparkSession, path: str, trace_only: bool = True) -> DataFrame:
     """Numbered lines (blank ones included) of all trace files under ``path``."""
     raw = spark.read.option("recursiveFileLookup", "true").text(path)
-    lines = number_lines(text_scan(raw))
-    return lines.filter(is_trace_file(F.element_at(F.split("file_id", "/"), -1))) if trace_only else lines
+    if trace_only:  # on the file's metadata, so that other files are not read
+        raw = raw.filter(is_trace_file(F.col("_metadata.file_name")))
+    return number_lines(text_scan(raw))
 
 
 def trace_hints(lines: DataFrame, n: int = fv.TRACE_HINT_LINES) -> DataFrame:
