@@ -94,7 +94,7 @@ def test_classes(spark, corpus, monkeypatch):
         if common >= 0.8 * (sum(bags[i].values()) + sum(bags[j].values()) - common):
             a, b = root(i), root(j)
             up[max(a, b)] = min(a, b)
-    for block in (128, 2):
+    for block in (16_384, 2):
         monkeypatch.setattr(minhash, "BLOCK", block)
         assert {r["doc_id"]: r["class_id"] for r in minhash.minhash_dedup(corpus).collect()} == {i: root(i) for i in bags}
 
