@@ -6,9 +6,11 @@ multiplicity only partly reaches the points beyond are left out.  A register kee
 in a register with a probability of exactly their weighted Jaccard similarity.  Points are made in ascending time up to
 a horizon that leaves all registers filled; a text with an empty register is done again with twice the horizon.
 
-Texts with one bag are one node.  In each band bucket every member is verified against the smallest one; buckets whose
-members then lie in several components are compared across components in bounded blocks, so no link is lost, and no
-bucket is expanded to all its pairs unless its members really are unlike.
+Texts with one bag are one node.  In each band bucket every member is verified against its most central one, that whose
+buckets hold most members: among copies of one text it is the one with the fewest changes, and what is like any of them
+is mostly like it.  Buckets whose members then lie in several components are compared across components.  A pair can only
+reach the similarity if enough shingles are left besides those that no other such text has; they are counted in ``CELLS``
+cells by hash, and two texts share in a cell at most the smaller count.  The few pairs that pass are verified.  So no link is lost, and unlike members of a large bucket make no pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from tracemill.llm.scan import Chunk, Prefix, chunks, mix
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 4: a pair of similarity 0.8 is missed with probability 5e-8.
 BANDS, ROWS = 32, 4
-BLOCK = 128
+#: Members of a bucket whose numbers are compared in one task.
+BLOCK = 16_384
+CELLS = 128
 U64 = np.uint64
 MASK = (1 << 64) - 1
 
@@ -168,30 +172,57 @@ def verify(least: float):
     return run
 
 
-LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+PAIRS = pa.schema([("doc_id", pa.int64()), ("first", pa.int64())])
 
 
-def verify_block(least: float):
-    """Links across components among the members of two blocks of a bucket; a link makes two components one."""
+def own_tokens(batches):
+    """``doc_id, token``: the fingerprints of each bag."""
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy()
+        for start in range(0, batch.num_rows, 64):
+            tokens = [np.frombuffer(x, np.int64) for x in batch.column("bag").slice(start, 64).to_pylist()]
+            owner = np.repeat(ids[start : start + 64], [len(t) for t in tokens])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(tokens))], ["doc_id", "token"])
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, comp = table.column("doc_id").to_pylist(), table.column("c").to_pylist()
-        members = [np.frombuffer(x, U64) for x in table.column("bag").to_pylist()]
-        up = {c: c for c in comp}
 
-        def root(c):
-            while up[c] != c:
-                up[c] = c = up[up[c]]
-            return c
+def cells_of(batches):
+    """``doc_id, n, cells``: shingles of a bag by cell, without those in ``alone``."""
+    for batch in batches:
+        made, sizes = [], []
+        for bag, alone in zip(batch.column("bag").to_pylist(), batch.column("alone").to_pylist(), strict=True):
+            tokens = np.frombuffer(bag, U64)
+            counts = np.bincount(tokens % U64(CELLS), minlength=CELLS) - np.bincount(np.array(alone or [], np.int64).view(U64) % U64(CELLS), minlength=CELLS)
+            made.append(counts.astype(np.int32).tobytes()), sizes.append(len(tokens))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "n", "cells"])
 
-        out = []
-        for i in range(len(ids)):
-            for j in range(i):
-                x, y = root(comp[i]), root(comp[j])
-                if x != y and similar(members[i], members[j], least):
-                    up[max(x, y)] = min(x, y)
-                    out.append((ids[i], ids[j]))
-        return pa.Table.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], schema=LINKS)
+
+def possible_pairs(least: float):
+    """Pairs of different components whose bags may reach ``least``.
+
+    ``cells`` counts by hash those of the ``n`` shingles that occur in some other text; two bags share at most the smaller
+    count of each cell.
+    """
+
+    def run(key, table):
+        same = key[1].as_py() == key[2].as_py()
+        own, ids, c, n = (table.column(x).to_numpy() for x in ("own", "doc_id", "c", "n"))
+        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.int32).reshape(-1, CELLS)
+        left = cells.sum(axis=1)
+        x = np.flatnonzero(own == key[1].as_py())
+        y = x if same else np.flatnonzero(own == key[2].as_py())
+        y = y[np.argsort(n[y], kind="stable")]
+        pairs = [(np.zeros(0, np.int64),) * 2]
+        for i in x[left[x] >= least * n[x]]:  # sizes of partners lie between these bounds
+            a, b = np.searchsorted(n[y], [least * n[i], n[i] / least + 1])
+            j = y[a:b]
+            common = np.minimum(left[i], left[j])
+            j = j[(c[j] != c[i]) & (common >= least * (n[i] + n[j] - common) - 1e-9)]
+            j = j[ids[j] < ids[i]] if same else j
+            for part in np.array_split(j, len(j) // 4096 + 1):
+                common = np.minimum(cells[part], cells[i]).sum(axis=1)
+                part = part[common >= least * (n[i] + n[part] - common) - 1e-9]
+                pairs.append((np.maximum(ids[i], ids[part]), np.minimum(ids[i], ids[part])))
+        return pa.Table.from_arrays([pa.array(np.concatenate([p[k] for p in pairs])) for k in range(2)], schema=PAIRS)
 
     return run
 
@@ -226,32 +257,44 @@ def minhash_dedup(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGL
     bag_key = ["n", "d1", "d2"]
     reps = sig.filter("n > 0").groupBy(*bag_key).agg(F.min("doc_id").alias("rep"))
     nodes = sig.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
-    buckets = nodes.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("digest"))
+    buckets = nodes.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("digest"))
     # Buckets with the same members count once.
-    buckets = buckets.filter("size > 1").groupBy("first", "size", "digest").agg(F.min("key").alias("key"))
-    members = write_stage(nodes.join(buckets.select("key", "first", "size"), "key"), "members")
-    wanted = members.select("doc_id").distinct()
-    bag = write_stage(texts.join(wanted, "doc_id").mapInArrow(bags(size), "doc_id long, bag binary"), "bags")
-    pairs = members.filter("doc_id <> first").select("doc_id", "first").distinct()
-    both = pairs.join(bag.select("doc_id", F.col("bag").alias("bag_a")), "doc_id").join(bag.select(F.col("doc_id").alias("first"), F.col("bag").alias("bag_b")), "first")
-    links = write_stage(both.select(F.col("doc_id").alias("a"), F.col("first").alias("b"), "bag_a", "bag_b").mapInArrow(verify(least), "a long, b long"), "links")
-    comp = components(links)
-
-    def placed(df):
-        return df.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-
-    # A bucket with several components: compare across them, in blocks of a bounded number of members.
-    here = write_stage(placed(members), "placed")
-    open_buckets = here.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    buckets = buckets.filter("size > 1").groupBy("size", "digest").agg(F.min("key").alias("key"), F.count("*").alias("times"))
+    members = write_stage(nodes.join(buckets.select("key", (F.col("size") * F.col("times")).alias("weight")), "key"), "members")
+    central = members.groupBy("doc_id").agg(F.sum("weight").alias("weight"))
+    leaders = members.select("key", "doc_id").join(central, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("weight", F.negative("doc_id"))).alias("first"))
+    bag = write_stage(texts.join(central.select("doc_id").hint("merge"), "doc_id").mapInArrow(bags(size), "doc_id long, bag binary"), "bags")
+
+    def linked(pairs, label):
+        # Shuffled at every size: whether a side could be broadcast would change with the corpus.
+        pairs = pairs.distinct().hint("merge").join(bag.select("doc_id", F.col("bag").alias("bag_a")), "doc_id")
+        both = pairs.hint("merge").join(bag.select(F.col("doc_id").alias("first"), F.col("bag").alias("bag_b")), "first")
+        return write_stage(both.select(F.col("doc_id").alias("a"), F.col("first").alias("b"), "bag_a", "bag_b").mapInArrow(verify(least), "a long, b long"), label)
+
+    comp = components(linked(members.join(leaders, "key").filter("doc_id <> first").select("doc_id", "first"), "links"))
+    # A bucket with several components: its members' numbers, in blocks of a bounded size.
+    here = members.select("key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    here = write_stage(here, "placed")
+    several = here.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
+    still = write_stage(here.join(several.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key"), "open")
+    tokens = bag.join(still.select("doc_id").distinct().hint("merge"), "doc_id").mapInArrow(own_tokens, "doc_id long, token long")
+    shared = tokens.groupBy("token").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("texts")).filter("texts = 1")
+    alone = shared.groupBy("doc_id").agg(F.collect_list("token").alias("alone"))
+    asked = bag.join(still.select("doc_id").distinct().hint("merge"), "doc_id").join(alone.hint("merge"), "doc_id", "left")
+    numbers = asked.mapInArrow(cells_of, "doc_id long, n long, cells binary")
     jobs = (
-        here.select("key", "doc_id", "c").join(open_buckets, "key")
+        still.join(numbers, "doc_id")
         .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "doc_id", "c")
+        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "c", "n", "cells")
     )
-    late = write_stage(jobs.join(bag, "doc_id").groupBy("key", "x", "y").applyInArrow(verify_block(least), "a long, b long"), "late")
-    if not late.isEmpty():
-        comp = components(links.union(late))
+    late = linked(jobs.groupBy("key", "x", "y").applyInArrow(possible_pairs(least), "doc_id long, first long"), "late")
+    if not late.isEmpty():  # components that the late links join
+        label = comp.select("node", "c")
+        over = late.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left")
+        joined = components(over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).toDF("c", "top")
+        every = comp.union(joined.select("c", "c")).distinct()
+        comp = every.join(joined, "c", "left").select("node", F.coalesce("top", "c").alias("c")).groupBy("node").agg(F.min("c").alias("c"))
     final = sig.select("doc_id", "n", "d1", "d2").join(reps, bag_key, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     final = final.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     return final.select("doc_id", F.coalesce("c", "rep").alias("class_id"), F.col("n").alias("n_shingles"))
@@ -261,7 +304,7 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One document of each class, that with the smallest id; all columns of ``docs``."""
     name = fresh(docs, "_kept")
     kept = minhash_dedup(docs, least).filter("doc_id = class_id").select(F.col("doc_id").alias(name))
-    return docs.join(kept, F.col("doc_id") == F.col(name), "left_semi")
+    return docs.join(kept.hint("merge"), F.col("doc_id") == F.col(name), "left_semi")
 
 
 @query("op7_minhash_dedup")
