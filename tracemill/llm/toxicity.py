@@ -24,7 +24,9 @@ LABEL_BOUND = 40_000
 #: Lengths in bytes of the word beginnings that may become stems (0: the whole word).
 STEMS = (0, 4, 5, 6, 7, 8)
 #: A lexicon entry needs this many different contexts in toxic texts, and this log-odds against clean ones.
-MIN_CONTEXTS, MIN_ODDS = 8, 3.5
+MIN_CONTEXTS, MIN_ODDS = 8, 3.0
+#: Toxic texts a word must occur in, and log-odds by texts, before its contexts are looked at.
+MIN_TEXTS, MIN_TEXT_ODDS = 3, 2.0
 #: Clauses end at punctuation; a target counts within this many words, a negation or a report within this many before.
 NEAR, GOVERN = 3, 4
 
@@ -81,8 +83,33 @@ def found_in(prints: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(table[spot] == prints, spot, -1)
 
 
-def lexicon_counts(rows: DataFrame) -> DataFrame:
-    """Contexts (neighbouring words) of each word and stem: ``stem, print, toxic, clean``.  Copies of a text add none."""
+def text_counts(rows: DataFrame) -> DataFrame:
+    """Texts that hold each word and stem: ``stem, print, toxic, clean``, summed per chunk before they are shuffled."""
+
+    def count(batches):
+        for chunk in chunks(batches):
+            text, _, _, stem = tokens(chunk)
+            if not len(text):
+                continue
+            toxic = chunk.batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+            salt = mix(np.arange(1, chunk.n + 1, dtype=U64))
+            for size in STEMS:
+                has, p = stem(size)
+                _, once = np.unique(p ^ salt[text[has]], return_index=True)
+                bad = toxic[text[has][once]]
+                prints, inverse = np.unique(p[once], return_inverse=True)
+                sums = [np.bincount(inverse, weights=w, minlength=len(prints)).astype(np.int64) for w in (bad, ~bad)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(prints), size, np.int32)), pa.array(prints.view(np.int64)), *map(pa.array, sums)], ["stem", "print", "toxic", "clean"])
+
+    made = rows.mapInArrow(count, "stem int, print long, toxic long, clean long")
+    return made.groupBy("stem", "print").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def context_counts(rows: DataFrame, asked: dict[int, np.ndarray]) -> DataFrame:
+    """Contexts (neighbouring words) of the words and stems ``asked`` for: ``stem, print, toxic, clean``.
+
+    Copies of a text add none, and a context that a clean text has too is clean.
+    """
 
     def contexts(batches):
         for chunk in chunks(batches):
@@ -91,13 +118,12 @@ def lexicon_counts(rows: DataFrame) -> DataFrame:
                 continue
             toxic = chunk.batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)[text]
             around = mix(np.concatenate([[U64(0)], prints[:-1]]) * U64(3) + np.concatenate([prints[1:], [U64(0)]]))
-            for size in STEMS:
+            for size, table in asked.items():
                 has, p = stem(size)
-                seen = mix(p ^ around[has])
-                _, first = np.unique(seen ^ toxic[has].astype(U64), return_index=True)
+                hit = found_in(p, table) >= 0
+                p, near, bad = p[hit], around[has][hit], toxic[has][hit]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(first), size, np.int32)), pa.array(p[first].view(np.int64)), pa.array(seen[first].view(np.int64)), pa.array(toxic[has][first])],
-                    ["stem", "print", "context", "toxic"],
+                    [pa.array(np.full(len(p), size, np.int32)), pa.array(p.view(np.int64)), pa.array(near.view(np.int64)), pa.array(bad)], ["stem", "print", "context", "toxic"]
                 )
 
     seen = rows.mapInArrow(contexts, "stem int, print long, context long, toxic boolean")
@@ -105,6 +131,12 @@ def lexicon_counts(rows: DataFrame) -> DataFrame:
     return once.groupBy("stem", "print").agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean"))
 
 
+def sorted_prints(part) -> tuple[np.ndarray, np.ndarray]:
+    prints = part["print"].to_numpy(np.int64).view(U64)
+    order = np.argsort(prints)
+    return prints[order], part.odds.to_numpy()[order]
+
+
 class Grammar:
     """Lexicon and weights."""
 
@@ -198,11 +230,13 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND) -> Grammar
         grammar.bias = 4.0 if totals.t else -4.0
         return grammar
     odds = F.log((F.col("toxic") + 0.5) / (totals.t + 1)) - F.log((F.col("clean") + 0.5) / (totals.c + 1))
-    entries = lexicon_counts(rows).filter(F.col("toxic") >= MIN_CONTEXTS).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS).select("stem", "print", "odds").toPandas()
-    for size, part in entries.groupby("stem"):
-        prints = part["print"].to_numpy(np.int64).view(U64)
-        order = np.argsort(prints)
-        grammar.tables[int(size)] = prints[order], part.odds.to_numpy()[order]
+
+    def telling(counted, least, least_odds):
+        return counted.filter(F.col("toxic") >= least).withColumn("odds", odds).filter(F.col("odds") >= least_odds).select("stem", "print", "odds").toPandas()
+
+    asked = {int(size): sorted_prints(part)[0] for size, part in telling(text_counts(rows), MIN_TEXTS, MIN_TEXT_ODDS).groupby("stem")}
+    if asked:
+        grammar.tables = {int(size): sorted_prints(part) for size, part in telling(context_counts(rows, asked), MIN_CONTEXTS, MIN_ODDS).groupby("stem")}
 
     def measure(batches):
         for chunk in chunks(batches):
