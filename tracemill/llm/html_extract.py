@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import query, read
+from tracemill.llm.common import query, read, write_stage
+from tracemill.session import small
 
 #: A node is template when at least this share of at least so many distinct pages has its text.
 CONSTANT, LEAST_PAGES = 0.9, 8
@@ -365,13 +366,14 @@ def main_texts(pages: DataFrame) -> DataFrame:
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
     rows = pages.select("page_id", "url", "html").withColumns({"host": host, "print": F.xxhash64("html")})
     refs = rows.filter("html IS NOT NULL").groupBy("host").agg(F.min_by("html", F.struct("print", F.col("page_id").cast("string"))).alias("ref"))
-    voted = rows.filter("html IS NOT NULL").select("host", "print", "html").join(refs, "host").mapInArrow(votes, "host string, print long, votes string")
+    refs = write_stage(refs, "references")  # one page a host; sent to the tasks while they are few by measured bytes
+    voted = rows.filter("html IS NOT NULL").select("host", "print", "html").join(small(refs), "host").mapInArrow(votes, "host string, print long, votes string")
     once = voted.groupBy("host", "print").agg(F.min("votes").alias("votes"))
     ballots = once.select("host", F.posexplode(F.split("votes", "")).alias("node", "vote")).filter("vote IN ('0', '1')")
     shares = ballots.groupBy("host", "node").agg(F.avg(F.col("vote").cast("int")).alias("share"), F.count("*").alias("n"))
     constant = shares.filter((F.col("share") >= CONSTANT) & (F.col("n") >= LEAST_PAGES)).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("constant"))  # at most the nodes of one page
-    wrappers = refs.join(constant, "host", "left")
-    joined = rows.drop("print").join(wrappers, "host", "left")
+    wrappers = write_stage(refs.join(constant, "host", "left"), "wrappers")
+    joined = rows.drop("print").join(small(wrappers), "host", "left")
     kinds = dict(rows.dtypes)
     return joined.mapInArrow(extract(["page_id", "url"]), f"page_id {kinds['page_id']}, url string, text string, n_chars long")
 
