@@ -66,5 +66,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_key(docs: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """``docs`` with a key of its own for every row in the long column ``name``, ordered as ``doc_id``; is it ``doc_id`` itself?
+
+    Ids that are unique and not null are the key.  Otherwise all rows are sorted by id (null last) and numbered, equal ids by
+    their text, equal rows by their place; the numbers are written once, so every later reading has the same.
+    """
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("doc_id IS NULL OR rows > 1")
+    if repeated.isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long")), True
+    tie, place = fresh(docs, "_tie"), fresh(docs, "_place")
+    order = [F.col("doc_id").asc_nulls_last(), F.col(tie), F.col(place)]  # the ties spread an id of any share over the ranges
+    rows = docs.withColumns({tie: F.xxhash64("text"), place: F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order).drop(tie, place)
+    return write_stage(rows.withColumn(name, F.monotonically_increasing_id()), "keyed"), False
+
+
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import fresh, group_of, query, read, text_bytes
+from tracemill.llm.common import fresh, group_of, query, read, text_bytes, with_key
 from tracemill.llm.scan import CODES, Chunk, Prefix, chunks, per_text, spans_inside
 
 WINDOW = 13
@@ -152,15 +152,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     Words are runs of letters, digits and non-ASCII characters, A-Z lowered.  A window is ``window`` consecutive words of an
     item, or a shorter item as a whole; a word inside an occurrence of a window is hit; a document is contaminated when
     hit words are at least ``share`` of its words.  Null texts have no words; empty tables and items without words give
-    no hits; repeated items count once by id; other columns are not read.  ``spans`` are word ranges.
+    no hits; repeated items count once by id; other columns are not read.  ``spans`` are word ranges.  Rows with repeated or
+    null ids get one row each, however many blocks the benchmark has.
     """
     n = max(1, -(-text_bytes(benchmark) // BLOCK_BYTES))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
+    rows_in, plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), True
+    if n > 1:  # the results of several blocks meet by row
+        own, plain = with_key(rows_in, "_row")
+        rows_in = own.select(F.col("_row").alias("doc_id"), "text")
     found = None
     for k in range(n):
         rows = items.filter(group_of("item_id", n) == k).collect()  # at most a block of a stated query set
         test = TestSuffixes([r.item_id for r in rows], [r.text for r in rows], window)
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search(test), ROWS)
+        part = rows_in.mapInArrow(search(test), ROWS)
         found = part if found is None else found.union(part)
     if n > 1:  # spans of several blocks: the words they cover, each once
         found = found.groupBy("doc_id").agg(
@@ -169,16 +174,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             F.flatten(F.collect_list("items")).alias("items"),
             F.max(F.struct("longest_words", F.negative("longest_start").alias("at"))).alias("best"),
         ).select("doc_id", "n_words", _union_of("spans").alias("spans"), "items", "best.longest_words", F.negative("best.at").alias("longest_start"))
+    if not plain:
+        found = found.withColumnRenamed("doc_id", "_row").join(own.select("_row", "doc_id"), "_row").drop("_row").select("doc_id", *[c for c in found.columns if c != "doc_id"])
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     out = found.withColumns({"n_hit": hit, "items": F.array_sort(F.array_distinct("items"))})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.col("n_words") * F.lit(share)))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05) -> DataFrame:
-    """Rows of ``docs`` that are not contaminated; all columns.  The join moves ids and texts once, by ``doc_id``."""
-    name = fresh(docs, "_hit")
-    hit = decontaminate(docs, benchmark, window, share).filter("contaminated").select(F.col("doc_id").alias(name))
-    return docs.join(hit, F.col("doc_id") == F.col(name), "left_anti")
+    """Rows of ``docs`` that are not contaminated; all columns.  The join moves keys and texts once; ids may repeat or be null."""
+    key, name = fresh(docs, "_row"), fresh(docs, "_hit")
+    rows, _ = with_key(docs, key)
+    hit = decontaminate(rows.select(F.col(key).alias("doc_id"), "text"), benchmark, window, share).filter("contaminated").select(F.col("doc_id").alias(name))
+    return rows.join(hit, F.col(key) == F.col(name), "left_anti").select(docs.columns)
 
 
 def _union_of(spans: str):

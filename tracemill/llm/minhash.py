@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import fresh, query, read, write_stage
+from tracemill.llm.common import fresh, query, read, with_key, write_stage
 from tracemill.llm.decontaminate import words_of
 from tracemill.llm.scan import Chunk, Prefix, chunks, mix
 
@@ -301,10 +301,11 @@ def minhash_dedup(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGL
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One document of each class, that with the smallest id; all columns of ``docs``."""
-    name = fresh(docs, "_kept")
-    kept = minhash_dedup(docs, least).filter("doc_id = class_id").select(F.col("doc_id").alias(name))
-    return docs.join(kept.hint("merge"), F.col("doc_id") == F.col(name), "left_semi")
+    """One row of each class, that with the smallest id (null last); all columns of ``docs``.  Ids may repeat or be null."""
+    key, name = fresh(docs, "_row"), fresh(docs, "_kept")
+    rows, _ = with_key(docs, key)
+    kept = minhash_dedup(rows.select(F.col(key).alias("doc_id"), "text"), least).filter("doc_id = class_id").select(F.col("doc_id").alias(name))
+    return rows.join(kept.hint("merge"), F.col(key) == F.col(name), "left_semi").select(docs.columns)
 
 
 @query("op7_minhash_dedup")

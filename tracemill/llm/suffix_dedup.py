@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import batch_of, fresh, group_of, query, read, shuffle_partitions, text_bytes
+from tracemill.llm.common import batch_of, fresh, group_of, query, read, shuffle_partitions, text_bytes, with_key
 from tracemill.llm.scan import CODES, Chunk, Prefix, chunks, mix, spans_inside
 
 LEAD = 32
@@ -142,7 +142,9 @@ def ddl(schema: pa.Schema) -> str:
 
 
 def split_by(bucket: np.ndarray):
-    """Positions of each bucket: (bucket, index array)."""
+    """Positions of each bucket: (bucket, index array); none for no positions."""
+    if not len(bucket):
+        return iter(())
     order = np.argsort(bucket, kind="stable")
     values, first = np.unique(bucket[order], return_index=True)
     return zip(values.tolist(), np.split(order, first[1:]), strict=True)
@@ -273,14 +275,17 @@ def compare_windows(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, hot: int = HOT_GROUPS) -> tuple[DataFrame, DataFrame, int]:
-    """(documents dealt to groups, covered intervals ``doc_id, start, end`` in bytes, number of groups)."""
+    """(documents dealt to groups, covered intervals ``doc_id, start, end`` in bytes, number of groups).
+
+    ``doc_id`` must be unique and not null; a column ``own_id`` goes with the documents.
+    """
     spark = docs.sparkSession
     if length < LEAD + 8:
         raise ValueError(f"length must be at least {LEAD + 8}")
     size = text_bytes(docs)
     groups = max(1, -(-size // GROUP_BYTES))
     n_buckets = BUCKETS_PER_PARTITION * max(shuffle_partitions(spark), -(-size // (64 << 20)))
-    dealt = docs.select("doc_id", "text", group_of("doc_id", groups).alias("g")).repartition(max(1, min(groups, shuffle_partitions(spark))), "g")
+    dealt = docs.select("doc_id", "text", *[c for c in docs.columns if c == "own_id"], group_of("doc_id", groups).alias("g")).repartition(max(1, min(groups, shuffle_partitions(spark))), "g")
 
     share = min(1.0, SPLITTER_SAMPLE * 35 / max(size, 1))
 
@@ -313,7 +318,8 @@ def keep_rest(with_text: bool, with_digest: bool):
         doc, start, end = merged(*(spans.column(c).to_numpy().astype(I64) for c in ("doc_id", "start", "end")))
         out = []
         for batch in texts.to_batches(max_chunksize=256):
-            for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            own = batch.column("own_id" if "own_id" in batch.schema.names else "doc_id").to_pylist()
+            for d, name, text in zip(batch.column("doc_id").to_pylist(), own, batch.column("text").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 a, b = np.searchsorted(doc, d), np.searchsorted(doc, d, side="right")
                 kept, at = [], 0
@@ -333,7 +339,7 @@ def keep_rest(with_text: bool, with_digest: bool):
                     for i in range(1, len(kept)):
                         kept[i] = max(kept[i][0], kept[i - 1][1]), max(kept[i][1], kept[i - 1][1])
                     whole = b"".join(raw[s:e] for s, e in kept).decode()
-                out.append((d, len(raw), int((end[a:b] - start[a:b]).sum()), int(b - a), digest, whole if with_text and b > a else text if with_text else None))
+                out.append((name, len(raw), int((end[a:b] - start[a:b]).sum()), int(b - a), digest, whole if with_text and b > a else text if with_text else None))
         columns = list(zip(*out, strict=True)) if out else [()] * len(RESULT)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RESULT, strict=True)], schema=RESULT)
 
@@ -344,11 +350,14 @@ def suffix_dedup(docs: DataFrame, length: int = 100, with_text: bool = True, wit
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` per document.
 
     A byte is removed if a string of ``length`` bytes that covers it also starts earlier (smaller ``doc_id``, or the same
-    document further left), judged on the input.  ``doc_id`` must be unique and not null.  A null text counts as empty
+    document further left), judged on the input.  Rows with equal ids are documents of their own, ordered by a hash of their
+    text; a null id comes after all others.  A null text counts as empty
     (its ``kept_text`` stays null); an empty table gives an empty result; other columns of ``docs`` are not read.  In
     ``kept_text`` a character goes only if all its bytes go; ``kept_sha256`` is over the exact remaining bytes.
     """
-    dealt, spans, _ = repeated_spans(docs, length)
+    rows, plain = with_key(docs.select("doc_id", "text"), "_row")
+    own = [] if plain else [F.col("doc_id").cast("long").alias("own_id")]
+    dealt, spans, _ = repeated_spans(rows.select(F.col("_row").alias("doc_id"), "text", *own), length)
     return dealt.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(keep_rest(with_text, with_digest), ddl(RESULT))
 
 
@@ -356,23 +365,26 @@ def cut_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """``docs`` with repeated text cut out and ``n_chars`` brought up to date; rows of which nothing is left go.
 
     Rows whose text was null or empty from the start stay.  All columns are kept in their order and with their types.
+    Rows with equal or null ids are documents of their own.
     """
-    spans = repeated_spans(docs, length)[1]
+    key = fresh(docs, "_row")
+    rows, _ = with_key(docs, key)
+    spans = repeated_spans(rows.select(F.col(key).alias("doc_id"), "text"), length)[1]
     groups = max(1, -(-text_bytes(docs) // GROUP_BYTES))
     g = fresh(docs, "_g")
-    dealt = docs.withColumn(g, group_of("doc_id", groups))
+    dealt = rows.withColumn(g, group_of(key, groups))
     names = docs.columns
     kind = T.StructType([f for f in docs.schema.fields])
-    out = dealt.groupBy(g).cogroup(spans.groupBy("g")).applyInArrow(_cut(names), kind)
+    out = dealt.groupBy(g).cogroup(spans.groupBy("g")).applyInArrow(_cut(names, key), kind)
     return out
 
 
-def _cut(names: list[str]):
+def _cut(names: list[str], row_key: str):
     keep = keep_rest(True, False)
 
     def run(key, rows: pa.Table, spans: pa.Table) -> pa.Table:
+        made = keep(key, rows.select([row_key, "text"]).rename_columns(["doc_id", "text"]), spans)
         rows = rows.select(names)
-        made = keep(key, rows.select(["doc_id", "text"]), spans)
         text = made.column("kept_text")
         if "n_chars" in names:
             cut = pc.greater(made.column("n_spans"), 0)
