@@ -1,21 +1,21 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-The DOM of a page is reduced to a skeleton: elements with their tag and class, runs of like siblings folded into one.  Of
-each host one page is the reference; simple tree matching aligns the skeleton of every other page of the host with it, in
-the task that holds the page.  A reference node whose text is the same on nearly all distinct aligned pages is template,
-the others are slots.  Only votes (a short string per distinct page) and one reference per host are shuffled, so a host may
-hold any share of the pages.
-
-A slot is content unless it lies in a region that is marked as something else (navigation, advert, form, comments ...), and
-where a page marks its article, inside that article.  Text is never compared with other pages beyond this.
+Marks first: a piece of text (a run between two block boundaries) is a candidate unless it lies in a region that is marked
+as something else (navigation, advert, form, comments ...), and where a page marks its article, inside that article.
+
+Then every page of a host votes on its candidates, each by its place (tags and names from the root to the element that
+holds it) and its text.  A text that nearly all pages with that place have there is template, whichever pages they are, so
+layouts of a host and blocks that some pages lack are judged on the pages that have them, and siblings one by one.  Pages
+with the same candidates are copies and vote once.  Only fingerprints are shuffled, so a host may hold any share of the pages.
 """
 
 from __future__ import annotations
 
 import re
-from collections import OrderedDict
+from hashlib import blake2b
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import query, read, write_stage
 from tracemill.session import small
 
-#: A node is template when at least this share of at least so many distinct pages has its text.
-CONSTANT, LEAST_PAGES = 0.9, 8
+#: A text is template when at least this share of the distinct pages that have its place have it there, two at least.
+CONSTANT = 0.9
+#: Texts on fewer distinct pages than this may also be shared by near copies: they go only if they are not most of a page.
+LEAST_PAGES = 8
 
 # HTML element names and the words that name regions.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -145,85 +147,6 @@ def is_region(node: Node, inside: bool) -> bool:
     return marked and not (not inside and holds(node, ("article", "main")))
 
 
-class Skeleton:
-    """Elements of a page as a folded tree: ``shape`` (tag, names, children) and the text under each folded node."""
-
-    __slots__ = ("labels", "children", "texts", "members")
-
-    def __init__(self, root: Node):
-        self.labels, self.children, self.texts, self.members = [], [], [], []
-        self._add([root])
-
-    def _add(self, nodes: list[Node]) -> int:
-        me = len(self.labels)
-        self.labels.append((nodes[0].tag, nodes[0].names))
-        self.children.append([])
-        self.members.append(nodes)
-        self.texts.append(clean([c if isinstance(c, str) else _inline(c) for x in nodes for c in x.children if isinstance(c, str) or c.tag in INLINE]))
-        inner = [c for x in nodes for c in x.children if isinstance(c, Node) and c.tag not in INLINE and c.tag not in SKIPPED]
-        kids, i = [], 0
-        while i < len(inner):
-            j = i
-            while j < len(inner) and (inner[j].tag, inner[j].names) == (inner[i].tag, inner[i].names):
-                j += 1
-            kids.append(self._add(inner[i:j]))
-            i = j
-        self.children[me] = kids
-        return me
-
-
-def _inline(node: Node) -> str:
-    out, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif x.tag in ("br", "wbr"):
-            out.append(" ")
-        elif x.tag not in SKIPPED:
-            stack.extend(reversed(x.children))
-    return "".join(out)
-
-
-def tree_match(a: Skeleton, b: Skeleton) -> dict[int, int]:
-    """Simple tree matching: the order-preserving alignment of equal labels with most nodes; node of ``a`` -> node of ``b``."""
-    scores: dict[tuple[int, int], int] = {}
-    ways: dict[tuple[int, int], list[tuple[int, int]]] = {}
-
-    def match(x: int, y: int) -> int:
-        if a.labels[x] != b.labels[y]:
-            return 0
-        if (x, y) in scores:
-            return scores[x, y]
-        p, q = a.children[x], b.children[y]
-        table = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        for i in range(1, len(p) + 1):
-            for j in range(1, len(q) + 1):
-                w = match(p[i - 1], q[j - 1])
-                table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + w if w else 0)
-        pairs, i, j = [], len(p), len(q)
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((p[i], q[j]))
-        ways[x, y] = pairs
-        scores[x, y] = table[-1][-1] + 1
-        return scores[x, y]
-
-    found: dict[int, int] = {}
-    if match(0, 0):
-        stack = [(0, 0)]
-        while stack:
-            x, y = stack.pop()
-            found[x] = y
-            stack.extend(ways[x, y])
-    return found
-
-
 def article_roots(root: Node) -> list[Node]:
     """The marked article parts, else the largest part named as content, else the whole page."""
     found: dict[str, list[Node]] = {"article": [], "main": [], "named": []}
@@ -243,113 +166,128 @@ def article_roots(root: Node) -> list[Node]:
                 walk(c, depth + 1)
 
     walk(root, 0)
-    size = {k: sum(len(t) for x in v for t in blocks(x, True, frozenset())) for k, v in found.items() if k != "named"}
+    size = {k: sum(len(t) for x in v for t in blocks(x, True)) for k, v in found.items() if k != "named"}
     if found["article"] and size["article"] * 2 >= size["main"]:
         return found["article"]
     if found["main"] and size["main"]:
         return found["main"][:1]
     if found["named"]:
-        best = max(found["named"], key=lambda x: sum(map(len, blocks(x, True, frozenset()))))
-        if any(blocks(best, True, frozenset())):
+        best = max(found["named"], key=lambda x: sum(map(len, blocks(x, True))))
+        if any(blocks(best, True)):
             return [best]
     return [root]
 
 
-def blocks(node: Node, inside: bool, template: frozenset[int]) -> list[str]:
-    """Texts of the blocks below ``node`` in page order, without regions and template nodes (given by ``id``)."""
-    out: list[str] = []
+def runs(node: Node, inside: bool) -> list[tuple[Node, str, bool]]:
+    """Texts of the blocks below ``node`` in page order, without regions: element that holds it, text, nothing but links?"""
+    out: list[tuple[Node, str, bool]] = []
     part: list[str] = []
-    stack: list = [(c, False) for c in reversed(node.children)]
+    plain: list[str] = []
+    stack: list = [(c, node, False, False) for c in reversed(node.children)]
 
-    def flush():
+    def flush(owner):
         if part:
             text = clean(part)
-            part.clear()
             if text:
-                out.append(text)
+                out.append((owner, text, not any(c.isalnum() for c in clean(plain))))
+            part.clear(), plain.clear()
 
     while stack:
-        x, closing = stack.pop()
+        x, owner, linked, closing = stack.pop()
         if closing:
-            flush()
+            flush(x)
         elif isinstance(x, str):
             part.append(x)
+            if not linked:
+                plain.append(x)
         elif x.tag in ("br", "wbr"):
             part.append(" " if x.tag == "br" else "")
-        elif is_region(x, inside) or id(x) in template:
+        elif is_region(x, inside):
             if x.tag not in INLINE and x.tag not in ("script", "style"):
-                flush()
+                flush(owner)
         elif x.tag in INLINE:
-            stack.extend((c, False) for c in reversed(x.children))
+            stack.extend((c, owner, linked or x.tag == "a", False) for c in reversed(x.children))
         else:
-            flush()
-            stack.append((x, True))
-            stack.extend((c, False) for c in reversed(x.children))
-    flush()
+            flush(owner)
+            stack.append((x, owner, linked, True))
+            stack.extend((c, x, linked, False) for c in reversed(x.children))
+    flush(node)
     return out
 
 
-def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
+def blocks(node: Node, inside: bool) -> list[str]:
+    return [text for _, text, _ in runs(node, inside)]
+
+
+def candidates(root: Node) -> list[tuple[Node, str]]:
+    """What the marks of the page alone leave: element and text."""
     roots = article_roots(root)
     inside = roots != [root]
-    lines = [t for x in roots for t in blocks(x, inside, template)]
-    if not inside and len(lines) > 1:  # no marked article: drop lines of links only
-        linked = {clean([_inline(c)]) for c in _elements(root, "a")}
-        lines = [t for t in lines if t not in linked]
-    return "\n".join(lines)
+    found = [r for x in roots for r in runs(x, inside)]
+    if not inside and len(found) > 1:  # no marked article: blocks of links only go
+        found = [r for r in found if not r[2]]
+    return [(x, text) for x, text, _ in found]
 
 
-def _elements(root: Node, tag: str):
-    stack = [root]
-    while stack:
-        x = stack.pop()
-        if x.tag == tag:
-            yield x
-        stack.extend(c for c in x.children if isinstance(c, Node))
+def _print(data: bytes) -> int:
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-class _References:
-    """Parsed references of the hosts met last."""
+class Places:
+    """Fingerprints of the places of a page: tags and names (but numbers) from the root on."""
 
-    def __init__(self, size: int = 64):
-        self.size, self.kept = size, OrderedDict()
+    def __init__(self):
+        self.known: dict[int, int] = {}
 
-    def get(self, html: str) -> Skeleton:
-        if html in self.kept:
-            self.kept.move_to_end(html)
-        else:
-            self.kept[html] = Skeleton(parse(html))
-            if len(self.kept) > self.size:
-                self.kept.popitem(last=False)
-        return self.kept[html]
+    def of(self, node: Node) -> int:
+        way = []
+        while node is not None and id(node) not in self.known:
+            way.append(node)
+            node = node.parent
+        at = self.known[id(node)] if node is not None else 0
+        for x in reversed(way):
+            label = " ".join([x.tag, *sorted(n for n in x.names if not n.isdigit())])
+            at = self.known[id(x)] = _print(at.to_bytes(8, "little", signed=True) + label.encode())
+        return at
+
+
+def unit(place: int, text: str) -> int:
+    return _print(place.to_bytes(8, "little", signed=True) + text.encode("utf-8", "surrogatepass"))
 
 
 def votes(batches):
-    """Per page: for each node of the host's reference 1 (aligned, same text), 0 (aligned, other text) or - (not aligned)."""
-    references = _References()
+    """Per page: a row for each place that holds a candidate (``unit`` is the place) and for each text there, each once."""
     for batch in batches:
-        out = []
-        for html, ref in zip(batch.column("html").to_pylist(), batch.column("ref").to_pylist(), strict=True):
-            a = references.get(ref)
-            b = Skeleton(parse(html))
-            pairs = tree_match(a, b)
-            out.append("".join("-" if i not in pairs or not t else "1" if t == b.texts[pairs[i]] else "0" for i, t in enumerate(a.texts)))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("print"), pa.array(out, pa.string())], ["host", "print", "votes"])
+        hosts, columns = [], []
+        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            found, places = candidates(parse(html)), Places()
+            voter = _print("\n".join(text for _, text in found).encode("utf-8", "surrogatepass"))
+            rows = set()
+            for x, text in found:
+                place = places.of(x)
+                rows |= {(place, place, voter), (place, unit(place, text), voter)}
+            hosts.extend([host] * len(rows)), columns.extend(rows)
+        place, units, voter = np.array(columns, np.int64).reshape(-1, 3).T
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in (place, units, voter))], ["host", "place", "unit", "voter"])
+
+
+def main_text(html: str, sure: list[int] | None = None, likely: list[int] | None = None) -> str:
+    """The candidates of a page without template: texts ``sure`` to be, and those ``likely`` unless most of the page would go."""
+    found = candidates(parse(html))
+    if sure or likely:
+        places, sure, likely = Places(), set(sure or ()), set(likely or ())
+        marks = [unit(places.of(x), text) for x, text in found]
+        found = [(f, m) for f, m in zip(found, marks, strict=True) if m not in sure]
+        held = sum(len(text) for (_, text), m in found if m in likely)
+        copy = 2 * held > sum(len(text) for (_, text), _ in found)
+        found = [f for f, m in found if copy or m not in likely]
+    return "\n".join(text for _, text in found)
 
 
 def extract(names: list[str]):
     def run(batches):
-        references = _References()
         for batch in batches:
-            texts = []
-            for html, ref, constant in zip(*(batch.column(c).to_pylist() for c in ("html", "ref", "constant")), strict=True):
-                root = parse(html or "")
-                template: frozenset[int] = frozenset()
-                if constant:
-                    page = Skeleton(root)
-                    pairs = tree_match(references.get(ref), page)
-                    template = frozenset(id(x) for i in constant if i in pairs for x in page.members[pairs[i]] if not any(isinstance(c, Node) and c.tag not in INLINE for c in x.children))
-                texts.append(main_text(root, template))
+            texts = [main_text(html or "", sure, likely) for html, sure, likely in zip(*(batch.column(c).to_pylist() for c in ("html", "sure", "likely")), strict=True)]
             kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
@@ -359,21 +297,20 @@ def extract(names: list[str]):
 def main_texts(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` per row of ``pages`` (``page_id, url, html``).
 
-    A null or empty page gives the empty text; pages without a url form one host; repeated pages vote once and get one row
-    each; a host with few distinct pages has no template, then the marks of the page alone decide.  Other columns are not
-    read.
+    A null or empty page gives the empty text; pages without a url form one host; pages with the same candidates vote once and
+    get one row each; on a host with one distinct page the marks of the page alone decide.  Other columns are not read.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
-    rows = pages.select("page_id", "url", "html").withColumns({"host": host, "print": F.xxhash64("html")})
-    refs = rows.filter("html IS NOT NULL").groupBy("host").agg(F.min_by("html", F.struct("print", F.col("page_id").cast("string"))).alias("ref"))
-    refs = write_stage(refs, "references")  # one page a host; sent to the tasks while they are few by measured bytes
-    voted = rows.filter("html IS NOT NULL").select("host", "print", "html").join(small(refs), "host").mapInArrow(votes, "host string, print long, votes string")
-    once = voted.groupBy("host", "print").agg(F.min("votes").alias("votes"))
-    ballots = once.select("host", F.posexplode(F.split("votes", "")).alias("node", "vote")).filter("vote IN ('0', '1')")
-    shares = ballots.groupBy("host", "node").agg(F.avg(F.col("vote").cast("int")).alias("share"), F.count("*").alias("n"))
-    constant = shares.filter((F.col("share") >= CONSTANT) & (F.col("n") >= LEAST_PAGES)).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("constant"))  # at most the nodes of one page
-    wrappers = write_stage(refs.join(constant, "host", "left"), "wrappers")
-    joined = rows.drop("print").join(small(wrappers), "host", "left")
+    rows = pages.select("page_id", "url", "html").withColumn("host", F.xxhash64(host))
+    voted = rows.filter("html IS NOT NULL").select("host", "html").mapInArrow(votes, "host long, place long, unit long, voter long")
+    counts = voted.distinct().groupBy("host", "place", "unit").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = write_stage(counts, "counts")  # what two distinct pages share
+    having = counts.filter("unit = place").select("host", "place", F.col("n").alias("having"))
+    constant = counts.filter("unit <> place").join(small(having), ["host", "place"]).filter(F.col("n") >= CONSTANT * F.col("having"))
+    sure = F.col("n") >= LEAST_PAGES
+    lists = [F.sort_array(F.collect_list(F.when(c, F.col("unit")))).alias(name) for c, name in ((sure, "sure"), (~sure, "likely"))]
+    templates = write_stage(constant.groupBy("host").agg(*lists), "templates")
+    joined = rows.join(small(templates), "host", "left")
     kinds = dict(rows.dtypes)
     return joined.mapInArrow(extract(["page_id", "url"]), f"page_id {kinds['page_id']}, url string, text string, n_chars long")
 
