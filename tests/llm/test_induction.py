@@ -33,3 +33,11 @@ def test_small_hosts_and_copies(spark):
 def test_links_by_markup(spark):
     out = _texts(spark, ["<div><a href='/'>Home</a> | <a href='/b'>News today</a></div><div><p>News today</p><p>Much <a href='/c'>happened</a> here</p></div>"])
     assert out[0] == "News today\nMuch happened here"
+
+
+def test_deep_pages(spark):
+    """Thousands of nested or unclosed blocks, and an article below them."""
+    deep = "<p>Menu</p>" + "<div>" * 3000 + "<article><h1>T{i}</h1><p>Body {i}</p></article>" + "</div>" * 3000 + "<p>Imprint</p>"
+    unclosed = "<blockquote>" * 5000 + "<p>Last {i}</p>"
+    out = _texts(spark, [(deep if i % 2 else unclosed).format(i=i) for i in range(6)])
+    assert out == {i: f"T{i}\nBody {i}" if i % 2 else f"Last {i}" for i in range(6)}

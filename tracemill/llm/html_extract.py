@@ -151,21 +151,20 @@ def article_roots(root: Node) -> list[Node]:
     """The marked article parts, else the largest part named as content, else the whole page."""
     found: dict[str, list[Node]] = {"article": [], "main": [], "named": []}
 
-    def walk(node: Node, depth: int):
-        for c in node.children:
-            if not isinstance(c, Node) or c.tag in INLINE or is_region(c, False):
-                continue
-            if c.tag == "article":
-                found["article"].append(c)
-                continue
-            if c.tag == "main" or c.role == "main":
-                found["main"].append(c)
-            elif c.names & CONTENT_NAMES and c.tag in ("div", "section", "td"):
-                found["named"].append(c)
-            if depth < 200:
-                walk(c, depth + 1)
-
-    walk(root, 0)
+    stack: list = list(reversed(root.children))
+    while stack:
+        c = stack.pop()
+        if not isinstance(c, Node) or c.tag in INLINE or is_region(c, False):
+            continue
+        if c.tag == "article":
+            found["article"].append(c)
+            continue
+        if c.tag == "main" or c.role == "main":
+            found["main"].append(c)
+        elif c.names & CONTENT_NAMES and c.tag in ("div", "section", "td"):
+            found["named"].append(c)
+        stack.extend(reversed(c.children))
+
     size = {k: sum(len(t) for x in v for t in blocks(x, True)) for k, v in found.items() if k != "named"}
     if found["article"] and size["article"] * 2 >= size["main"]:
         return found["article"]
