@@ -14,8 +14,10 @@ row per range; every step is a table in the shared folder, so a lost executor re
 from __future__ import annotations
 
 import heapq
+import os
+import re
 import zlib
-from itertools import pairwise
+from itertools import batched, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ BANDS = 5
 #: Pieces and gaps that one task sweeps.
 RANGE_ROWS = 250_000
 #: Words whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: White space that certainly separates tokens, and closing marks that certainly are tokens of their own after a letter.
 INSIDE = np.ones(256, bool)
 INSIDE[list(b" \t\n\r")] = False
@@ -42,30 +44,43 @@ LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 MARK = np.zeros(256, bool)
 MARK[list(b".,;:!?")] = True
 
+#: Words of which no step before the merges changes more than the letters' bytes, once they are in lower case.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
 _READY: dict[str, tuple] = {}
 
 
 def tokenizer(path: str) -> tuple:
-    """The tokenizer of a file and the ids of words seen so far, one pair per worker."""
+    """The tokenizer of a file, its spelling of plain letters, and the ids of words seen so far: one set per worker."""
     if path not in _READY:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
 
-        _READY[path] = (Tokenizer.from_file(path), {})
+        known = Tokenizer.from_file(path)
+        letters = [c for c in map(chr, range(256)) if PLAIN.fullmatch(c)]
+        _READY[path] = (known, str.maketrans({c: known.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}), {})
     return _READY[path]
 
 
 def word_ids(words: list[str], path: str) -> list[bytes]:
-    """Ids of each word as little-endian 32-bit numbers.  Plain ASCII words are the same in lower case."""
-    known, ids = tokenizer(path)
+    """Ids of each word as little-endian 32-bit numbers.  Plain words need the merges only."""
+    known, spelling, ids = tokenizer(path)
     if len(ids) > REMEMBERED:
         ids.clear()
-    keys = [w.lower() if w.isascii() and "<" not in w else w for w in words]
-    new = [k for k in dict.fromkeys(keys) if k not in ids]
-    for at in range(0, len(new), 10_000):
-        part = new[at : at + 10_000]
-        for k, e in zip(part, known.encode_batch(part, add_special_tokens=False), strict=True):
+    merge, odd = known.model.tokenize, {}
+    for w in words:
+        if w not in ids:
+            low = w.lower()
+            if PLAIN.fullmatch(low):
+                if low not in ids:
+                    ids[low] = b"".join([t.id.to_bytes(4, "little") for t in merge(low.translate(spelling))])
+                ids[w] = ids[low]
+            else:
+                odd[w] = None
+    for part in batched(odd, 10_000):
+        for k, e in zip(part, known.encode_batch(list(part), add_special_tokens=False), strict=True):
             ids[k] = np.array(e.ids, "<u4").tobytes()
-    return [ids[k] for k in keys]
+    return [ids[w] for w in words]
 
 
 def chunk_ids(chunk: Chunk, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +93,8 @@ def chunk_ids(chunk: Chunk, path: str) -> tuple[np.ndarray, np.ndarray]:
     cut = (ends - starts > 1) & MARK[chunk.data[last]] & LETTER[chunk.data[last - 1]] if len(ends) else np.zeros(0, bool)
     starts, ends = np.sort(np.concatenate([starts, last[cut]])), np.sort(np.concatenate([ends, last[cut]]))
     inside = np.zeros(len(chunk.data) + 1, np.int8)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, ends, -1)
+    inside[starts] += 1
+    inside[ends] -= 1
     data = chunk.data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
