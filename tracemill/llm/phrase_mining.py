@@ -37,7 +37,7 @@ FIRST = 2
 #: Bits of a frontier table.
 BITS = 26
 #: Distinct phrases that a task counts before it sends them on.
-HELD = 1_000_000
+HELD = 400_000
 
 DELIMITER = np.zeros(256, bool)
 DELIMITER[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
