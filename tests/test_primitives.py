@@ -39,18 +39,32 @@ def test_ranked(spark):
     assert all(r["n"] == r["p"] // 3 + 1 for r in out)
 
 
-def test_containment_paths_agree(spark, monkeypatch):
+def test_containment_with_one_and_many_automata(spark, monkeypatch):
     rng = random.Random(2)
-    texts = [(i, "".join(rng.choice("abc dé") for _ in range(30))) for i in range(60)]
-    needles = [("ab",), ("a",), ("bc d",), ("déa",), ("cab",), ("zz",)]
+    texts = [(i, "".join(rng.choice("abc dé\U0001f600") for _ in range(30))) for i in range(60)] + [(60, None), (61, "")]
+    needles = [("ab",), ("a",), ("bc d",), ("déa",), ("cab",), ("zz",), ("",), (None,), ("\U0001f600a",), ("ab",)]
     t, n = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(needles, "needle string")
-    want = {(i, x) for i, s in texts for (x,) in needles if x in s}
-    for limit in (2000, 2):
-        monkeypatch.setattr(containment, "LITERAL_NEEDLES", limit)
-        hits = containment.contains_join(t, "text", n, "needle").collect()
-        assert {(r["id"], r["needle"]) for r in hits} == want and len(hits) == len(want)
+    want = sorted((i, x) for i, s in texts for (x,) in needles if s and x and x in s)
+    for size, few in ((8 << 20, 2000), (1, 2000), (1, 2)):
+        monkeypatch.setattr(containment, "AUTOMATON_BYTES", size)
+        monkeypatch.setattr(containment, "FEW_NEEDLES", few)
+        assert sorted((r["id"], r["needle"]) for r in containment.contains_join(t, "text", n, "needle").collect()) == want
     upper = spark.createDataFrame([("DÉ",)], "needle string")
-    assert containment.contains_join(t, "text", upper, "needle", ignore_case=True).count() == sum("dé" in s for _, s in texts)
+    assert containment.contains_join(t, "text", upper, "needle", ignore_case=True).count() == sum("dé" in (s or "") for _, s in texts)
+    assert containment.contains_join(t, "text", upper.limit(0), "needle").count() == 0
+
+
+def test_a_hundred_thousand_needles(spark):
+    rng = random.Random(4)
+    needles = {f"{rng.randrange(10**7):07d}" for _ in range(100_000)}
+    texts = [(i, "".join(rng.choice("0123456789") for _ in range(400))) for i in range(300)]
+    hits = containment.contains_join(
+        spark.createDataFrame(texts, "id int, text string"), "text", spark.createDataFrame([(x,) for x in needles], "needle string"), "needle"
+    )
+    want = sorted((i, s[k : k + 7]) for i, s in texts for k in {s[j : j + 7]: j for j in range(394)}.values() if s[k : k + 7] in needles)
+    assert sorted((r["id"], r["needle"]) for r in hits.collect()) == want
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and len(want) > 500
 
 
 def test_split_spans():

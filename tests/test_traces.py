@@ -179,16 +179,16 @@ def test_against_brute_force(spark, seed, block):
     assert got == want
 
 
-def test_long_specification_uses_grams(spark, monkeypatch):
+def test_long_specification(spark, monkeypatch):
     from tracemill.operators import containment, events
 
     text = "\n".join(f"2025-03-04 17:20:11.000 0001 S|4| End Function{i}x NOK" for i in range(6))
     known = specs(spark, *[f"Function{i}x" for i in range(4)], "ab", "x")
     plain = {(r["line_no"], r["name"], r["kind"]) for r in ev.line_events(ev.with_documented_names(tr.segments(tr.line_facts(trace(spark, text))), known)).collect()}
-    monkeypatch.setattr(containment, "LITERAL_NEEDLES", 1)
-    monkeypatch.setattr(events, "LITERAL_NEEDLES", 1)
-    grams = {(r["line_no"], r["name"], r["kind"]) for r in ev.line_events(ev.with_documented_names(tr.segments(tr.line_facts(trace(spark, text))), known)).collect()}
-    assert plain == grams and len(plain) > 6
+    monkeypatch.setattr(events, "LITERAL_NAMES", 1)
+    monkeypatch.setattr(containment, "AUTOMATON_BYTES", 30)
+    searched = {(r["line_no"], r["name"], r["kind"]) for r in ev.line_events(ev.with_documented_names(tr.segments(tr.line_facts(trace(spark, text))), known)).collect()}
+    assert plain == searched and len(plain) > 6
 
 
 def test_report_top_and_badge(spark):

@@ -1,16 +1,27 @@
-"""Which texts contain which needles, without pairing every text with every needle."""
+"""Which texts contain which needles, without pairing every text with every needle.
+
+All needles are searched at once by an Aho-Corasick automaton inside Arrow tasks: one walk over a text, whatever their
+number.  Only the text column crosses to Python and only the needles found come back; no text is shuffled.  Needles beyond
+``AUTOMATON_BYTES`` are dealt to several automata, which walk the same texts one after the other in the same pass.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.session import bounded_rows, small
+from tracemill.session import bounded_rows, small, stage
 
-#: Needle lists up to this many distinct entries become a literal array.
-LITERAL_NEEDLES = 2000
-GRAM = 3
+#: Bytes of needles in one automaton; a worker holds the automata of the running query only.
+AUTOMATON_BYTES = 8 << 20
+#: Needle lists up to this many are fetched without measuring them first.
+FEW_NEEDLES = 2000
 _SEP = "\x1f"
+_BUILT: dict[str, tuple] = {}
 
 
 def literal_array(values: list[str]) -> Column:
@@ -20,47 +31,69 @@ def literal_array(values: list[str]) -> Column:
     return F.split(F.lit(_SEP.join(values)), _SEP)
 
 
-def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str, ignore_case: bool = False) -> DataFrame:
-    """Rows of ``texts`` joined to the rows of ``needles`` whose ``needle`` occurs in ``text``.
+def needle_lists(needles: DataFrame, *order: str) -> list[Broadcast]:
+    """The distinct, non-empty strings of the first column of ``needles``, by ``order`` and themselves, in broadcast lists.
 
-    A short needle list is a constant: each text is tested in place and only hits
-    are emitted (no join, no shuffle).  A longer list is found through its rarest
-    three-character gram, an equi-join that is exact after the final test.
+    Each list has at most about ``AUTOMATON_BYTES``; strings reach the driver one partition at a time.
     """
+    spark = needles.sparkSession
+    rows = bounded_rows(needles, FEW_NEEDLES)
+    if rows is None:
+        rows = stage(needles, "needles").orderBy(*order, needles.columns[0]).toLocalIterator()
+    else:
+        rows = sorted(rows, key=lambda r: (*[r[o] for o in order], r[0]))
+    out, part, size = [], [], 0
+    for r in rows:
+        if size > AUTOMATON_BYTES:
+            out.append(spark.sparkContext.broadcast(part))
+            part, size = [], 0
+        part.append(r[0])
+        size += len(r[0].encode()) + 16
+    return [*out, spark.sparkContext.broadcast(part)] if part else out
+
+
+def _automaton(token: str, needles, held: int):
+    """The automaton of a needle list, built once per worker; the oldest go when more than ``held`` are there."""
+    if token not in _BUILT:
+        import ahocorasick
+
+        while len(_BUILT) >= held:
+            _BUILT.pop(next(iter(_BUILT)))
+        built = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, needle in enumerate(needles.value):
+            built.add_word(needle, i)
+        built.make_automaton()
+        _BUILT[token] = (built, needles.value)
+    return _BUILT[token]
+
+
+def _finder(needles, held: int):
+    token = uuid.uuid4().hex
+
+    @F.arrow_udf("array<string>")
+    def find(texts: pa.Array) -> pa.Array:
+        automaton, names = _automaton(token, needles, held)
+        found = [None if t is None else [names[i] for i in sorted({i for _, i in automaton.iter(t)})] for t in texts.to_pylist()]
+        return pa.array(found, pa.list_(pa.string()))
+
+    return find
+
+
+def contained(text: Column, lists: list[Broadcast]) -> Column:
+    """The needles that occur in ``text``, as an array in the order of the lists (null for a null text)."""
+    found = [_finder(needles, max(4, len(lists)))(text) for needles in lists]
+    if not found:
+        return F.array().cast("array<string>")
+    return found[0] if len(found) == 1 else F.concat(*found)
+
+
+def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str, ignore_case: bool = False) -> DataFrame:
+    """Rows of ``texts`` joined to the rows of ``needles`` whose ``needle`` occurs in ``text``; empty needles never do."""
 
     def fold(c: Column) -> Column:
         return F.lower(c) if ignore_case else c
 
     keyed = needles.filter(F.length(needle) > 0).withColumn("__key", fold(F.col(needle)))
-    keys = keyed.select("__key").distinct()
-    few = bounded_rows(keys, LITERAL_NEEDLES)
-    if few is not None and not any(_SEP in r[0] for r in few):
-        wanted = literal_array([r[0] for r in few])
-        folded = texts.withColumn("__text", fold(F.col(text)))
-        hits = folded.withColumn("__key", F.explode(F.filter(wanted, lambda k: F.contains(F.col("__text"), k)))).drop("__text")
-    else:
-        hits = _by_grams(texts, fold(F.col(text)), keys.filter(F.length("__key") >= GRAM), GRAM)
-        short = keys.filter(F.length("__key") < GRAM)
-        if bounded_rows(short, 0) is None:
-            hits = hits.unionByName(_by_grams(texts, fold(F.col(text)), short, 1))
+    lists = needle_lists(keyed.select("__key").distinct())
+    hits = texts.withColumn("__key", F.explode(contained(fold(F.col(text)), lists)))
     return hits.join(small(keyed), "__key").drop("__key")
-
-
-def _grams(text: Column, size: int) -> Column:
-    """Distinct character grams, in time linear in the text: its characters zipped with themselves."""
-    chars = F.split(text, "")
-    if size == 1:
-        return F.array_distinct(chars)
-    shifted = F.arrays_zip(*[F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars) - (size - 1), F.lit(0))).alias(str(k)) for k in range(size)])
-    return F.array_distinct(F.transform(shifted, lambda z: F.concat(*[z[str(k)] for k in range(size)])))
-
-
-def _by_grams(texts: DataFrame, text: Column, keys: DataFrame, size: int) -> DataFrame:
-    pieces = keys.select("__key", F.explode(_grams(F.col("__key"), size)).alias("__gram"))
-    common = pieces.groupBy("__gram").agg(F.count("*").alias("__n"))
-    rarest = pieces.join(common, "__gram").groupBy("__key").agg(F.min(F.struct("__n", "__gram")).alias("__r"))
-    probes = rarest.select("__key", F.col("__r.__gram").alias("__gram"))
-    # Candidates carry a digest of their row only; each text is moved once, to its candidates.
-    rows = texts.withColumns({"__text": text, "__row": F.md5(F.to_json(F.struct(*texts.columns)))})
-    found = rows.select("__row", F.explode(_grams(F.col("__text"), size)).alias("__gram")).join(probes, "__gram").select("__row", "__key").distinct()
-    return rows.join(found, "__row").filter(F.contains(F.col("__text"), F.col("__key"))).drop("__row", "__text")

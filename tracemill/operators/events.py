@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracemill import fixed_values as fv
 from tracemill.functions import failures as fl
 from tracemill.functions import trace_line as tl
-from tracemill.operators.containment import LITERAL_NEEDLES, contains_join, literal_array
+from tracemill.operators.containment import contained, literal_array, needle_lists
 from tracemill.operators.ordered import ordered_distinct
 from tracemill.operators.transactions import TX, response_event
 from tracemill.session import bounded_rows
@@ -16,26 +16,24 @@ from tracemill.sources.refdata import lookup
 
 SPEC_LABEL = "la spécification"
 AFTER_LINES = 1 << 62
+#: Documented names up to this many are tried on every line.
+LITERAL_NAMES = 64
 
 
 def with_documented_names(lines: DataFrame, specs: DataFrame | None) -> DataFrame:
     """Add ``names``: documented functions to try on each line, in specification order.
 
-    A specification of ordinary size is one literal array.  A very long one is
-    matched first, so that each line carries only the names it contains.
+    A few names are one literal array, tried on every line.  More are searched for all at once, so that each line
+    carries only the names it contains.
     """
     if specs is None:
         return lines.withColumn("names", literal_array([]))
-    rows = bounded_rows(specs.select("function", "spec_no"), LITERAL_NEEDLES)
+    named = specs.filter("function != ''").select("function", "spec_no")
+    rows = bounded_rows(named, LITERAL_NAMES)
     if rows is not None:
         ordered = [r["function"] for r in sorted(rows, key=lambda r: (r["spec_no"], r["function"]))]
         return lines.withColumn("names", literal_array(ordered))
-    key = ["file_id", "line_no"]
-    hits = contains_join(lines.select(*key, "line"), "line", specs.select("function", "spec_no"), "function")
-    found = hits.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("spec_no", "function"))).alias("__f"))
-    named = found.select(*key, F.col("__f.function").alias("names"))
-    empty = F.array().cast("array<string>")
-    return lines.join(named, key, "left").withColumn("names", F.coalesce("names", empty))
+    return lines.withColumn("names", contained(F.col("line"), needle_lists(named, "spec_no")))
 
 
 def _event(kind: str, text: Column, name: Column | None = None, alert: Column | None = None) -> Column:

@@ -13,7 +13,7 @@ from tracemill import fixed_values as fv
 from tracemill.functions import chunk_text as ct
 from tracemill.functions import questions as qs
 from tracemill.functions.text import strip
-from tracemill.operators.containment import LITERAL_NEEDLES, contains_join, literal_array
+from tracemill.operators.containment import contains_join, literal_array
 from tracemill.operators.ordered import top_per_group
 from tracemill.session import bounded_rows, small, stage
 
@@ -21,6 +21,8 @@ from tracemill.session import bounded_rows, small, stage
 TASK_QUERIES = 4096
 BLOCK_CHUNKS = 100_000
 BLOCK_QUERIES = 256
+#: Codes asked for up to this many are cut out of the texts' words by one literal.
+LITERAL_TOKENS = 2000
 SALT = 64
 
 
@@ -221,7 +223,7 @@ def command_lookup(codes: DataFrame, chunks: DataFrame, resolved: DataFrame, lim
         F.array(F.lit("*"), F.concat(F.lit("S:"), "session_id"), F.concat(F.lit("H:"), "file_hash"))
     )
     base = chunks.withColumn("__where", where)
-    few = bounded_rows(pair, LITERAL_NEEDLES)
+    few = bounded_rows(pair, LITERAL_TOKENS)
     narrow = (lambda a: F.array_intersect(a, literal_array([r[0] for r in few]))) if few is not None else (lambda a: a)
     by_meta = base.select("chunk_id", "__where", F.explode(narrow(own)).alias("token"), F.lit(1).alias("class"))
     if loose:

@@ -51,6 +51,22 @@ def benchmark_containment(spark, sf_dir):
     return contains_join(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", needles, "item").select("item_id", "doc_id")
 
 
+# Words of conversations, without the marks around them, as a long needle list.
+LONG_WORDS = "regexp_extract_all(lower(text), '[a-z]{10,}')"
+
+
+@query(
+    "vocabulary_hits",
+    f"""WITH w AS (SELECT DISTINCT unnest({LONG_WORDS}) AS word FROM conversations)
+SELECT word, count(*) AS documents, min(doc_id) AS first_doc FROM documents d JOIN w ON contains(lower(d.text), w.word) GROUP BY word""",
+)
+def vocabulary_hits(spark, sf_dir):
+    """How many documents hold each long word of the conversations: thousands of needles in one pass."""
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.expr("regexp_extract_all(lower(text), '[a-z]{10,}', 0)")).alias("word")).distinct()
+    hits = contains_join(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", words, "word", ignore_case=True)
+    return hits.groupBy("word").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
+
+
 # Every label's first vector asks for its nearest neighbours.
 ASK = "q AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS v, label FROM embeddings GROUP BY label)"
 COSINE = "list_cosine_similarity(CAST(q.v AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"

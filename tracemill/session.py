@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Batches for Python tasks are bounded by bytes, not by rows alone: texts may be long.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     # Methods beyond HotSpot's limit are never compiled; past it Spark uses split projections instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
