@@ -96,8 +96,7 @@ FAILURES = [
 def test_failure_matrix(spark, documented):
     text = "\n".join(f"2025-03-04 17:20:11.000 0001 S{i}|4| {line}" for i, (_, line, _) in enumerate(FAILURES))
     known = specs(spark, *sorted({f for f, _, _ in FAILURES})) if documented else None
-    segmented = tr.segments(tr.line_facts(trace(spark, text)))
-    rows = ev.line_events(ev.with_documented_names(segmented, known)).collect()
+    rows = ev.chronology(trace(spark, text), known).collect()
     found = {(r["line_no"], r["name"], r["kind"]): r["alert"] for r in rows}
     for i, (name, _, code) in enumerate(FAILURES, 1):
         alert = found[(i, name, "failed" if documented else "undocumented")]
@@ -184,10 +183,10 @@ def test_long_specification(spark, monkeypatch):
 
     text = "\n".join(f"2025-03-04 17:20:11.000 0001 S|4| End Function{i}x NOK" for i in range(6))
     known = specs(spark, *[f"Function{i}x" for i in range(4)], "ab", "x")
-    plain = {(r["line_no"], r["name"], r["kind"]) for r in ev.line_events(ev.with_documented_names(tr.segments(tr.line_facts(trace(spark, text))), known)).collect()}
+    plain = {(r["line_no"], r["name"], r["kind"]) for r in ev.line_events(ev.with_documented_names(tr.line_facts(trace(spark, text)), known)).collect()}
     monkeypatch.setattr(events, "LITERAL_NAMES", 1)
     monkeypatch.setattr(containment, "AUTOMATON_BYTES", 30)
-    searched = {(r["line_no"], r["name"], r["kind"]) for r in ev.line_events(ev.with_documented_names(tr.segments(tr.line_facts(trace(spark, text))), known)).collect()}
+    searched = {(r["line_no"], r["name"], r["kind"]) for r in ev.line_events(ev.with_documented_names(tr.line_facts(trace(spark, text)), known)).collect()}
     assert plain == searched and len(plain) > 6
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tracemill.functions import failures as fl
 from tracemill.functions import trace_line as tl
 from tracemill.operators.containment import contained, literal_array, needle_lists
 from tracemill.operators.ordered import ordered_distinct
-from tracemill.operators.transactions import TX, response_event
+from tracemill.operators.transactions import TX, in_segments, line_facts, response_event, segments
 from tracemill.session import bounded_rows
 from tracemill.sources.refdata import lookup
 
@@ -49,11 +51,11 @@ def _event(kind: str, text: Column, name: Column | None = None, alert: Column |
     )
 
 
-def line_events(named: DataFrame, mode: str = "compact", spec_label: str = SPEC_LABEL) -> DataFrame:
-    """Events of every line: ``TX, line_no, rank, kind, text, name, alert``.
+def found_events(named: DataFrame, mode: str = "compact", spec_label: str = SPEC_LABEL) -> DataFrame:
+    """Add ``events`` to every line: an array of ``kind, text, name, alert``, without the prefix of the text.
 
     ``kind`` is one of mti, rrn, response, field, to_hsm, from_hsm, hsm_result, step,
-    failed, succeeded, undocumented, line.  ``rank`` orders the events of one line.
+    failed, succeeded, undocumented, line.
     """
     line = F.col("line")
     has = lambda needle: F.contains(line, F.lit(needle))
@@ -122,16 +124,35 @@ def line_events(named: DataFrame, mode: str = "compact", spec_label: str = SPEC_
         )
         .withColumn("__already", already)
         .withColumn("__found", found)
-        .select(
-            *TX,
-            "line_no",
-            tl.event_prefix(mode).alias("__prefix"),
-            F.posexplode(F.array_distinct(everything)).alias("rank", "e"),
-        )
-        .select(*TX, "line_no", "rank", "e.kind", F.concat("__prefix", "e.text").alias("text"), "e.name", "e.alert")
+        .withColumn("events", F.array_distinct(everything))
+        .drop("__no", "__cmd", "__reply", "__res", "__doc", "__gen", "__already", "__found")
     )
 
 
+def told_events(lines: DataFrame, mode: str = "compact", numbers: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Events of lines with ``events``, one row each: key columns, ``line_no, rank, kind, text, name, alert``.
+
+    ``rank`` orders the events of one line.  ``numbers`` turns places into line numbers before they are printed.
+    """
+    keys = [c for c in TX if c in lines.columns]
+    # Of a bare column the optimizer infers a filter, for which all events would be found a second time.
+    each = F.posexplode(F.filter("events", lambda e: e["kind"].isNotNull()))
+    rows = lines.select(*keys, "line_no", "ts_text", "level", each.alias("rank", "e"))
+    prefixed = (numbers(rows) if numbers else rows).withColumn("__prefix", tl.event_prefix(mode))
+    return prefixed.select(*keys, "line_no", "rank", "e.kind", F.concat("__prefix", "e.text").alias("text"), "e.name", "e.alert")
+
+
+def line_events(named: DataFrame, mode: str = "compact", spec_label: str = SPEC_LABEL) -> DataFrame:
+    """Events of every line: key columns, ``line_no, rank, kind, text, name, alert``."""
+    return told_events(found_events(named, mode, spec_label), mode)
+
+
+def chronology(lines: DataFrame, specs: DataFrame | None, mode: str = "compact", spec_label: str = SPEC_LABEL) -> DataFrame:
+    """Events of ``file_id, line_no, line`` with the segment of each: :func:`line_events` plus ``seg``."""
+    facts = line_facts(lines)
+    return in_segments(line_events(with_documented_names(facts, specs), mode, spec_label), segments(facts))
+
+
 def closing_events(tx: DataFrame, violations: DataFrame | None = None) -> DataFrame:
     """Events added when a transaction closes: the network response, then format alerts."""
     null = F.lit(None).cast("string")

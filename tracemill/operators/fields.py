@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill import fixed_values as fv
@@ -10,34 +10,38 @@ from tracemill.functions import conformance as cf
 from tracemill.functions import trace_line as tl
 from tracemill.operators.containment import contains_join
 from tracemill.operators.ordered import top_per_group
-from tracemill.operators.transactions import TX
+from tracemill.operators.transactions import TX, in_segments, line_facts, segments
 from tracemill.session import small
 from tracemill.sources.refdata import field_key, lookup
 
 
-def tx_fields(segmented: DataFrame) -> DataFrame:
-    """Fields of each transaction: last value stated, first line seen, name and description."""
+def field_said() -> Column:
+    """What a line says about a field: ``no, last_line, value, declared_length, field_prefix``; null where it names none."""
     line = F.col("line")
-    told = (
-        segmented.filter(~F.col("is_start") & F.contains(line, F.lit("[")))
-        .withColumn("field_number", tl.field_number(line))
-        .filter(F.col("field_number").isNotNull())
-        .select(
-            *TX,
-            "field_number",
-            "line_no",
-            F.struct(
-                F.col("line_no").alias("last_line"),
-                tl.field_value(line).alias("value"),
-                tl.field_declared_length(line).alias("declared_length"),
-                tl.field_prefix(line).alias("field_prefix"),
-            ).alias("said"),
-        )
+    said = F.struct(
+        tl.field_number(line).alias("no"),
+        F.col("line_no").alias("last_line"),
+        tl.field_value(line).alias("value"),
+        tl.field_declared_length(line).alias("declared_length"),
+        tl.field_prefix(line).alias("field_prefix"),
     )
-    folded = told.groupBy(*TX, "field_number").agg(F.min("line_no").alias("first_line"), F.max("said").alias("said"))
+    return F.when(~F.col("is_start") & F.contains(line, F.lit("[")) & tl.field_number(line).isNotNull(), said)
+
+
+def fold_fields(told: DataFrame) -> DataFrame:
+    """Fields of each transaction from the lines that name one (``TX, line_no, said``)."""
+    told = told.withColumn("field_number", F.col("said.no"))
+    folded = told.groupBy(*TX, "field_number").agg(F.min("line_no").alias("first_line"), F.max(F.col("said").dropFields("no")).alias("said"))
     return name_fields(folded.select(*TX, "field_number", "first_line", "said.*"))
 
 
+def tx_fields(lines: DataFrame) -> DataFrame:
+    """Fields of each segment of ``file_id, line_no, line``: last value stated, first line seen, name and description."""
+    facts = line_facts(lines)
+    told = facts.withColumn("said", field_said()).filter(F.col("said").isNotNull())
+    return fold_fields(in_segments(told.select("file_id", "session_id", "line_no", "said"), segments(facts)))
+
+
 def name_fields(fields: DataFrame) -> DataFrame:
     """Add the dictionary ``name`` and ``description`` of ``field_number``."""
     no = F.col("field_number")

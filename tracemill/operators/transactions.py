@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracemill import fixed_values as fv
 from tracemill.functions import trace_line as tl
 from tracemill.operators.scan import BLOCK, Running, Total, block_scan, position_block, ranked
+from tracemill.session import stage
 from tracemill.sources.refdata import lookup
 
 END_OF_FILE = 1 << 62
@@ -52,23 +53,44 @@ def line_facts(lines: DataFrame) -> DataFrame:
     )
 
 
+#: What the scans over sessions carry of a line; never its text.
+SLIM = ["file_id", "session_id", "line_no", "is_start", "mti", *IDS, "is_heartbeat", "opens", "said_011", "said_039"]
+
+
+def slim_facts(facts: DataFrame, *more: str) -> DataFrame:
+    """What each line states, without its text: the rows every scan over a session works on (and the columns ``more``).
+
+    ``opens`` marks lines with message type 1110; ``said_011`` and ``said_039`` are the dumps of fields 011 and 039.
+    """
+    if "opens" in facts.columns:
+        return facts.select(*SLIM, *more)
+    line = F.col("line")
+    told = facts.withColumn("opens", tl.is_response_start(line) & F.contains(line, F.lit("1110")))
+    return told.withColumns(
+        {
+            "said_011": F.when(~F.col("opens") & F.contains(line, F.lit("(011)")), tl.dump_011(line)),
+            "said_039": F.when(~F.col("opens") & F.contains(line, F.lit("(039)")), tl.identifiers(line)["response_code"]),
+        }
+    ).select(*SLIM, *more)
+
+
 def segments(facts: DataFrame, responses: bool = False, block: int = BLOCK) -> DataFrame:
-    """Add ``seg`` (0 before the first start of a session) and ``session_first``.
+    """Slim facts with ``seg`` (0 before the first start of a session) and ``session_first``.
 
     With ``responses`` also ``open_line`` (last line with message type 1110) and the
-    last lines that dumped fields 011 and 039, for :func:`response_pairs`.
+    last lines that dumped fields 011 and 039, for :func:`response_pairs`.  Facts that still
+    have their text are reduced and written first, so that lines are parsed once.
     """
+    slim = slim_facts(facts) if "opens" in facts.columns else stage(slim_facts(facts), "facts")
     measures = [Running("seg", "sum", "__start"), Total("session_first", "min", "line_no")]
-    work = facts.withColumn("__start", F.col("is_start").cast("bigint"))
+    work = slim.withColumn("__start", F.col("is_start").cast("bigint"))
     if responses:
-        line, at = F.col("line"), F.col("line_no")
-        work = work.withColumn("__opens", tl.is_response_start(line) & F.contains(line, F.lit("1110"))).withColumns(
+        at = F.col("line_no")
+        work = work.withColumns(
             {
-                "__open": F.when(F.col("__opens"), at),
-                "__011": F.when(~F.col("__opens") & F.contains(line, F.lit("(011)")) & tl.dump_011(line).isNotNull(), at),
-                "__039": F.when(
-                    ~F.col("__opens") & F.contains(line, F.lit("(039)")) & tl.identifiers(line)["response_code"].isNotNull(), at
-                ),
+                "__open": F.when(F.col("opens"), at),
+                "__011": F.when(F.col("said_011").isNotNull(), at),
+                "__039": F.when(F.col("said_039").isNotNull(), at),
             }
         )
         measures += [
@@ -77,7 +99,12 @@ def segments(facts: DataFrame, responses: bool = False, block: int = BLOCK) -> D
             Running("line_039", "max", "__039"),
         ]
     out = block_scan(work, ["file_id", "session_id"], ["line_no"], position_block("line_no", block), measures)
-    return out.drop("__start", "__opens", "__open", "__011", "__039")
+    return out.drop("__start", "__open", "__011", "__039")
+
+
+def in_segments(rows: DataFrame, segmented: DataFrame) -> DataFrame:
+    """Add ``seg`` to rows of lines (``file_id, line_no``): only what was found in a line is moved to its segment."""
+    return rows.join(segmented.select("file_id", "line_no", "seg"), ["file_id", "line_no"])
 
 
 def response_pairs(segmented: DataFrame) -> DataFrame:
@@ -103,10 +130,8 @@ def response_pairs(segmented: DataFrame) -> DataFrame:
             F.col("__at.line_039").alias("line_039"),
         )
     )
-    stans = dumps.filter("line_no = line_011").select("file_id", F.col("line_no").alias("line_011"), tl.dump_011("line").alias("stan"))
-    codes = dumps.filter("line_no = line_039").select(
-        "file_id", F.col("line_no").alias("line_039"), tl.identifiers("line")["response_code"].alias("response_code")
-    )
+    stans = dumps.filter("line_no = line_011").select("file_id", F.col("line_no").alias("line_011"), F.col("said_011").alias("stan"))
+    codes = dumps.filter("line_no = line_039").select("file_id", F.col("line_no").alias("line_039"), F.col("said_039").alias("response_code"))
     return (
         done.join(stans, ["file_id", "line_011"])
         .join(codes, ["file_id", "line_039"])

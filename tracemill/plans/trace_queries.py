@@ -147,7 +147,7 @@ FROM v GROUP BY file_id, session_id, seg, field_number""",
 )
 def tx_fields(spark, sf_dir):
     """Fields of every segment: last value, first line, dictionary name."""
-    fields = fd.tx_fields(tr.segments(tr.line_facts(trace_lines(spark, sf_dir))))
+    fields = fd.tx_fields(trace_lines(spark, sf_dir))
     return fields.select("file_id", "session_id", "seg", "field_number", "first_line", "last_line", "value", "name", "description")
 
 
@@ -269,8 +269,7 @@ FROM s WHERE fn IS NOT NULL GROUP BY ALL""",
 )
 def tx_failures(spark, sf_dir):
     """Failed functions of every segment with their alert."""
-    segmented = tr.segments(tr.line_facts(trace_lines(spark, sf_dir)))
-    events = ev.line_events(ev.with_documented_names(segmented, function_specs(spark)))
+    events = ev.chronology(trace_lines(spark, sf_dir), function_specs(spark))
     failed = events.filter(F.col("kind").isin(*ev.FAILED_KINDS))
     return failed.groupBy(*TX, F.col("name").alias("function"), "kind", "alert").agg(
         F.min("line_no").alias("first_line"), F.count("*").alias("times")
@@ -308,8 +307,7 @@ z AS (
 @query("tx_events", f"WITH {CALLS} SELECT file_id, session_id, seg, line_no, kind, name, text, alert FROM z")
 def tx_events(spark, sf_dir):
     """Chronology in compact mode: one row per event."""
-    segmented = tr.segments(tr.line_facts(call_lines(spark, sf_dir)))
-    events = ev.line_events(ev.with_documented_names(segmented, function_specs(spark)))
+    events = ev.chronology(call_lines(spark, sf_dir), function_specs(spark))
     return events.select(*TX, "line_no", "kind", "name", "text", "alert")
 
 
@@ -327,8 +325,7 @@ SELECT file_id, session_id, seg, line_no, kind, concat('(Ligne ', CAST(line_no A
 )
 def tx_events_full(spark, sf_dir):
     """Chronology in full mode: prefixes, and the lines no rule matched."""
-    segmented = tr.segments(tr.line_facts(call_lines(spark, sf_dir)))
-    events = ev.line_events(ev.with_documented_names(segmented, function_specs(spark)), mode="full")
+    events = ev.chronology(call_lines(spark, sf_dir), function_specs(spark), mode="full")
     return events.select(*TX, "line_no", "kind", "text")
 
 
@@ -340,8 +337,7 @@ FROM z WHERE kind IN ('to_hsm', 'from_hsm', 'hsm_result') GROUP BY ALL""",
 )
 def hsm_traffic(spark, sf_dir):
     """Security-module commands, replies and results per segment."""
-    segmented = tr.segments(tr.line_facts(call_lines(spark, sf_dir)))
-    events = ev.line_events(ev.with_documented_names(segmented, None))
+    events = ev.chronology(call_lines(spark, sf_dir), None)
     hsm = events.filter(F.col("kind").isin("to_hsm", "from_hsm", "hsm_result"))
     return hsm.groupBy(*TX, "kind", "name").agg(
         F.min("line_no").alias("first_line"), F.count("*").alias("times"), F.count("alert").alias("alerts")

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
 
 from tracemill.plans.trace_report import Analysis, analyze
-from tracemill.sources.traces import is_trace_file, number_lines, text_scan
+from tracemill.sources.traces import is_trace_file, place_lines, text_scan
 
 
 def watch(
@@ -32,7 +32,7 @@ def watch(
     source = text_scan(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(landing))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        lines = number_lines(batch.filter(is_trace_file(F.element_at(F.split("file_id", "/"), -1))))
+        lines = place_lines(batch.filter(is_trace_file(F.element_at(F.split("file_id", "/"), -1))))
         result = analyze(lines, specs=specs)
         result.transactions.write.mode("overwrite").parquet(f"{output}/transactions/batch={batch_id}")
         result.events.write.mode("overwrite").parquet(f"{output}/events/batch={batch_id}")
