@@ -1,7 +1,11 @@
 """Conformance, codes, questions, excerpts, reports and stores on the documented cases."""
 
 import json
+import random
+import re
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import payload as pl
@@ -123,6 +127,67 @@ def test_store(spark, tmp_path):
     assert st.upsert(*tie).first()["title"] == "n" and st.upsert(*tie[::-1]).first()["title"] == "m"
 
 
+def titles_one_by_one(rows, stored, limit):
+    """The rule over sorted rows: plain, then once a minute, then the next free number."""
+    room = limit - 10
+    old, plain, given = set(stored), {(a, t[:limit]) for _, a, t, _ in rows}, {}
+    taken, seen, minutes, left = old | plain, set(), set(), []
+    for i, agent, title, at in sorted(rows, key=lambda r: (r[3], r[0])):
+        base, clock = title[:limit], at.strftime("%H:%M")
+        if (agent, base) not in seen and (agent, base) not in old:
+            given[i] = base
+        else:
+            timed = base[: limit - 8] + f" · {clock}"
+            if (agent, base[:room], clock) not in minutes and (agent, timed) not in taken:
+                given[i] = timed
+            else:
+                left.append((i, agent, base))
+            minutes.add((agent, base[:room], clock))
+        seen.add((agent, base))
+    used = {(a, m[1][:room], int(m[2])) for a, t in taken if (m := re.fullmatch("(?s)(.*) #([1-9][0-9]{0,7})", t))}
+    for i, agent, base in left:
+        n = 2
+        while (agent, base[:room], n) in used:
+            n += 1
+        used.add((agent, base[:room], n))
+        given[i] = base[: limit - len(f" #{n}")] + f" #{n}"
+    return given
+
+
+def test_titles_are_unique_in_all_forms(spark):
+    rng = random.Random(8)
+    start = datetime(2024, 1, 1, 10)
+    names = ["A", "A · 10:00", "A #3", "A #03", "B" * 25, "B" * 24 + "c", "B" * 15 + "x", "A #2 #2", "A · 10:01 #2", "é\n"]
+    rows = [(i, rng.choice("xy"), rng.choice(names), start + timedelta(seconds=rng.randrange(180))) for i in range(150)]
+    rows += [(1000 + i, "z", "B", start) for i in range(103)] + [(1200, "z", "B #7", start), (1201, "z", "B · 10:00", start)]
+    stored = [("x", "A"), ("x", "A #2"), ("x", "A #5"), ("y", "A · 10:01"), ("x", "B" * 15 + " #2"), ("z", "B #50"), ("z", "B #51")]
+    frame = spark.createDataFrame(rows, "id int, agent_type string, title string, created_at timestamp")
+    known = spark.createDataFrame(stored, "agent_type string, title string")
+    for existing in (stored, []):
+        got = {r["id"]: r["unique_title"] for r in st.unique_titles(frame, known if existing else None, max_len=25).collect()}
+        assert got == titles_one_by_one(rows, existing, 25)
+        agents = {i: a for i, a, *_ in rows}
+        all_titles = [(agents[i], t) for i, t in got.items()] + existing
+        assert len(set(all_titles)) == len(all_titles) and max(map(len, got.values())) <= 25
+
+
+def test_a_failed_rebuild_leaves_the_collection(spark, tmp_path):
+    from tracemill.sources import sinks
+
+    path = str(tmp_path / "collection")
+    assert sinks.read_collection(spark, path) is None
+    first = sinks.rebuild_collection(spark.range(10), path)
+    broken = spark.range(10).select(F.when(F.col("id") < 9, F.col("id")).otherwise(F.raise_error(F.lit("lost"))).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.rebuild_collection(broken, path)
+    assert sinks.read_collection(spark, path).count() == 10
+    second = sinks.rebuild_collection(sinks.read_collection(spark, path).filter("id < 4").withColumn("part", F.col("id") % 2), path, ["part"])
+    assert second.count() == 4 and first.count() == 10 and sinks.read_collection(spark, path, 1).count() == 10
+    sinks.remove_versions(spark, path, keep=1)
+    assert sinks.read_collection(spark, path).count() == 4
+    assert len([f for f in (tmp_path / "collection").iterdir() if f.name.startswith("v")]) == 1
+
+
 def test_chunk_reuse(spark, tmp_path):
     from tracemill.sources.sinks import append_chunks
 

@@ -498,4 +498,3 @@ DAILY_REQUESTS = 1000
 TOKEN_BUDGET = 1000000
 TITLE_WORDS = 8
 TITLE_CHARS = 80
-TITLE_NUMBERS = 100

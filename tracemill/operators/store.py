@@ -11,7 +11,7 @@ from tracemill import fixed_values as fv
 from tracemill.functions import chunk_text as ct
 from tracemill.functions import payload as pl
 from tracemill.operators.ordered import latest_per_key, top_per_group
-from tracemill.operators.scan import position_block, ranked
+from tracemill.operators.scan import Running, block_scan, position_block, ranked
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", activity: str = "updated_at", created: str = "created_at") -> DataFrame:
@@ -61,6 +61,10 @@ def latest_files(files: DataFrame, order: Sequence[str] = ("added_at",)) -> Data
     return newest.withColumns(ct.file_stats("content"))
 
 
+#: Characters kept free for a suffix: two and the digits of a number.
+TITLE_ROOM = 10
+
+
 def unique_titles(
     conversations: DataFrame,
     existing: DataFrame | None = None,
@@ -71,46 +75,56 @@ def unique_titles(
     """A title per conversation (``agent_type, title, created_at`` timestamp) that its agent has not used yet.
 
     The first conversation with a title keeps it, the first further one of a given
-    minute gets `` · HH:MM``, all others ``#2``, ``#3`` … in order of creation (after
-    the last number, the time suffix again).  ``existing`` titles count as used, in all
-    three forms, and so do the plain titles of the other new conversations.
+    minute gets `` · HH:MM``, all others ``#2``, ``#3`` … in order of creation, as far as needed.
+    ``existing`` titles count as used, in all three forms, and so do the plain titles of
+    the other new conversations.  A title is cut so that its suffix fits; titles that
+    agree up to ``TITLE_ROOM`` characters before the limit share their minutes and numbers.
+    No two conversations of an agent get one title, nor one that exists.
     """
+    stem = lambda c: F.left(c, F.lit(max_len - TITLE_ROOM))
+
+    def ending(suffix: Column) -> Column:
+        return F.concat(F.left(F.col("__base"), F.lit(max_len) - F.length(suffix)), suffix)
+
     base = F.left("title", F.lit(max_len))
     seconds = F.unix_seconds(F.col("created_at").cast("timestamp"))
-    work = conversations.withColumns({"__base": base, "__s": seconds, "__taken": F.lit(False)})
+    work = conversations.withColumns({"__base": base, "__stem": stem(base), "__s": seconds, "__clock": F.date_format("created_at", "HH:mm")})
+    plain = work.select("agent_type", F.col("__base").alias("__t"), F.lit(False).alias("__old"))
     if existing is not None:
-        used = existing.select("agent_type", F.col("title").alias("__base")).distinct().withColumn("__used", F.lit(True))
-        work = work.join(used, ["agent_type", "__base"], "left").withColumn("__taken", F.coalesce("__used", F.lit(False))).drop("__used")
+        plain = plain.unionByName(existing.select("agent_type", F.col("title").alias("__t"), F.lit(True).alias("__old")))
+    taken = plain.filter("__t IS NOT NULL").groupBy("agent_type", "__t").agg(F.max("__old").alias("__old"))
+
+    def used(rows: DataFrame, title: Column, old: bool) -> DataFrame:
+        """``rows`` with ``__used``: is this title taken (by a stored conversation, or by a new one as well)?"""
+        there = taken.filter("__old") if old else taken
+        there = there.select(F.col("agent_type").alias("__agent"), "__t", F.lit(True).alias("__found"))
+        on = F.col("agent_type").eqNullSafe(F.col("__agent")) & (F.col("__want") == F.col("__t"))
+        found = rows.withColumn("__want", title).join(there, on, "left")
+        return found.withColumn("__used", F.coalesce("__found", F.lit(False))).drop("__want", "__agent", "__t", "__found")
+
     when = [position_block("__s", block_seconds)]
-    numbered = ranked(work, ["agent_type", "__base"], ["created_at", key], when, "__n")
-    extra = (F.col("__n") > 1) | F.col("__taken")
-    clock = F.date_format("created_at", "HH:mm")
-    timed = F.left(F.concat("title", F.lit(" · "), clock), F.lit(max_len))
-    split = numbered.withColumns({"__extra": extra, "__clock": F.when(extra, clock)})
-    again = ranked(split.filter("__extra"), ["agent_type", "__base", "__clock"], ["created_at", key], when, "__m")
-    if existing is not None:
-        used = existing.select("agent_type", F.col("title").alias("__timed")).distinct().withColumn("__clash", F.lit(True))
-        again = again.withColumn("__timed", timed).join(used, ["agent_type", "__timed"], "left").withColumn(
-            "__m", F.when(F.coalesce("__clash", F.lit(False)), F.col("__m") + 1).otherwise(F.col("__m"))
-        ).drop("__timed", "__clash")
-    first_of_minute = again.filter("__m = 1").withColumn("unique_title", timed)
-    rest = ranked(again.filter("__m > 1"), ["agent_type", "__base"], ["created_at", key], when, "__o")
-    # The n-th conversation left over takes the n-th number that is free for its title.
-    taken = numbered.select("agent_type", F.col("__base").alias("__try"))
-    if existing is not None:
-        taken = taken.unionByName(existing.select("agent_type", F.col("title").alias("__try")))
-    bases = rest.select("agent_type", "__base").distinct()
-    tries = bases.withColumn("__no", F.explode(F.sequence(F.lit(2), F.lit(fv.TITLE_NUMBERS - 1)))).withColumn(
-        "__try", F.left(F.concat("__base", F.lit(" #"), F.col("__no").cast("string")), F.lit(max_len))
-    )
-    free = tries.join(taken.distinct(), ["agent_type", "__try"], "left_anti").groupBy("agent_type", "__base").agg(F.sort_array(F.collect_list("__no")).alias("__free"))
-    rest = rest.join(free, ["agent_type", "__base"], "left")
-    number = F.get("__free", F.col("__o").cast("int") - 1)
-    counted = F.left(F.concat("__base", F.lit(" #"), number.cast("string")), F.lit(max_len))
-    rest = rest.withColumn("unique_title", F.coalesce(counted, timed))
-    plain = split.filter("NOT __extra").withColumn("unique_title", F.col("__base"))
+    numbered = used(ranked(work, ["agent_type", "__base"], ["created_at", key], when, "__n"), F.col("__base"), True)
+    extra = (F.col("__n") > 1) | F.col("__used")
+    first = numbered.filter(~extra).withColumn("unique_title", F.col("__base"))
+    timed = ending(F.concat(F.lit(" · "), F.col("__clock")))
+    again = used(ranked(numbered.filter(extra).drop("__used"), ["agent_type", "__stem", "__clock"], ["created_at", key], when, "__m"), timed, False)
+    at_minute = (F.col("__m") == 1) & ~F.col("__used")
+    of_minute = again.filter(at_minute).withColumn("unique_title", timed)
+    rest = ranked(again.filter(~at_minute), ["agent_type", "__stem"], ["created_at", key], when, "__o")
+
+    # The n-th conversation left over takes the n-th free number.  Before the j-th used number u there are u - 1 - j free ones:
+    # laid in one sequence with the conversations, each of these has to skip the used numbers that come before it.
+    number = F.regexp_extract("__t", r"(?s)\A(.*) #([1-9][0-9]{0,7})\z", 2).try_cast("bigint")
+    numbers = taken.select("agent_type", stem(F.regexp_replace("__t", r"(?s) #[0-9]+\z", "")).alias("__stem"), number.alias("__no"))
+    numbers = ranked(numbers.filter("__no >= 2").distinct(), ["agent_type", "__stem"], ["__no"], position_block("__no"), "__j")
+    skips = numbers.select("agent_type", "__stem", (F.col("__no") - 1 - F.col("__j")).alias("__at"), F.lit(1).alias("__side"), F.lit(1).cast("bigint").alias("__skip"))
+    asked = rest.withColumns({"__at": F.col("__o").cast("bigint"), "__side": F.lit(0), "__skip": F.lit(0).cast("bigint")})
+    both = asked.unionByName(skips, allowMissingColumns=True)
+    passed = block_scan(both, ["agent_type", "__stem"], ["__at", "__side"], position_block("__at"), [Running("__skipped", "sum", "__skip")])
+    counted = ending(F.concat(F.lit(" #"), (F.col("__at") + 1 + F.col("__skipped")).cast("string")))
+    rest = passed.filter("__side = 0").withColumn("unique_title", counted)
     columns = [*conversations.columns, "unique_title"]
-    return plain.select(*columns).unionByName(first_of_minute.select(*columns)).unionByName(rest.select(*columns))
+    return first.select(*columns).unionByName(of_minute.select(*columns)).unionByName(rest.select(*columns))
 
 
 # --- usage -------------------------------------------------------------------

@@ -259,41 +259,48 @@ def merge_roots(tx: DataFrame, split_heartbeats: bool = False, block: int = BLOC
       keeps heartbeats and business transactions apart.
 
     Adds ``root`` (identity and place), ``target`` (same) and ``is_orphan``.
+
+    Both rules are one scan over groups of a (kind, key): a transaction with a STAN asks its STAN, any other its
+    RRN; those that can be joined tell their RRN who they are as well.
     """
     me = F.struct("close_key", "session_first", "session_id", "seg")
-    work = tx.withColumns(
-        {
-            "me": me,
-            "is_orphan": F.col("stan").isNull() & F.col("transaction_id").isNull(),
-        }
+    orphan = F.col("stan").isNull() & F.col("transaction_id").isNull()
+    by_stan, by_rrn = F.col("stan").isNotNull(), F.col("rrn").isNotNull()
+    apart = F.col("is_heartbeat") if split_heartbeats else F.lit(None).cast("boolean")
+    group = lambda kind, key, hb, asks: F.struct(F.lit(kind).alias("kind"), key.alias("key"), hb.alias("hb"), F.lit(asks).alias("asks"))
+    none = F.lit(None).cast("boolean")
+    asked = F.when(by_stan, group("stan", F.col("stan"), apart, True)).when(by_rrn, group("rrn", F.col("rrn"), none, True))
+    told = F.when(by_stan & by_rrn, group("rrn", F.col("rrn"), none, False))
+
+    work = tx.withColumns({"me": me, "is_orphan": orphan})
+    who = F.when(~F.col("is_orphan"), F.struct("me", "is_heartbeat", "stan"))
+    laid = work.withColumn("__to", F.explode(F.array_compact(F.array(asked, told)))).select(
+        "*", F.col("__to.kind").alias("__kind"), F.col("__to.key").alias("__key"), F.col("__to.hb").alias("__hb"), who.alias("__who")
     )
-    same_stan = ["file_id", "stan"] + (["is_heartbeat"] if split_heartbeats else [])
-    stan_roots = block_scan(
-        work.filter(F.col("stan").isNotNull()), same_stan, ["close_key"], _places(block), [Total("root", "min", "me")]
-    )
-    rooted = stan_roots.unionByName(work.filter(F.col("stan").isNull()).withColumn("root", F.col("me")))
-
-    primary = F.struct("me", "is_heartbeat", "root")
-    by_rrn = block_scan(
-        rooted.filter(F.col("rrn").isNotNull()).withColumn("__p", F.when(~F.col("is_orphan"), primary)),
-        ["file_id", "rrn"],
-        ["close_key"],
-        _places(block),
-        [Total("__first", "min", "__p")],
+    found = block_scan(laid, ["file_id", "__kind", "__key", "__hb"], ["close_key"], _places(block), [Total("__first", "min", "__who")])
+    found = found.filter("__to.asks")
+
+    columns = [*tx.columns, "me", "is_orphan"]
+    same_stan = found.filter("__kind = 'stan'").select(
+        *columns, F.col("__first.me").alias("root"), F.col("me").alias("target"), F.lit(False).alias("merged_by_rrn")
     )
+    # A fragment that joins a transaction goes where that one goes.
+    roots = tx.filter(by_stan).groupBy(F.col("file_id").alias("__file"), F.col("stan").alias("__stan"), apart.alias("__same")).agg(F.min(me).alias("__root"))
+    first_hb = F.col("__first.is_heartbeat") if split_heartbeats else none
+    there = (F.col("file_id") == F.col("__file")) & (F.col("__first.stan") == F.col("__stan")) & first_hb.eqNullSafe(F.col("__same"))
     joins = (
         F.col("is_orphan")
         & F.col("__first").isNotNull()
         & ~(F.col("is_heartbeat") & ~F.col("__first.is_heartbeat"))
     )
-    merged = by_rrn.select(
-        *[c for c in rooted.columns if c != "root"],
-        F.when(joins, F.col("__first.root")).otherwise(F.col("root")).alias("root"),
+    same_rrn = found.filter("__kind = 'rrn'").join(roots, there, "left").select(
+        *columns,
+        F.when(joins, F.coalesce("__root", F.col("__first.me"))).otherwise(F.col("me")).alias("root"),
         F.when(joins, F.col("__first.me")).otherwise(F.col("me")).alias("target"),
         joins.alias("merged_by_rrn"),
     )
-    rest = rooted.filter(F.col("rrn").isNull()).withColumns({"target": F.col("me"), "merged_by_rrn": F.lit(False)})
-    return merged.unionByName(rest)
+    alone = work.filter(~by_stan & ~by_rrn).withColumns({"root": F.col("me"), "target": F.col("me"), "merged_by_rrn": F.lit(False)})
+    return same_stan.unionByName(same_rrn).unionByName(alone)
 
 
 def fold_place() -> Column:

@@ -330,7 +330,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY agent_type, title ORDER BY creat
 m AS (SELECT *, row_number() OVER (PARTITION BY agent_type, title, hm ORDER BY created_at, id) AS m FROM n WHERE n > 1),
 o AS (SELECT *, row_number() OVER (PARTITION BY agent_type, title ORDER BY created_at, id) + 1 AS o FROM m WHERE m > 1)
 SELECT id, title AS unique_title FROM n WHERE n = 1 UNION ALL SELECT id, left(concat(title, ' · ', hm), 80) FROM m WHERE m = 1
-UNION ALL SELECT id, CASE WHEN o < 100 THEN left(concat(title, ' #', CAST(o AS VARCHAR)), 80) ELSE left(concat(title, ' · ', hm), 80) END FROM o""",
+UNION ALL SELECT id, left(concat(title, ' #', CAST(o AS VARCHAR)), 80) FROM o""",
 )
 def unique_titles(spark, sf_dir):
     """A title per entry that its agent has not used yet."""
