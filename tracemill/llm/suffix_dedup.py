@@ -1,18 +1,23 @@
-"""Repeated byte strings over a corpus by sampled suffixes (exact for every string of ``length`` bytes).
+"""Repeated byte strings over a corpus by a sampled suffix array (every string of ``length`` bytes is judged).
 
 Indexing all suffixes would move a hundred times the corpus.  A sparse suffix array is enough: of each window of
 ``length`` bytes the suffix with the smallest fingerprint of its leading ``LEAD`` bytes is kept (about one in 35), and as
-that choice depends on the window alone, equal windows anywhere keep the same suffix.
+that choice depends on the window alone, equal windows anywhere keep the same suffix.  Consecutive windows that keep one
+suffix are a stretch.
 
 1. Documents are dealt to groups of a few megabytes by a hash of their id.
-2. Each group emits its distinct sampled suffixes; *sampled splitters* over the leading bytes range-partition them.
-   A bucket sorts its suffixes by leading fingerprint and reports those that two groups share, or one group twice.
-   A passage that very many documents hold gives one entry per group, not per document.
-3. Only the stretches of text around shared suffixes go to a second set of buckets, first reduced inside the group.
-   There every window is fingerprinted (twice 64 bits), all windows are sorted, and each one that is equal to a window
-   with smaller ``(doc_id, start)`` is covered.  Suffixes shared by more than ``hot`` groups are dealt by the fingerprint
-   of the whole window instead, so no bucket receives a hot suffix whole; equal windows meet in one bucket either way.
+2. Each group emits its distinct stretches as (suffix, digest, first place), no text; *sampled splitters* over the leading
+   bytes range-partition them.  A bucket sorts them by suffix and digest: a stretch with an earlier equal is covered as a
+   whole, a suffix whose stretches differ must be compared, all others need nothing.  A suffix that lies on a splitter
+   meets its like across the boundary: it is spread over the adjoining buckets and always compared.
+3. Only the text of the earliest stretch of each digest, and only of suffixes with several digests, goes to a second set of
+   buckets.  There the windows are sorted byte by byte by multikey quicksort; each one that is equal to a window with
+   smaller ``(doc_id, start)`` is covered.  Of suffixes on a boundary, or with more than ``hot`` different stretches, single
+   windows go as two fingerprints, dealt by these, so no bucket receives a hot suffix whole.
 4. Covered intervals return to the group of their document.
+
+Step 3 compares bytes.  Steps 1 and 2 rest on fingerprints: two different stretches of one suffix count as equal with
+probability of about 2**-64 per pair, two different windows of a hot suffix with 2**-128.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import batch_of, fresh, group_of, query, read, shuffle_partitions, text_bytes, with_key
+from tracemill.llm.common import fresh, group_of, query, read, shuffle_partitions, text_bytes, with_key
 from tracemill.llm.scan import CODES, Chunk, Prefix, chunks, mix, spans_inside
 
 LEAD = 32
@@ -34,7 +39,10 @@ GROUP_BYTES = 2 << 20
 #: Sampled suffixes from which the splitters are chosen, and buckets per shuffle partition.
 SPLITTER_SAMPLE = 20_000
 BUCKETS_PER_PARTITION = 4
-HOT_GROUPS = 256
+#: Bytes of text per shuffle partition beyond which there are more of them than the session asks for.
+PARTITION_BYTES = 64 << 20
+#: Different stretches of one suffix (about 170 bytes each) that one bucket compares as text.
+HOT_STRETCHES = 20_000
 
 TOP32 = np.uint64(0xFFFFFFFF00000000)
 LOW32 = np.uint64(0xFFFFFFFF)
@@ -84,23 +92,73 @@ def sampled_suffixes(chunk: Chunk, length: int):
     return keys, (lead << np.uint64(16)) | (keys >> np.uint64(48)), chunk.owner(first), first, ends - first
 
 
-def covered_windows(buffer: np.ndarray, at: np.ndarray, counts: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int):
-    """Windows equal to a window with smaller (doc, start).  Segment ``i`` has ``counts[i]`` windows from ``buffer[at[i]]`` on."""
-    order = np.lexsort((start, doc))
-    at, counts = at[order], counts[order]
+def stretches(batches, length: int):
+    """All runs of a group's texts, sorted by (suffix, digest, doc, start), and the bytes of chosen ones.
+
+    Columns: ``key`` and ``lead`` of the kept suffix, ``digest`` of the whole stretch, ``doc``, first window ``start``, number
+    of windows ``n``; ``first`` marks the first occurrence of each (suffix, digest).  ``take(rows)`` gives stretch bytes.
+    """
+    parts = {c: [] for c in ("key", "lead", "digest", "doc", "start", "n", "at")}
+    data, base = [], 0
+    for chunk in chunks(batches):
+        key, lead, text, first, n = sampled_suffixes(chunk, length)
+        if len(key):
+            digest = Prefix(CODES[1][chunk.data]).span(first, first + n + length - 1)
+            ids = chunk.batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for c, value in zip(parts, (key, lead, digest, ids[text], first - chunk.starts[text], n, first + base), strict=True):
+                parts[c].append(value)
+        data.append(chunk.data)
+        base += len(chunk.data)
+    if not parts["key"]:
+        return None, None
+    runs = {c: np.concatenate(v) for c, v in parts.items()}
+    order = np.lexsort((runs["start"], runs["doc"], runs["digest"], runs["key"]))
+    runs = {c: v[order] for c, v in runs.items()}
+    runs["first"] = changes(runs["key"], runs["digest"])
+    buffer = np.concatenate(data)
+    return runs, lambda rows: buffer[spans_inside(runs["at"][rows], runs["n"][rows] + length - 1)[0]]
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Rows that differ from the row before in any column."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def equal_windows(buffer: np.ndarray, at: np.ndarray, counts: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int):
+    """Windows equal to a window with smaller (doc, start).  Segment ``i`` has ``counts[i]`` windows from ``buffer[at[i]]`` on.
+
+    Multikey quicksort of the window suffixes, eight bytes being one character: a group of suffixes equal so far is
+    partitioned by its next character; suffixes alone in their group leave, groups without a difference stay as they are.
+    """
+    rank = np.lexsort((start, doc))
+    at, counts = at[rank], counts[rank]
     where, owner = spans_inside(at, counts)
-    prints = Prefix(CODES[0][buffer]).span(where, where + length)
-    rank = np.argsort(prints, kind="stable")
-    prints = prints[rank]
-    again = np.flatnonzero(prints[1:] == prints[:-1])  # rank[again + 1] repeats rank[again]
-    del prints
-    covered = np.zeros(len(rank), bool)
-    if len(again):
-        second = Prefix(CODES[1][buffer])
-        here, before = where[rank[again + 1]], where[rank[again]]
-        covered[rank[again + 1][second.span(here, here + length) == second.span(before, before + length)]] = True
-    del rank
-    return covered, order[owner], where - at[owner]
+    covered = np.zeros(len(where), bool)
+    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    chars = np.zeros(len(buffer) + 1, U64)
+    for i in range(8):
+        chars = (chars << U64(8)) | padded[i : i + len(chars)]
+    rows = np.argsort(chars[where], kind="stable")  # equal ones stay in the order of (doc, start)
+    new = changes(chars[where[rows]])
+    for depth in [*range(8, length - 8, 8), length - 8]:
+        alone = new & np.append(new[1:], True)
+        rows, new = rows[~alone], new[~alone]
+        if not len(rows):
+            return covered, rank[owner], where - at[owner]
+        char = chars[where[rows] + depth]
+        group = np.cumsum(new) - 1
+        differs = np.append(False, (char[1:] != char[:-1]) & ~new[1:])
+        mixed = np.flatnonzero(np.logical_or.reduceat(differs, np.flatnonzero(new))[group])
+        if len(mixed):
+            order = mixed[np.lexsort((char[mixed], group[mixed]))]
+            rows[mixed], char[mixed] = rows[order], char[order]
+            new = changes(group, char)
+    covered[rows[~new]] = True
+    return covered, rank[owner], where - at[owner]
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -129,11 +187,16 @@ def runs_of(owner: np.ndarray, offset: np.ndarray):
     return owner[first], offset[first], np.diff(np.append(first, len(owner)))
 
 
-KEYS = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("twice", pa.binary())])
-SHARED = pa.schema([("g", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())])
-PIECES = pa.schema([("bucket", pa.int32()), ("doc", pa.binary()), ("start", pa.binary()), ("windows", pa.binary()), ("bytes", pa.binary())])
-COVER = pa.schema([("g", pa.int32()), ("doc", pa.binary()), ("start", pa.binary()), ("end", pa.binary())])
 I64, U64 = np.int64, np.uint64
+UNITS = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("edge", pa.bool_()), ("keys", pa.binary()), ("digests", pa.binary()), ("doc", pa.binary()), ("start", pa.binary())])
+MARKS = pa.schema([("g", pa.int32()), ("keys", pa.binary()), ("digests", pa.binary()), ("mark", pa.binary())])
+PIECES = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc", pa.binary()), ("start", pa.binary()), ("n", pa.binary()), ("bytes", pa.binary())])
+COVER = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+#: What a bucket says of a stretch: equal to an earlier one of another group; others of its suffix are in its group only;
+#: in other groups too; the same, but so many that windows are compared by fingerprints.
+COVERED, LOCAL, SHARED, HOT = 1, 2, 3, 4
+#: Kinds of pieces: intervals already decided, stretches of text, fingerprints of single windows.
+DECIDED, TEXT, PRINTS = 0, 1, 2
 
 
 def ddl(schema: pa.Schema) -> str:
@@ -141,6 +204,23 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers as bytes, lowest bytes first: the zero bytes of small numbers lie together and compress away."""
+    return numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def joined(parts: list[bytes], read=unpack) -> np.ndarray:
+    return np.concatenate([read(p) for p in parts]) if parts else np.zeros(0, I64)
+
+
+def words(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, U64)
+
+
 def split_by(bucket: np.ndarray):
     """Positions of each bucket: (bucket, index array); none for no positions."""
     if not len(bucket):
@@ -150,131 +230,140 @@ def split_by(bucket: np.ndarray):
     return zip(values.tolist(), np.split(order, first[1:]), strict=True)
 
 
-def emit_keys(splitters: np.ndarray, length: int):
-    def keys_of(groups):
-        batches = list(groups)
-        table = pa.Table.from_batches(batches) if batches else None
-        if table is None:
-            return
-        found, lead = [], []
-        for chunk in chunks(table.to_batches()):
-            k, m, *_ = sampled_suffixes(chunk, length)
-            found.append(k), lead.append(m)
-        keys, first, n = np.unique(np.concatenate(found), return_index=True, return_counts=True)
-        bucket = np.searchsorted(splitters, np.concatenate(lead)[first], side="right")
+def table_of(rows: list, schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def emit_units(splitters: np.ndarray, length: int):
+    """The distinct (suffix, digest) pairs of a group, each with its first occurrence, to the buckets of their ranges.
+
+    Suffixes whose leading bytes are a splitter's lie on a boundary: they are spread over the buckets that meet there.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        runs, _ = stretches(table.to_batches(), length)
+        if runs is None:
+            return UNITS.empty_table()
+        key, lead, digest, doc, start = (runs[c][runs["first"]] for c in ("key", "lead", "digest", "doc", "start"))
+        low, high = np.searchsorted(splitters, lead, side="left"), np.searchsorted(splitters, lead, side="right")
+        edge = high > low
+        bucket = low + (digest % (high - low + 1).astype(U64)).astype(I64)
         g = table.column("g")[0].as_py()
-        for b, idx in split_by(bucket):
-            yield batch_of(KEYS, bucket=[b], g=[g], keys=[keys[idx].tobytes()], twice=[(n[idx] > 1).astype(np.uint8).tobytes()])
-
-    return keys_of
-
-
-def shared_keys(hot: int):
-    """Inside a bucket: sort all suffixes, keep those of two groups or twice in one; return them to their groups."""
-
-    def run(batches):
-        gs, keys, twice = [], [], []
-        for batch in batches:
-            for g, k, t in zip(*(batch.column(c).to_pylist() for c in ("g", "keys", "twice")), strict=True):
-                k = np.frombuffer(k, U64)
-                keys.append(k), twice.append(np.frombuffer(t, np.uint8)), gs.append(np.full(len(k), g, np.int32))
-        if not keys:
-            return
-        g, k, t = np.concatenate(gs), np.concatenate(keys), np.concatenate(twice)
-        _, inverse, n = np.unique(k, return_inverse=True, return_counts=True)
-        n = n[inverse]
-        keep = (n > 1) | (t > 0)
-        g, k, n = g[keep], k[keep], n[keep]
-        for one, idx in split_by(g):
-            yield batch_of(SHARED, g=[one], keys=[k[idx].tobytes()], hot=[np.where(n[idx] > hot, 2, n[idx] > 1).astype(np.uint8).tobytes()])
+        rows = [(b >> 1, g, bool(b & 1), key[i].tobytes(), digest[i].tobytes(), pack(doc[i]), pack(start[i])) for b, i in split_by(bucket * 2 + edge)]
+        return table_of(rows, UNITS)
 
     return run
 
 
+def mark_units(hot: int):
+    """One bucket: sorted by suffix and digest, neighbours compared, marks sent back to the groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = {c: table.column(c).to_pylist() for c in UNITS.names}
+        key, digest = joined(columns["keys"], words), joined(columns["digests"], words)
+        doc, start = joined(columns["doc"]), joined(columns["start"])
+        sizes = [len(k) // 8 for k in columns["keys"]]
+        g, edge = np.repeat(np.array(columns["g"], np.int32), sizes), np.repeat(np.array(columns["edge"], bool), sizes)
+        order = np.lexsort((start, doc, digest, key))
+        key, digest, g, edge = key[order], digest[order], g[order], edge[order]
+        new_key, new_unit = changes(key), changes(key, digest)
+        at = np.flatnonzero(new_key)
+        which = np.cumsum(new_key) - 1
+        digests = np.add.reduceat(new_unit.astype(I64), at)[which]
+        groups = (np.minimum.reduceat(g, at) != np.maximum.reduceat(g, at))[which]
+        mark = np.where(digests > 1, np.where(groups, np.where(digests > hot, HOT, SHARED), LOCAL), 0)
+        mark = np.where(edge, HOT, mark)  # the other side of the boundary is not seen here
+        mark = np.where(new_unit, mark, COVERED).astype(np.uint8)
+        keep = np.flatnonzero(mark)
+        rows = [(one, key[k].tobytes(), digest[k].tobytes(), mark[k].tobytes()) for one, i in split_by(g[keep]) for k in [keep[i]]]
+        return table_of(rows, MARKS)
+
+    return run
+
+
+def marks_of(runs: dict, marks: pa.Table) -> np.ndarray:
+    """The mark of each run (0: none)."""
+    first = np.flatnonzero(runs["first"])
+    key, digest = joined(marks.column("keys").to_pylist(), words), joined(marks.column("digests").to_pylist(), words)
+    mark = joined(marks.column("mark").to_pylist(), lambda raw: np.frombuffer(raw, np.uint8))
+    keys, digests = np.concatenate([runs["key"][first], key.astype(U64)]), np.concatenate([runs["digest"][first], digest.astype(U64)])
+    order = np.lexsort((np.arange(len(keys)), digests, keys))
+    pair = np.flatnonzero(~changes(keys[order], digests[order]))
+    out = np.zeros(len(first), np.uint8)
+    out[order[pair - 1]] = mark[order[pair] - len(first)]
+    return out[np.cumsum(runs["first"]) - 1]
+
+
 def emit_pieces(splitters: np.ndarray, length: int):
-    """Stretches of a group's texts around shared suffixes, without the windows that repeat inside the group."""
+    """What a group can decide, and the text of its stretches that others must be compared with.
 
-    def run(key, texts: pa.Table, shared: pa.Table) -> pa.Table:
-        if not texts.num_rows or not shared.num_rows:
-            return PIECES.empty_table()
-        keys = np.concatenate([np.frombuffer(x, U64) for x in shared.column("keys").to_pylist()])
-        hot = np.concatenate([np.frombuffer(x, np.uint8) for x in shared.column("hot").to_pylist()])
-        order = np.argsort(keys)
-        keys, hot = keys[order], hot[order]
-        parts = {n: [] for n in ("lead", "doc", "start", "n", "kind", "bytes")}
-        for chunk in chunks(texts.to_batches()):
-            k, lead, text, first, n = sampled_suffixes(chunk, length)
-            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-            hit = keys[at] == k
-            if not hit.any():
-                continue
-            lead, text, first, n = lead[hit], text[hit], first[hit], n[hit]
-            ids = chunk.batch.column("doc_id").to_numpy(zero_copy_only=False)
-            where, _ = spans_inside(first, n + length - 1)
-            for name, value in zip(parts, (lead, ids[text], first - chunk.starts[text], n, hot[at[hit]], chunk.data[where]), strict=True):
-                parts[name].append(value)
-        if not parts["n"]:
+    A stretch that repeats an earlier one is covered as a whole, so of equal stretches only the earliest sends its text, and
+    none does if all stretches of the suffix are equal.
+    """
+
+    def run(key, texts: pa.Table, marks: pa.Table) -> pa.Table:
+        runs, take = stretches(texts.to_batches(), length) if texts.num_rows else (None, None)
+        if runs is None:
             return PIECES.empty_table()
-        lead, doc, start, n, kind, data = (np.concatenate(parts[x]) for x in parts)
-        size = n + length - 1
-        at = np.cumsum(size) - size
-        covered, owner, offset = covered_windows(data, at, n, doc, start, length)
-        rows = []
-
-        def add(bucket, doc, start, windows, where):
-            for b, idx in split_by(bucket):
-                take = b"" if where is None else data[spans_inside(where[idx], windows[idx] + length - 1)[0]].tobytes()
-                w = -windows[idx] if where is None else windows[idx]
-                rows.append((b, doc[idx].astype(I64).tobytes(), start[idx].astype(I64).tobytes(), w.astype(I64).tobytes(), take))
-
-        s, o, w = runs_of(owner[covered], offset[covered])
-        if len(s):  # already decided: they only pass through
-            add(np.full(len(s), key[0].as_py() % (len(splitters) + 1)), doc[s], start[s] + o, w, None)
-        left = ~covered & (kind[owner] == 1)
-        s, o, w = runs_of(owner[left], offset[left])
-        if len(s):
-            add(np.searchsorted(splitters, lead[s], side="right"), doc[s], start[s] + o, w, at[s] + o)
-        left = ~covered & (kind[owner] == 2)
-        s, o = owner[left], offset[left]
-        if len(s):
-            where = at[s] + o
-            spot = Prefix(CODES[0][data]).span(where, where + length)
-            add((spot % U64(len(splitters) + 1)).astype(I64), doc[s], start[s] + o, np.ones(len(s), I64), where)
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(PIECES)], schema=PIECES)
+        mark = marks_of(runs, marks)
+        whole = ~runs["first"] | (mark == COVERED)
+        found = [(runs["doc"][whole], runs["start"][whole], runs["start"][whole] + runs["n"][whole] + length - 1)]
+        rows, buckets = [], len(splitters) + 1
+        left = np.flatnonzero(~whole & (mark >= LOCAL))
+        if len(left):
+            doc, start, n, lead, mark = (x[left] for x in (runs["doc"], runs["start"], runs["n"], runs["lead"], mark))
+            data = take(left)
+            at = np.cumsum(n + length - 1) - (n + length - 1)
+            covered, owner, offset = equal_windows(data, at, n, doc, start, length)
+            s, o, w = runs_of(owner[covered], offset[covered])
+            found.append((doc[s], start[s] + o, start[s] + o + w + length - 1))
+            s, o, w = runs_of(*(x[~covered & (mark[owner] == SHARED)] for x in (owner, offset)))
+            for b, i in split_by(np.searchsorted(splitters, lead[s], side="left")):
+                text = data[spans_inside(at[s[i]] + o[i], w[i] + length - 1)[0]].tobytes()
+                rows.append((b, TEXT, pack(doc[s[i]]), pack(start[s[i]] + o[i]), pack(w[i]), text))
+            s, o = (x[~covered & (mark[owner] == HOT)] for x in (owner, offset))
+            if len(s):
+                where = at[s] + o
+                one, two = (Prefix(c[data]).span(where, where + length) for c in CODES)
+                for b, i in split_by((one % U64(buckets)).astype(I64)):
+                    rows.append((b, PRINTS, pack(doc[s[i]]), pack(start[s[i]] + o[i]), b"", one[i].tobytes() + two[i].tobytes()))
+        doc, start, end = merged(*(np.concatenate([f[i] for f in found]) for i in range(3)))
+        if len(doc):
+            rows.append((texts.column("g")[0].as_py() % buckets, DECIDED, pack(doc), pack(start), pack(end), b""))
+        return table_of(rows, PIECES)
 
     return run
 
 
-def compare_windows(length: int):
+def compare_pieces(length: int):
     """All pieces of a bucket together: covered intervals, by document."""
 
-    def run(batches):
-        rows = {}
-        for batch in batches:
-            for bucket, *r in zip(*(batch.column(c).to_pylist() for c in PIECES.names), strict=True):
-                rows.setdefault(bucket, []).append(r)
-        for bucket in sorted(rows):
-            yield from compare(rows.pop(bucket))
-
-    def compare(rows):
-        doc, start, n = (np.concatenate([np.frombuffer(r[i], I64) for r in rows]) for i in range(3))
-        data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        known = n < 0
-        found = [(doc[known], start[known], start[known] - n[known] + length - 1)]
-        doc, start, n = doc[~known], start[~known], n[~known]
-        if len(doc):
+    def run(table: pa.Table) -> pa.Table:
+        rows = {kind: [] for kind in (DECIDED, TEXT, PRINTS)}
+        for r in zip(*(table.column(c).to_pylist() for c in PIECES.names[1:]), strict=True):
+            rows[r[0]].append(r[1:])
+        doc, start, n = (joined([r[i] for r in rows[DECIDED]]) for i in range(3))
+        found = [(doc, start, n)]
+        if rows[TEXT]:
+            doc, start, n = (joined([r[i] for r in rows[TEXT]]) for i in range(3))
+            data = np.frombuffer(b"".join(r[3] for r in rows[TEXT]), np.uint8)
             size = n + length - 1
-            covered, owner, offset = covered_windows(data, np.cumsum(size) - size, n, doc, start, length)
+            covered, owner, offset = equal_windows(data, np.cumsum(size) - size, n, doc, start, length)
             s, o, w = runs_of(owner[covered], offset[covered])
             found.append((doc[s], start[s] + o, start[s] + o + w + length - 1))
+        if rows[PRINTS]:
+            doc, start = (joined([r[i] for r in rows[PRINTS]]) for i in range(2))
+            one, two = (np.concatenate([words(r[3]).reshape(2, -1)[i] for r in rows[PRINTS]]) for i in range(2))
+            order = np.lexsort((start, doc, two, one))
+            again = order[~changes(one[order], two[order])]
+            found.append((doc[again], start[again], start[again] + length))
         doc, start, end = merged(*(np.concatenate([f[i] for f in found]) for i in range(3)))
-        if len(doc):
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(end)], ["doc_id", "start", "end"])
+        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, end)], schema=COVER)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, hot: int = HOT_GROUPS) -> tuple[DataFrame, DataFrame, int]:
+def repeated_spans(docs: DataFrame, length: int = 100, hot: int = HOT_STRETCHES) -> tuple[DataFrame, DataFrame, int]:
     """(documents dealt to groups, covered intervals ``doc_id, start, end`` in bytes, number of groups).
 
     ``doc_id`` must be unique and not null; a column ``own_id`` goes with the documents.
@@ -284,8 +373,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, hot: int = HOT_GROUPS) ->
         raise ValueError(f"length must be at least {LEAD + 8}")
     size = text_bytes(docs)
     groups = max(1, -(-size // GROUP_BYTES))
-    n_buckets = BUCKETS_PER_PARTITION * max(shuffle_partitions(spark), -(-size // (64 << 20)))
-    dealt = docs.select("doc_id", "text", *[c for c in docs.columns if c == "own_id"], group_of("doc_id", groups).alias("g")).repartition(max(1, min(groups, shuffle_partitions(spark))), "g")
+    parts = max(shuffle_partitions(spark), -(-size // PARTITION_BYTES))
+    n_buckets = BUCKETS_PER_PARTITION * parts
+    dealt = docs.select("doc_id", "text", *[c for c in docs.columns if c == "own_id"], group_of("doc_id", groups).alias("g")).repartition(max(1, min(groups, parts)), "g")
 
     share = min(1.0, SPLITTER_SAMPLE * 35 / max(size, 1))
 
@@ -293,21 +383,17 @@ def repeated_spans(docs: DataFrame, length: int = 100, hot: int = HOT_GROUPS) ->
         for chunk in chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(sampled_suffixes(chunk, length)[1].view(I64))], ["lead"])
 
-    sample = docs.select("text").sample(share, 7).mapInArrow(leads, "lead long").sample(1.0).limit(20 * SPLITTER_SAMPLE).toPandas().lead.to_numpy().view(U64)
+    sample = docs.select("text").sample(share, 7).mapInArrow(leads, "lead long").limit(20 * SPLITTER_SAMPLE).toPandas().lead.to_numpy().view(U64)
     ordered = np.sort(sample)
-    splitters = np.unique(ordered[np.linspace(0, len(ordered) - 1, n_buckets + 1).astype(int)[1:-1]]) if len(ordered) else ordered
+    splitters = ordered[np.linspace(0, len(ordered) - 1, n_buckets + 1).astype(int)[1:-1]] if len(ordered) else ordered
 
-    keys = dealt.groupBy("g").applyInArrow(lambda table: _table(emit_keys(splitters, length)(table.to_batches()), KEYS), ddl(KEYS))
-    shared = keys.repartition("bucket").mapInArrow(shared_keys(hot), ddl(SHARED))
-    pieces = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(emit_pieces(splitters, length), ddl(PIECES))
-    spans = pieces.repartition("bucket").mapInArrow(compare_windows(length), "doc_id long, start long, end long")
+    units = dealt.groupBy("g").applyInArrow(emit_units(splitters, length), ddl(UNITS))
+    marks = units.repartition(parts, "bucket").groupBy("bucket").applyInArrow(mark_units(hot), ddl(MARKS))
+    pieces = dealt.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(emit_pieces(splitters, length), ddl(PIECES))
+    spans = pieces.repartition(parts, "bucket").groupBy("bucket").applyInArrow(compare_pieces(length), ddl(COVER))
     return dealt, spans.withColumn("g", group_of("doc_id", groups)), groups
 
 
-def _table(batches, schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_batches(list(batches), schema)
-
-
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
