@@ -3,7 +3,9 @@
 import hashlib
 import itertools
 import re
+import textwrap
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -259,3 +261,29 @@ def test_oracles_on_a_small_table(spark, corpus, tmp_path):
         want = con.execute(ORACLES[name]).df()[list(rows.columns)]
         key = lambda d: d.astype(object).where(d.notna(), None).astype(str).sort_values("doc_id").reset_index(drop=True)
         assert key(rows).equals(key(want))
+
+
+def _wrapped(text, width):
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in re.split(r"\n\s*\n|\n(?=[A-Z0-9(])", text))
+
+
+def test_whole_licenses_at_any_wrap(spark):
+    """Every listed text with a copyright line, at five widths; published files where this machine has them."""
+    known = [(i, t) for i, t in license_scan.known_licenses() if len(t) > 500]
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    folder = Path("/usr/share/common-licenses")
+    published = [(i, (folder / f).read_text()) for f, i in files.items() if (folder / f).exists()]
+    rows, want = [], []
+    for i, t in known + published:
+        for width in (60, 66, 70, 76, 100):
+            own = "" if (i, t) in published else "Copyright (c) 2021, Some Holder. All rights reserved.\n\n"
+            text = "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_on_hyphens=False) for p in re.split(r"\n\s*\n", t)) if not own else _wrapped(t, width)
+            rows.append((len(rows), own + text)), want.append(i)
+    got = {r["doc_id"]: r["text_license"] for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == want
+
+
+def test_license_rows_with_null_and_repeated_ids(spark):
+    rows = [(None, license_scan._MIT), (1, "x"), (1, license_scan._ISC), (2, license_scan._MIT + "\nand more"), (None, None)]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["text_license"])) for r in got) == [("1", "ISC"), ("1", "None"), ("2", "None"), ("None", "MIT"), ("None", "None")]
