@@ -1,6 +1,7 @@
 """Scans, containment, batches, budgets, vectors: small inputs against plain Python."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -139,14 +140,26 @@ def test_vector_paths_agree(spark, monkeypatch):
     assert plain == blocked and len(plain) == 36
 
 
-def test_spec_score_blocks_agree(spark, monkeypatch):
-    specs = spark.createDataFrame(
-        [("CheckCard", "card limit", "NOK", 1), ("LoadIssuer", "issuer bank card", "refus", 2), ("Other", "rien", "", 3)],
-        "function string, description string, exception string, spec_no bigint",
-    )
-    queries = spark.createDataFrame([(i, q) for i, q in enumerate(["check card limit", "CheckCard", "issuer", "zzz", "bank refus card"])], "query_id int, query string")
-    one = {(r["query_id"], r["function"], r["score"]) for r in retrieval.spec_score_topk(queries, specs).collect()}
-    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 2)
-    many = {(r["query_id"], r["function"], r["score"]) for r in retrieval.spec_score_topk(queries, specs).collect()}
-    assert one == many
-    assert (1, "CheckCard", 30) in one and (0, "CheckCard", 26) in one and not any(q == 3 for q, _, _ in one)
+def test_spec_score_against_all_pairs(spark):
+    rng = random.Random(5)
+    parts = ["card", "limit", "check", "issuer", "bank", "refus", "load", "of", "é"]
+    join = lambda n, sep: sep.join(rng.choice(parts) for _ in range(rng.randint(0, n)))
+    specs = [("CheckCard", "card limit", "NOK", 1), ("LoadIssuer", "issuer bank card", "refus", 2), ("Other", None, "", 3), ("", "card", "x", 4), (None, "issuer check", "bank", 5)]
+    specs += [(join(3, ""), join(4, " "), join(2, " "), n) for n in range(6, 120)]
+    queries = [(i, q) for i, q in enumerate(["check card limit", "CheckCard", "issuer", "zzz", "bank refus card", "card card card card", "", None])]
+    queries += [(i, join(6, " ")) for i in range(10, 60)]
+    want = set()
+    for i, q in queries:
+        scored = []
+        for row in specs:
+            name, text, exc = (None if x is None else x.lower() for x in row[:3])
+            words = [w for w in re.findall(r"\w+", (q or "").lower()) if len(w) > 2]
+            score = sum(10 * (name is not None and w in name) + 3 * (text is not None and w in text) + 2 * (exc is not None and w in exc) for w in words)
+            score += 20 * (q is not None and name is not None and name in q.lower())
+            if score >= 8:
+                scored.append((-score, row[3], row[0]))
+        want |= {(i, f, -s, rank) for rank, (s, _, f) in enumerate(sorted(scored, key=lambda x: x[:2])[:4], 1)}
+    out = retrieval.spec_score_topk(spark.createDataFrame(queries, "query_id int, query string"), spark.createDataFrame(specs, "function string, description string, exception string, spec_no bigint"))
+    one = {(r["query_id"], r["function"], r["score"], r["rank"]) for r in out.collect()}
+    assert one == want
+    assert (1, "CheckCard", 30) in {x[:3] for x in one} and (3, "", 20) in {x[:3] for x in one}

@@ -13,17 +13,15 @@ from tracemill import fixed_values as fv
 from tracemill.functions import chunk_text as ct
 from tracemill.functions import questions as qs
 from tracemill.functions.text import strip
-from tracemill.operators.containment import contains_join, literal_array
+from tracemill.operators.containment import contained, contains_join, literal_array, needle_lists
 from tracemill.operators.ordered import top_per_group
 from tracemill.session import bounded_rows, small, stage
 
 #: Query vectors up to this many travel to every task; more are joined block by block.
 TASK_QUERIES = 4096
 BLOCK_CHUNKS = 100_000
-BLOCK_QUERIES = 256
 #: Codes asked for up to this many are cut out of the texts' words by one literal.
 LITERAL_TOKENS = 2000
-SALT = 64
 
 
 def keyword_search(chunks: DataFrame, terms: DataFrame, limit: int = 5, keys: Sequence[str] = ("term",)) -> DataFrame:
@@ -124,49 +122,65 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, match: Sequence[s
 # --- function specifications -------------------------------------------------
 
 
-def _with_query_blocks(specs: DataFrame, key: str, queries: DataFrame, packed: Column) -> DataFrame:
-    """Specs joined to blocks of at most a few hundred packed queries (``__qs``), evenly spread."""
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    grouped = (
-        queries.withColumn("__blk", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        .groupBy("__blk")
-        .agg(F.collect_list(packed).alias("__qs"))
-    )
-    if blocks == 1:
-        return specs.withColumn("__blk", F.lit(0).cast("bigint")).join(F.broadcast(grouped), "__blk").drop("__blk")
-    salted = grouped.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
-    spread = specs.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALT))).withColumn(
-        "__blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+def _word_points(specs: DataFrame, words: DataFrame) -> DataFrame:
+    """Specs with ``__points``: of each asked word found in them, its points; and a row number ``__spec``."""
+    lists = needle_lists(words)
+    fields = [("function", fv.SPEC_NAME_POINTS), ("description", fv.SPEC_DESCRIPTION_POINTS), ("exception", fv.SPEC_EXCEPTION_POINTS)]
+    found = {f"__{c}": F.coalesce(contained(F.lower(c), lists), F.array().cast("array<string>")) for c, _ in fields}
+
+    def points(w: Column) -> Column:
+        return sum((F.when(F.array_contains(f"__{c}", w), n).otherwise(0) for c, n in fields), F.lit(0))
+
+    hits = F.array_distinct(F.concat(*found))
+    return specs.withColumns(found).select(
+        *specs.columns,
+        F.monotonically_increasing_id().alias("__spec"),
+        F.map_from_entries(F.transform(hits, lambda w: F.struct(w, points(w)))).alias("__points"),
     )
-    return spread.join(salted, ["__blk", "__salt"]).drop("__blk", "__salt")
 
 
 def spec_score_topk(queries: DataFrame, specs: DataFrame, k: int = 4) -> DataFrame:
-    """Best function specs per query text: ``query_id, function, score, rank`` (and the spec columns).
+    """Best function specs per query text: ``query_id, score, rank`` and the spec columns; ``query_id`` is unique.
 
-    Points per query word found in name, description and exception, more when the
-    whole name is in the query; weak matches are left out before anything is shuffled.
+    Points per query word found in name, description and exception, more when the whole name is in the query.  Specs are
+    indexed by the words asked for.  A query's words are ordered from rare to common; the common ones that cannot give the
+    least score together bring no candidates, and a pair is built once, at its rarest word, if its bound reaches that score.
     """
-    packed = F.struct("query_id", F.lower("query").alias("q"), qs.spec_keywords("query").alias("words"))
-    name, text, exc = F.lower("function"), F.lower("description"), F.lower("exception")
-
-    def score(q: Column) -> Column:
-        def add(total: Column, w: Column) -> Column:
-            return (
-                total
-                + F.when(F.contains(name, w), fv.SPEC_NAME_POINTS).otherwise(0)
-                + F.when(F.contains(text, w), fv.SPEC_DESCRIPTION_POINTS).otherwise(0)
-                + F.when(F.contains(exc, w), fv.SPEC_EXCEPTION_POINTS).otherwise(0)
-            )
+    asked = queries.select("query_id", F.lower("query").alias("q"), F.explode(qs.spec_keywords("query")).alias("w"))
+    asked = asked.groupBy("query_id", "q", "w").agg(F.count("*").cast("int").alias("m"))
+    indexed = stage(_word_points(specs, asked.select("w").distinct()), "specs")
+    postings = indexed.select("__spec", "spec_no", "function", "__points", F.explode("__points").alias("w", "points"))
+    bounds = postings.groupBy("w").agg(F.count("*").alias("specs"), F.max("points").alias("most"))
+    ordered = asked.join(small(bounds), "w").groupBy("query_id", "q").agg(
+        F.array_sort(F.collect_list(F.struct("specs", "w", "m", (F.col("m") * F.col("most")).alias("bound")))).alias("ws")
+    )
 
-        words = F.aggregate(q["words"], F.lit(0), add)
-        whole = F.when(F.contains(q["q"], name), fv.SPEC_WHOLE_NAME_POINTS).otherwise(0)
-        return F.struct(q["query_id"].alias("query_id"), (words + whole).alias("score"))
+    def total(words: Column, of) -> Column:
+        return F.aggregate(words, F.lit(0), lambda acc, x: acc + of(x))
 
-    met = _with_query_blocks(specs, "function", queries, packed)
-    scored = F.filter(F.transform("__qs", score), lambda s: s["score"] >= fv.SPEC_MIN_SCORE)
-    hits = met.select(*specs.columns, F.explode(scored).alias("s")).select("s.query_id", "s.score", *specs.columns)
-    return top_per_group(hits, ["query_id"], [F.desc("score"), F.col("spec_no"), F.col("function")], k)
+    rest = total(F.slice("ws", F.col("i") + 2, F.size("ws")), lambda x: x["bound"])
+    words = ordered.select("query_id", "q", "ws", F.posexplode("ws").alias("i", "x")).withColumn("rest", rest)
+    leads = words.filter(F.col("x.bound") + F.col("rest") >= fv.SPEC_MIN_SCORE).select(
+        "query_id", "q", "ws", "rest", F.col("x.w").alias("w"), F.col("x.m").alias("m"), F.transform(F.slice("ws", 1, F.col("i")), lambda x: x["w"]).alias("before")
+    )
+    score = total(F.col("ws"), lambda x: x["m"] * F.coalesce(F.col("__points")[x["w"]], F.lit(0)))
+    name = F.lower("function")
+    by_word = (
+        postings.join(small(leads), "w")
+        .filter(F.col("m") * F.col("points") + F.col("rest") >= fv.SPEC_MIN_SCORE)
+        .filter(~F.arrays_overlap("before", F.map_keys("__points")) & ~F.coalesce(F.contains("q", name), F.lit(False)))
+        .select("query_id", "__spec", "spec_no", "function", score.alias("score"))
+        .filter(F.col("score") >= fv.SPEC_MIN_SCORE)
+    )
+    names = indexed.select("__spec", "spec_no", "function", "__points", name.alias("name"))
+    texts = queries.select("query_id", F.lower("query").alias("q")).filter("q IS NOT NULL").distinct()
+    held = F.array_append(contained(F.col("q"), needle_lists(names.filter("name <> ''").select("name").distinct())), F.lit(""))
+    whole = texts.select("query_id", "q", F.explode(held).alias("name")).join(ordered, ["query_id", "q"], "left").drop("q")
+    by_name = names.join(small(whole), "name").select(
+        "query_id", "__spec", "spec_no", "function", (F.coalesce(score, F.lit(0)) + fv.SPEC_WHOLE_NAME_POINTS).alias("score")
+    )
+    best = top_per_group(by_word.unionByName(by_name), ["query_id"], [F.desc("score"), F.col("spec_no"), F.col("function")], k)
+    return best.drop("spec_no", "function").join(indexed.drop("__points"), "__spec").select("query_id", "score", *specs.columns, "rank")
 
 
 def accept_hits(queries: DataFrame, hits: DataFrame, specs: DataFrame, k: int = 8) -> DataFrame:
