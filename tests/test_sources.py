@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from tracemill.operators.chunkstore import scope
 from tracemill.plans.trace_report import analyze
 from tracemill.sources import documents as sd
@@ -59,6 +61,24 @@ def test_documents(spark):
     assert {r["chunk_id"] for r in scope(store, "A", ["h2"]).collect()} == {1, 2, 3}
 
 
+def test_long_sections_are_parts_and_files(spark, tmp_path):
+    text = {page: "\n".join((["Field 7—Hot"] if page == 0 else []) + [f"ligne {page}/{i} é" for i in range(page % 5)]) for page in range(300)}
+    pages = spark.createDataFrame([("s", p, t) for p, t in text.items()] + [("t", 1, "Field 8—Petit\nfin")], "source string, page bigint, text string")
+    whole = "\n".join(t for t in text.values() if t)
+    rows = sorted((r["part"], r["first_line"], r["line_count"], r["text"]) for r in sd.field_sections(pages, size=64).filter("source = 's'").collect())
+    assert "\n".join(r[3] for r in rows) == whole and [r[1] for r in rows] == list(range(1, whole.count("\n") + 2, 64))
+    assert all(r[2] == r[3].count("\n") + 1 for r in rows) and sd.field_sections(pages).count() == 2
+    lines = sd.field_section_lines(pages).select("source", "section", "page", "i", F.col("line").alias("text"))
+    path = str(tmp_path / "texts")
+    manifest = sinks.write_texts(lines, path, ["source", "section"], ["page", "i"], parts=6)
+    mine = manifest.filter("source = 's'").orderBy("part").collect()
+    assert len(mine) > 3 and sum(r["bytes"] for r in mine) == len(whole.encode()) + 1
+    for a, b in zip(mine, mine[1:]):
+        assert b["first_line"] == a["first_line"] + a["line_count"] and b["first_byte"] == a["first_byte"] + a["bytes"]
+    back = sinks.read_texts(spark, path, spark.createDataFrame([("s",)], "source string").join(lines.select("source", "section").distinct(), "source"), ["source", "section"], ["page", "i"])
+    assert "\n".join(r["text"] for r in back.collect()) == whole
+
+
 MIXED = """
 2025-02-11 08:15:00.000 DEBUG LINK_A| - M.T.I : [0800] echo
 2025-02-11 08:15:00.040 DEBUG LINK_A| FLD (070) : (03) : [301]

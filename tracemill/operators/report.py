@@ -12,8 +12,12 @@ from tracemill.functions import report as rp
 from tracemill.functions.text import strip
 from tracemill.functions.trace_line import mask_pan
 from tracemill.operators.ordered import ordered_distinct, ordered_union, top_per_group
+from tracemill.operators.scan import position_block, ranked
 from tracemill.operators.transactions import TX
 
+#: Lines of a text that one task joins.
+PART_LINES = 10_000
+
 
 def trace_summary(tx: DataFrame, hsm: DataFrame, merged: DataFrame) -> DataFrame:
     """Per file: kept transactions, heartbeats found, HSM calls, distinct commands, alerts.
@@ -158,7 +162,14 @@ def transaction_lines(tx: DataFrame, placed: DataFrame, mode: str = "compact", m
     )
 
 
-def reassemble(lines: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "text") -> DataFrame:
-    """Lines of each group joined back to one text, in order."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text))), lambda x: x[text]), "\n")
-    return lines.groupBy(*keys).agg(body.alias(text), F.count("*").alias("line_count"))
+def reassemble(lines: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "text", size: int = PART_LINES) -> DataFrame:
+    """Lines of each group joined back to text, in order, as parts of at most ``size`` lines: ``part, first_line, line_count``.
+
+    ``part`` counts from 0, ``first_line`` from 1; a group of up to ``size`` lines is one part.  A longer one, of any length,
+    is several rows that different tasks make; its text is that of its parts in order, joined by a line feed.  The first
+    column of ``order`` is a whole number.
+    """
+    placed = ranked(lines.select(*keys, *order, text), keys, order, position_block(order[0]), "__no")
+    placed = placed.withColumn("part", F.floor((F.col("__no") - 1) / size).cast("int"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__no", text))), lambda x: x[text]), "\n")
+    return placed.groupBy(*keys, "part").agg(F.min("__no").alias("first_line"), F.count("*").alias("line_count"), body.alias(text))

@@ -219,19 +219,25 @@ def hsm_doc_origins(spark, sf_dir):
 
 @query(
     "field_sections",
-    """WITH d AS (SELECT source, doc_id AS page, concat('Field ', CAST(doc_id % 128 + 1 AS VARCHAR), '—Nom ', CAST(doc_id AS VARCHAR)) AS header,
-    regexp_split_to_array(replace(replace(text, 'Field', 'F.'), 'field', 'f.'), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\x{2028}\\x{2029}]') AS parts FROM documents)
-SELECT source, page, CAST(page % 128 + 1 AS VARCHAR) AS field_number, concat('Nom ', CAST(page AS VARCHAR)) AS field_name,
-  CAST(1 + len(CASE WHEN parts[-1] = '' THEN parts[1:len(parts) - 1] ELSE parts END) AS BIGINT) AS line_count FROM d""",
+    """WITH d AS (SELECT source, doc_id AS page, CASE WHEN doc_id % 3 = 0 THEN [concat('Field ', CAST(doc_id % 128 + 1 AS VARCHAR), '—Nom ', CAST(doc_id AS VARCHAR))] ELSE [] END AS header,
+    regexp_split_to_array(replace(replace(coalesce(text, ''), 'Field', 'F.'), 'field', 'f.'), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\x{2028}\\x{2029}]') AS parts FROM documents),
+s AS (SELECT source, page, max(CASE WHEN len(header) > 0 THEN page END) OVER (PARTITION BY source ORDER BY page) AS section,
+    list_concat(header, CASE WHEN parts[-1] = '' THEN parts[1:len(parts) - 1] ELSE parts END) AS lines FROM d),
+l AS (SELECT source, section, page, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM s WHERE section IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, section ORDER BY page, i) - 1 AS no FROM l)
+SELECT source, section AS page, CAST(section % 128 + 1 AS VARCHAR) AS field_number, concat('Nom ', CAST(section AS VARCHAR)) AS field_name,
+  CAST(no // 20 AS INTEGER) AS part, min(no) + 1 AS first_line, count(*) AS line_count, md5(string_agg(line, chr(10) ORDER BY no)) AS text_md5
+FROM n GROUP BY source, section, no // 20""",
 )
 def field_sections(spark, sf_dir):
-    """Field sections of every source, each document being one page that opens a section."""
+    """Field sections of every source in parts of 20 lines; every third document is a page that opens a section."""
     docs = table(spark, sf_dir, "documents")
-    header = F.concat(F.lit("Field "), (F.col("doc_id") % 128 + 1).cast("string"), F.lit("—Nom "), F.col("doc_id").cast("string"))
-    body = F.replace(F.replace("text", F.lit("Field"), F.lit("F.")), F.lit("field"), F.lit("f."))
-    pages = docs.select("source", F.col("doc_id").alias("page"), F.concat(header, F.lit("\n"), body).alias("text"))
-    out = sd.field_sections(pages)
-    return out.groupBy("source", "page", "field_number", "field_name").agg(F.sum("line_count").alias("line_count"))
+    header = F.concat(F.lit("Field "), (F.col("doc_id") % 128 + 1).cast("string"), F.lit("—Nom "), F.col("doc_id").cast("string"), F.lit("\n"))
+    body = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("Field"), F.lit("F.")), F.lit("field"), F.lit("f."))
+    head = F.when(F.col("doc_id") % 3 == 0, header).otherwise("")
+    pages = docs.select("source", F.col("doc_id").alias("page"), F.concat(head, body).alias("text"))
+    out = sd.field_sections(pages, size=20)
+    return out.select("source", "page", "field_number", "field_name", "part", "first_line", "line_count", F.md5("text").alias("text_md5"))
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill import fixed_values as fv
 from tracemill.functions.text import blank_to_null, empty_to_null, lines_of, strip
-from tracemill.operators.report import reassemble
+from tracemill.operators.report import PART_LINES, reassemble
 from tracemill.operators.scan import Running, block_scan, position_block
 
 #: Pages per block when sections are followed through a document.
@@ -34,8 +34,11 @@ def field_section_lines(pages: DataFrame, keys: Sequence[str] = ("source",), blo
     return scanned.filter(F.col("section").isNotNull()).drop("__at")
 
 
-def field_sections(pages: DataFrame, keys: Sequence[str] = ("source",), block: int = PAGE_BLOCK) -> DataFrame:
-    """One row per section with its text, number, name and page (see :func:`field_section_lines` for the lines)."""
+def field_sections(pages: DataFrame, keys: Sequence[str] = ("source",), block: int = PAGE_BLOCK, size: int = PART_LINES) -> DataFrame:
+    """Sections with their text, number, name and page; one of more than ``size`` lines is several rows (column ``part``).
+
+    See :func:`field_section_lines` for the lines, :func:`~tracemill.sources.sinks.write_texts` for whole texts in files.
+    """
     keys = list(keys)
     inside = field_section_lines(pages, keys, block)
     heads = inside.filter(F.col("__no").isNotNull()).select(
@@ -43,10 +46,10 @@ def field_sections(pages: DataFrame, keys: Sequence[str] = ("source",), block: i
         "section",
         F.col("__no").alias("field_number"),
         strip(F.regexp_extract("line", fv.FIELD_HEADER, 2)).alias("field_name"),
-        "page",
+        F.col("page").alias("__page"),
     )
-    texts = reassemble(inside.select(*keys, "section", "page", "i", F.col("line").alias("text")), [*keys, "section"], ["page", "i"])
-    return texts.join(heads, [*keys, "section"]).withColumn("attributes", F.lit(""))
+    texts = reassemble(inside.withColumn("text", F.col("line")), [*keys, "section"], ["page", "i"], size=size)
+    return texts.join(heads, [*keys, "section"]).withColumnRenamed("__page", "page").withColumn("attributes", F.lit(""))
 
 
 def normal_type(raw: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.operators.chunkstore import CHUNK_KEY, missing_chunks
@@ -108,6 +108,32 @@ def write_trace_report(lines: DataFrame, path: str) -> None:
     placed.select("file_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("file_id").text(path)
 
 
+def write_texts(lines: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], text: str = "text", parts: int | None = None) -> DataFrame:
+    """Texts given as lines, each text written in order by as many tasks as its size asks for; returns the manifest.
+
+    Lines are sorted by range over ``keys`` and ``order``, so a text may lie in several parts.  The manifest has a row per text
+    and part: ``part, first_line, line_count, first_byte, bytes`` (bytes in UTF-8, with a line feed after every line).
+    """
+    spark = lines.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = lines.select(*keys, *order, text).repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    placed.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{path}/lines")
+    sizes = spark.read.parquet(f"{path}/lines").groupBy(*keys, "part").agg(F.count("*").alias("line_count"), F.sum(F.octet_length(F.coalesce(text, F.lit(""))) + 1).alias("bytes"))
+    # A row per text and part: the window holds the parts of one text, not its lines.
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    manifest = sizes.select(*keys, "part", (total("line_count") + 1).alias("first_line"), "line_count", total("bytes").alias("first_byte"), "bytes")
+    manifest.write.parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def read_texts(spark: SparkSession, path: str, wanted: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Lines of the texts whose keys are in ``wanted``, in order; only parts that the manifest names are read."""
+    named = spark.read.parquet(f"{path}/manifest").join(wanted.select(*keys).distinct(), list(keys), "left_semi").select(*keys, "part")
+    lines = spark.read.parquet(f"{path}/lines").join(named, [*keys, "part"], "left_semi")
+    return lines.drop("part").orderBy(*keys, *order)
+
+
 def append_usage(usage: DataFrame, path: str) -> None:
     usage.write.mode("append").parquet(path)
 
