@@ -1,10 +1,11 @@
 """Toxicity of clauses by a weighted finite-state pattern grammar.
 
-Words are mapped to symbols: insult and threat words (a lexicon learned from labelled rows: whole words, and stems that many
-words share), targets, negations and reporting words (short closed lists).  Small transducers read the symbols of a clause
-from left to right; composed, they leave a clause in one state: what was matched (insult, threat), whether a target stands
-near, and whether a negation or a reporting word governs it.  A text is scored by the clauses that matched, per state, with
-weights learned from the same labels; a word counts only through the clause it stands in.
+Words are mapped to symbols: insults (a lexicon learned from labelled rows: whole words, and stems that many words share),
+threats, targets, negations and reporting words (short closed lists), and all others.  Five small transducers, each a table
+of transitions with outputs, read the symbols of a whole clause: insult, threat, target, negation and reported speech.  They
+are composed into one (:data:`GRAMMAR`).  A clause is accepted if its path ends in a state with an insult among other words,
+or with a threat; whether a target, a negation or a report stood before or after it, at any distance, is part of that state.
+A text is scored by its accepted clauses with weights learned from the same labels; a word alone in its clause scores nothing.
 """
 
 from __future__ import annotations
@@ -24,17 +25,18 @@ LABEL_BOUND = 40_000
 #: Lengths in bytes of the word beginnings that may become stems (0: the whole word).
 STEMS = (0, 4, 5, 6, 7, 8)
 #: A lexicon entry needs this many different contexts in toxic texts, and this log-odds against clean ones.
-MIN_CONTEXTS, MIN_ODDS = 8, 3.0
+#: The contexts grow with half the root of the number of toxic rows.
+MIN_CONTEXTS, MIN_ODDS = 3, 3.0
 #: Toxic texts a word must occur in, and log-odds by texts, before its contexts are looked at.
 MIN_TEXTS, MIN_TEXT_ODDS = 3, 2.0
-#: Clauses end at punctuation; a target counts within this many words, a negation or a report within this many before.
-NEAR, GOVERN = 3, 4
+#: Least weight of aiming, and what a negation or a report takes off at least: labels may refine the grammar, not turn it round.
+AIMED, TURNED = 0.5, 1.0
 
 # Fixed word lists.
 TARGETS = "you your yours u he she they them him her du dich dir ihr euch sie er tu te toi vous il elle ils tú usted ustedes él ella ellos".split()
 NEGATIONS = "not no never isn't aren't nicht kein keine nie niemals pas jamais aucun nunca ni jamás".split()
 REPORTS = "said says say called quoted reported claims claimed wrote sagte sagt nannte schrieb dit disait écrit appelé dijo dice llamó escribió".split()
-THREATS = "kill hurt beat shoot stab burn destroy punish töten umbringen schlagen verletzen tuer frapper brûler blesser matar golpear herir quemar".split()
+THREATS = "kills hurts beats shoots stabs burns destroys punishes tötet tötest bringt schlägt verletzt tue tuera tuerai frappe frappera brûle blesse mata mataré matará golpea hiere quema kill hurt beat shoot stab burn destroy punish töten umbringen schlagen verletzen tuer frapper brûler blesser matar golpear herir quemar".split()
 
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
@@ -42,10 +44,86 @@ WORD[39] = True
 CLAUSE_END = np.zeros(256, bool)
 CLAUSE_END[list(b".!?;:\n")] = True
 U64 = np.uint64
-#: States of the composed grammar: insult or threat, plain or aimed, each free, negated or reported.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+SYMBOLS = 6
+
+
+class Transducer:
+    """States 0 (start) to n - 1; ``step[symbol]`` is the next state of each, ``output`` what a path that ends there says."""
+
+    def __init__(self, step: np.ndarray, output: list[tuple]):
+        self.step, self.output = np.asarray(step, np.uint8), output
+
+    def compose(self, other: Transducer) -> Transducer:
+        """Both read the same symbols; the outputs of a path are joined.  States that no path reaches are left out."""
+        number, todo, step = {(0, 0): 0}, [(0, 0)], []
+        for a, b in todo:
+            row = []
+            for symbol in range(SYMBOLS):
+                pair = int(self.step[symbol, a]), int(other.step[symbol, b])
+                if pair not in number:
+                    number[pair] = len(number)
+                    todo.append(pair)
+                row.append(number[pair])
+            step.append(row)
+        return Transducer(np.array(step).T, [self.output[a] + other.output[b] for a, b in todo])
+
+
+def seen(symbol: int) -> Transducer:
+    """Says whether the symbol stands in the clause."""
+    step = np.tile(np.arange(2), (SYMBOLS, 1))
+    step[symbol] = 1
+    return Transducer(step, [(False,), (True,)])
+
+
+def among_others(symbol: int) -> Transducer:
+    """Says whether the symbol stands in a clause of at least two words: 0 nothing, 1 others, 2 the symbol alone, 3 both."""
+    step = np.tile([1, 1, 3, 3], (SYMBOLS, 1))
+    step[symbol] = [2, 3, 3, 3]
+    return Transducer(step, [(False,), (False,), (False,), (True,)])
+
+
+#: Insult, threat, target, negation and report, composed.
+GRAMMAR = among_others(INSULT).compose(among_others(THREAT)).compose(seen(TARGET)).compose(seen(NEGATION)).compose(seen(REPORT))
+#: Names of accepted states: insult or threat, plain or aimed, each free, negated or reported.
 STATES = [f"{kind}_{aim}_{mood}" for kind in ("insult", "threat") for aim in ("plain", "aimed") for mood in ("free", "negated", "reported")]
 
 
+def accepted(output: tuple) -> int:
+    """Index in ``STATES`` of what a path says, -1 if it is not accepted: a threat only counts with a target."""
+    insult, threat, target, negation, report = output
+    if not insult and not (threat and target):
+        return -1
+    return 6 * (not insult) + 3 * target + (2 if report else 1 if negation else 0)
+
+
+ACCEPT = np.array([accepted(o) for o in GRAMMAR.output])
+
+
+def end_states(symbol: np.ndarray, clause: np.ndarray) -> np.ndarray:
+    """End state of each clause (numbers ``clause`` from 0, sorted).
+
+    A symbol is a map of states; maps of neighbours are composed pairwise, so a clause of any length takes logarithmic time.
+    A symbol right after itself changes nothing once it was read twice, which leaves few to compose.
+    """
+    keep = np.ones(len(symbol), bool)
+    same = (symbol[1:] == symbol[:-1]) & (clause[1:] == clause[:-1])
+    keep[2:] = ~(same[1:] & same[:-1])
+    maps, clause = GRAMMAR.step[symbol[keep]], clause[keep]
+    while True:
+        new = np.ones(len(clause), bool)
+        new[1:] = clause[1:] != clause[:-1]
+        if new.all():
+            return maps[:, 0]
+        first = np.flatnonzero(new)
+        place = np.arange(len(clause)) - first[np.cumsum(new) - 1]
+        left = np.flatnonzero(place % 2 == 0)
+        paired = np.append(~new[1:], False)[left]
+        out = maps[left]
+        out[paired] = np.take_along_axis(maps[left[paired] + 1], out[paired].astype(np.int64), axis=1)
+        maps, clause = out, clause[left]
+
+
 def fingerprint(words: list[str]) -> np.ndarray:
     """Sorted fingerprints of the words of a list."""
     raw = [w.encode() for w in words]
@@ -145,6 +223,7 @@ class Grammar:
         self.closed = {name: fingerprint(words) for name, words in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("threat", THREATS))}
         self.weights = np.zeros(7)
         self.bias = -4.0
+        self.threat = MIN_ODDS
 
     def features(self, chunk: Chunk) -> np.ndarray:
         """(texts, 7 + states): strongest and summed weight of matched clauses, shares by state, length; then which states matched."""
@@ -159,36 +238,23 @@ class Grammar:
             hit = at >= 0
             where = np.flatnonzero(has)[hit]
             weight[where] = np.maximum(weight[where], odds[at[hit]])
-        threat = (found_in(prints, self.closed["threat"]) >= 0)
-        matched = np.flatnonzero((weight > 0) | threat)
-        if not len(matched):
+        symbol = np.zeros(len(text), np.int64)
+        for name, code in (("report", REPORT), ("negation", NEGATION), ("target", TARGET), ("threat", THREAT)):
+            symbol[found_in(prints, self.closed[name]) >= 0] = code
+        symbol[weight > 0] = INSULT
+        marked = np.zeros(clause[-1] + 1, bool)
+        marked[clause[(symbol == INSULT) | (symbol == THREAT)]] = True
+        inside = np.flatnonzero(marked[clause])  # clauses without either are not accepted
+        if not len(inside):
             return out
-        marks = {name: found_in(prints, self.closed[name]) >= 0 for name in ("target", "negation", "report")}
-
-        def near(name, before, after):
-            hit = np.zeros(len(matched), bool)
-            for d in [*range(-before, 0), *range(1, after + 1)]:
-                at = matched + d
-                ok = (at >= 0) & (at < len(text))
-                at = np.where(ok, at, 0)
-                hit |= ok & marks[name][at] & (clause[at] == clause[matched])
-            return hit
-
-        aimed, negated, reported = near("target", NEAR, NEAR), near("negation", GOVERN, 0), near("report", GOVERN, 0)
-        kind = (weight[matched] == 0).astype(int)
-        mood = np.where(reported, 2, np.where(negated, 1, 0))
-        state = kind * 6 + aimed * 3 + mood
-        # A threat word alone is common; it weighs once it is aimed or stands in a clause with an insult.
-        insulting = np.zeros(clause[-1] + 1, bool)
-        insulting[clause[matched[weight[matched] > 0]]] = True
-        worth = np.where(weight[matched] > 0, weight[matched], np.where(aimed | insulting[clause[matched]], 1.0, 0.0))
-        # One clause counts once per state, with its strongest word.
-        key = clause[matched] * len(STATES) + state
-        order = np.lexsort((-worth, key))
-        first = np.ones(len(order), bool)
-        first[1:] = key[order][1:] != key[order][:-1]
-        best = order[first]
-        t, s, w = text[matched[best]], state[best], worth[best]
+        first = inside[np.flatnonzero(np.diff(clause[inside], prepend=-1))]
+        number = np.cumsum(np.diff(clause[inside], prepend=clause[inside[0]]) != 0)
+        state = ACCEPT[end_states(symbol[inside], number)]
+        strongest = np.zeros(len(first))
+        np.maximum.at(strongest, number, weight[inside])
+        # A threat weighs as the middle entry of the lexicon.
+        strongest = np.where(state >= 6, self.threat, strongest)
+        t, s, w = text[first][state >= 0], state[state >= 0], strongest[state >= 0]
         n = chunk.n
         every = np.bincount(t, weights=w, minlength=n)
         np.maximum.at(out[:, 0], t, w)
@@ -203,20 +269,35 @@ class Grammar:
         return 1 / (1 + np.exp(-np.clip(features[:, :7] @ self.weights + self.bias, -30, 30)))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with a small ridge, by Newton steps."""
-    a = np.column_stack([x, np.ones(len(x))])
+def newton(x: np.ndarray, y: np.ndarray, fixed: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression with a small ridge, by Newton steps; weights given in ``fixed`` (else nan) stay as they are."""
+    free = np.isnan(fixed)
+    offset = x[:, ~free] @ fixed[~free]
+    a = np.column_stack([x[:, free], np.ones(len(x))])
     w = np.zeros(a.shape[1])
     ridge = np.full(a.shape[1], 1e-2 * max(len(x), 1) / 100)
     ridge[-1] = 1e-6
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(a @ w + offset, -30, 30)))
         h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge + 1e-9)
         d = np.linalg.solve(h, a.T @ (y - p) - ridge * w)
         w += d
         if np.abs(d).max() < 1e-6:
             break
-    return w[:-1], float(w[-1])
+    out = fixed.copy()
+    out[free] = w[:-1]
+    return out, float(w[-1])
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights with those of aimed, negated and reported clauses at ``AIMED`` and ``TURNED`` at least."""
+    fixed = np.full(x.shape[1], np.nan)
+    while True:
+        w, bias = newton(x, y, fixed)
+        wrong = np.flatnonzero([np.isnan(fixed[2]) and w[2] < AIMED, np.isnan(fixed[3]) and w[3] > -TURNED, np.isnan(fixed[4]) and w[4] > -TURNED])
+        if not len(wrong):
+            return w, bias
+        fixed[2 + wrong] = np.array([AIMED, -TURNED, -TURNED])[wrong]
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND) -> Grammar:
@@ -236,7 +317,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABEL_BOUND) -> Grammar
 
     asked = {int(size): sorted_prints(part)[0] for size, part in telling(text_counts(rows), MIN_TEXTS, MIN_TEXT_ODDS).groupby("stem")}
     if asked:
-        grammar.tables = {int(size): sorted_prints(part) for size, part in telling(context_counts(rows, asked), MIN_CONTEXTS, MIN_ODDS).groupby("stem")}
+        grammar.tables = {int(size): sorted_prints(part) for size, part in telling(context_counts(rows, asked), max(MIN_CONTEXTS, int(0.5 * totals.t**0.5)), MIN_ODDS).groupby("stem")}
+        grammar.threat = float(np.median(np.concatenate([odds for _, odds in grammar.tables.values()]))) if grammar.tables else MIN_ODDS
 
     def measure(batches):
         for chunk in chunks(batches):
