@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import textwrap
 from collections import Counter
@@ -9,11 +10,13 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracemill.llm import chat_format as cf
-from tracemill.llm import decontaminate, html_extract, license_scan, minhash, packing, quality_rules, suffix_dedup, toxicity
+from tracemill.llm import decontaminate, html_extract, language_id, license_scan, minhash, packing, quality_rules, suffix_dedup, toxicity
 from tracemill.llm.language_id import identify, train
+from tracemill.llm.scan import Chunk
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -178,7 +181,6 @@ def test_mixture(spark):
 
 
 def test_viterbi_and_cut_conversations(spark, monkeypatch):
-    rng = np.random.default_rng(2)
     model = cf.Model(Counter({("start", "user"): 5, ("turn", "user", "assistant"): 9, ("turn", "assistant", "user"): 9, ("emit", "length", 3, "user"): 4, ("emit", "length", 7, "assistant"): 4}), ["assistant", "user"])
     rows = [(i, "x" * int(n)) for i, n in enumerate(rng.choice([4, 5, 60, 70], 9))]
 
@@ -287,3 +289,65 @@ def test_license_rows_with_null_and_repeated_ids(spark):
     rows = [(None, license_scan._MIT), (1, "x"), (1, license_scan._ISC), (2, license_scan._MIT + "\nand more"), (None, None)]
     got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), str(r["text_license"])) for r in got) == [("1", "ISC"), ("1", "None"), ("2", "None"), ("None", "MIT"), ("None", "None")]
+
+
+def test_grammar_paths_against_rules():
+    """End states of whole clauses against what stands in them, for clauses of many lengths."""
+    rng = np.random.default_rng(4)
+    clauses = [rng.choice(6, size=int(n), p=[0.5, 0.1, 0.1, 0.1, 0.1, 0.1]) for n in rng.integers(1, 9, 400)] + [rng.integers(0, 6, 3000), np.zeros(2500, int), np.ones(1, int), np.full(5, 2)]
+    clauses += [np.array(c) for n in (1, 2, 3) for c in itertools.product(range(6), repeat=n)]
+    symbol, clause = np.concatenate(clauses), np.repeat(np.arange(len(clauses)), [len(c) for c in clauses])
+    got = toxicity.ACCEPT[toxicity.end_states(symbol, clause)]
+    for c, state in zip(clauses, got, strict=True):
+        insult, threat, target, negation, report = (x in c for x in (toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT))
+        name = "insult" if insult and len(c) > 1 else "threat" if threat and target else None
+        mood = "reported" if report else "negated" if negation else "free"
+        assert (toxicity.STATES[state] if state >= 0 else None) == (name and f"{name}_{'aimed' if target else 'plain'}_{mood}")
+
+
+def test_clause_states(spark):
+    grammar = toxicity.Grammar()
+    grammar.tables = {0: (toxicity.fingerprint(["zukko"]), np.array([5.0]))}
+    x = np.zeros((400, 7))
+    bad = np.arange(400) % 4 == 0
+    x[bad, 0], x[bad, 1] = 5.0, np.log1p(5.0)
+    grammar.weights, grammar.bias = toxicity.fit_weights(x, bad.astype(float))
+    asked = {
+        "zukko": [], "the garden zukko is nice": ["insult_plain_free"], "you are a zukko": ["insult_aimed_free"], "you are not a zukko": ["insult_aimed_negated"],
+        "zukko he is not": ["insult_aimed_negated"], "she wrote in her long and careful letter that he is a zukko": ["insult_aimed_reported"],
+        "he kills you": ["threat_aimed_free"], "I will kill you tomorrow": ["threat_aimed_free"], "kill": [],
+    }
+    out = {r["doc_id"]: r for r in toxicity.toxicity(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), grammar).collect()}
+    assert [out[i]["states"] for i in range(len(asked))] == list(asked.values())
+    lone, plain, aimed, negated, denied, reported, *threats, kill = (out[i]["score"] for i in range(len(asked)))
+    assert lone == kill < 0.1 and aimed > plain > negated and min(aimed, *threats) > 0.3 and reported < aimed and denied < aimed
+
+
+def test_language_sets_by_hand(spark):
+    """EM and the choice of the set against plain loops; four languages in one text."""
+    rng = np.random.default_rng(11)
+    letters = ["abcdef", "ghijkl", "mnopqr", "stuvwx", "yzabgh"]
+    text = lambda lang, n: " ".join("".join(rng.choice(list(letters[lang]), 5)) for _ in range(n))
+    langs, model = train(spark.createDataFrame([(text(x, 400), f"l{x}") for x in range(5)], "text string, lang string"))
+    asked = ["".join(text(x, 60) + " " for x in (0, 1, 2, 3)), text(4, 50), text(1, 40) + " " + text(2, 80)]
+    batch = pa.RecordBatch.from_arrays([pa.array(asked)], ["text"])
+    owner, bins = language_id.trigrams(Chunk(batch, "text"))
+    shares, _ = language_id.mixtures(owner, bins, 3, model)
+    for i in range(3):
+        mine = bins[owner == i]
+        like = [[sum(float(model[b, j]) for b in mine[k : k + language_id.STRETCH]) for j in range(5)] for k in range(0, len(mine), language_id.STRETCH)]
+        total = [sum(x[j] for x in like) for j in range(5)]
+        like = [[math.exp(x - max(row)) for x in row] for row in like]
+        share = [0.2] * 5
+        for _ in range(language_id.ROUNDS):
+            weighed = [[s * x for s, x in zip(share, row, strict=True)] for row in like]
+            share = [max(sum(w[j] / sum(w) for w in weighed) / len(like), 1e-12) for j in range(5)]
+        order = sorted(range(5), key=lambda j: -share[j])
+        best = (-math.inf, None)
+        for k in range(1, 6):
+            inside = {total.index(max(total)): 1.0} if k == 1 else {j: share[j] / sum(share[x] for x in order[:k]) for j in order[:k]}
+            fit = sum(math.log(max(sum(s * row[j] for j, s in inside.items()), 1e-300)) for row in like) - language_id.PENALTY * k * math.log1p(len(like))
+            best = max(best, (fit, inside), key=lambda x: x[0])
+        assert {j for j in range(5) if shares[i, j] > 0} == set(best[1])
+        assert all(abs(shares[i, j] - s) < 1e-4 for j, s in best[1].items())
+    assert [set(np.flatnonzero(shares[i])) for i in range(3)] == [{0, 1, 2, 3}, {4}, {1, 2}]

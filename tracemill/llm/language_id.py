@@ -3,7 +3,8 @@
 Trigrams of bytes (letters lower-cased, everything else one blank) are hashed into ``GRAMS`` bins; their counts per language
 come from all training rows by partial aggregation, so the model is a table of ``GRAMS`` numbers per language.  A text is cut
 into stretches of ``STRETCH`` trigrams.  Expectation-maximisation over the stretches estimates each language's share; among
-the sets of the 1, 2, 3 strongest languages the one with the best likelihood less a penalty per language is chosen.
+the sets of the 1, 2, 3, ... strongest languages, up to all, the one with the best likelihood less a penalty per language is
+chosen.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from tracemill.llm.scan import Chunk, chunks
 GRAMS = 1 << 16
 STRETCH = 24
 ROUNDS = 8
-SET_LIMIT = 3
 PENALTY = 4.0
 
 LETTER = np.zeros(256, bool)
@@ -97,7 +97,7 @@ def mixtures(owner: np.ndarray, bins: np.ndarray, n: int, model: np.ndarray):
     # With one language the strongest is that of the whole text.
     best = np.argmax(total, axis=1)
     chosen, value = np.zeros((n, width)), np.full(n, -np.inf)
-    for k in range(1, min(SET_LIMIT, width) + 1):
+    for k in range(1, width + 1):
         inside = np.zeros((n, width))
         if k == 1:
             inside[np.arange(n), best] = 1
