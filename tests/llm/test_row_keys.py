@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import words
-from tracemill.llm import decontaminate, suffix_dedup
+from tracemill.llm import decontaminate, minhash, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -71,3 +71,15 @@ def test_leaks_by_row_in_several_blocks(spark, texts, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 500)
     assert Counter(map(str, decontaminate.decontaminate(_docs(spark, rows), bench).select(columns).collect())) == one and sum(one.values()) == len(rows)
     assert kept == Counter(r for r in rows if r[1] not in (texts[2], texts[4]))
+
+
+def test_classes_of_rows_with_null_and_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (1, b), (2, b), (3, a), (None, a), (None, ""), (4, "c d e")]
+    out = minhash.minhash_dedup(_docs(spark, rows)).collect()
+    groups = {}
+    for r in out:
+        groups.setdefault(r["class_id"], []).append((r["doc_id"], r["kept"]))
+    members = sorted(sorted(str(d) for d, _ in g) for g in groups.values())
+    assert members == [["1", "2"], ["1", "3", "None"], ["4"], ["None"]]
+    assert all(sum(k for _, k in g) == 1 for g in groups.values())

@@ -246,12 +246,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def minhash_dedup(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, class_id, n_shingles``: documents linked, directly or over others, by a similarity of at least ``least``.
+    """``doc_id, class_id, n_shingles, kept``: documents linked, directly or over others, by a similarity of at least ``least``.
 
-    ``class_id`` is the smallest ``doc_id`` of the class.  Words are those of decontamination; a text of one to four words
-    is one shingle; texts without words (null, empty) stay alone.  ``doc_id`` must be an integer, unique and not null.
+    ``class_id`` is the smallest ``doc_id`` of the class, whose row is ``kept``.  Where ids repeat or are null, every row is a
+    document of its own and ``class_id`` the number of the class's first row in the order of the ids (null last).  Words are
+    those of decontamination; a text of one to four words is one shingle; texts without words (null, empty) stay alone.
     Only ``doc_id`` and ``text`` are read; an empty table gives an empty result.
     """
+    rows, plain = with_key(docs.select("doc_id", "text"), "_row")
+    found = _classes(rows.select(F.col("_row").alias("doc_id"), "text"), least, size).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    if plain:
+        return found
+    own = rows.select("_row", F.col("doc_id").cast("long").alias("own_id"))
+    return found.join(own, F.col("doc_id") == F.col("_row")).select(F.col("own_id").alias("doc_id"), "class_id", "n_shingles", "kept")
+
+
+def _classes(docs: DataFrame, least: float, size: int = SHINGLE) -> DataFrame:
+    """``doc_id, class_id, n_shingles`` for ids that are unique and not null."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = write_stage(texts.mapInArrow(signatures(size), SIGNATURE), "signatures")
     bag_key = ["n", "d1", "d2"]
@@ -304,10 +315,10 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of each class, that with the smallest id (null last); all columns of ``docs``.  Ids may repeat or be null."""
     key, name = fresh(docs, "_row"), fresh(docs, "_kept")
     rows, _ = with_key(docs, key)
-    kept = minhash_dedup(rows.select(F.col(key).alias("doc_id"), "text"), least).filter("doc_id = class_id").select(F.col("doc_id").alias(name))
+    kept = _classes(rows.select(F.col(key).alias("doc_id"), "text"), least).filter("doc_id = class_id").select(F.col("doc_id").alias(name))
     return rows.join(kept.hint("merge"), F.col(key) == F.col(name), "left_semi").select(docs.columns)
 
 
 @query("op7_minhash_dedup")
 def op7(spark, sf_dir):
-    return minhash_dedup(read(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return minhash_dedup(read(spark, sf_dir, "documents"))
