@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,58 +54,66 @@ def split_spans(text: str, size: int, overlap: int, separators: Sequence[str] =
     The text is cut at the first separator it contains (the separator stays at the
     head of what follows), neighbouring parts are packed up to ``size`` with up to
     ``overlap`` characters repeated, and a part that is itself too long is cut again
-    with the remaining separators.  Works on positions, so parts are never copied.
+    with the remaining separators.  Works on positions found one after the other: besides
+    the pieces, only the parts of one window are held.
     """
     out: list[str] = []
 
-    def emit(window: deque) -> None:
-        piece = text[window[0][0] : window[-1][1]].strip()
+    def emit(lo: int, hi: int) -> None:
+        piece = text[lo:hi].strip()
         if piece:
             out.append(piece)
 
-    def pack(parts: list[tuple[int, int]]) -> None:
-        window: deque[tuple[int, int]] = deque()
-        held = 0
-        for start, end in parts:
-            width = end - start
-            if window and held + width > size:
-                emit(window)
-                while window and (held > overlap or held + width > size):
-                    a, b = window.popleft()
-                    held -= b - a
-            window.append((start, end))
-            held += width
-        if window:
-            emit(window)
+    def parts(lo: int, hi: int, sep: str) -> Iterator[tuple[int, int]]:
+        if not sep:
+            yield from zip(range(lo, hi), range(lo + 1, hi + 1))
+            return
+        at = text.find(sep, lo, hi)
+        while at >= 0:
+            if at > lo:
+                yield lo, at
+            lo, at = at, text.find(sep, at + len(sep), hi)
+        if hi > lo:
+            yield lo, hi
+
+    def slide(lo: int, hi: int) -> None:
+        """What packing single characters comes to: windows at even steps."""
+        step = size - max(0, min(overlap, size - 1))
+        while lo + size < hi:
+            emit(lo, lo + size)
+            lo += step
+        emit(lo, hi)
 
     def cut(lo: int, hi: int, level: int) -> None:
         while level < len(separators) - 1 and separators[level] and text.find(separators[level], lo, hi) < 0:
             level += 1
         sep = separators[level]
-        if sep:
-            marks = [lo]
-            at = text.find(sep, lo, hi)
-            while at >= 0:
-                marks.append(at)
-                at = text.find(sep, at + len(sep), hi)
-            marks.append(hi)
-        else:
-            marks = list(range(lo, hi + 1))
-        parts = [(a, b) for a, b in zip(marks, marks[1:]) if b > a]
-        ready: list[tuple[int, int]] = []
-        for a, b in parts:
-            if b - a < size or (not sep and b - a <= size):
-                ready.append((a, b))
+        if not sep and size > 0:
+            slide(lo, hi)
+            return
+        window: deque[tuple[int, int]] = deque()
+        held = 0
+        for a, b in parts(lo, hi, sep):
+            width = b - a
+            if width < size:
+                if window and held + width > size:
+                    emit(window[0][0], window[-1][1])
+                    while window and (held > overlap or held + width > size):
+                        start, end = window.popleft()
+                        held -= end - start
+                window.append((a, b))
+                held += width
                 continue
-            if ready:
-                pack(ready)
-                ready = []
+            if window:
+                emit(window[0][0], window[-1][1])
+                window.clear()
+                held = 0
             if level + 1 < len(separators):
                 cut(a, b, level + 1)
             else:
                 out.append(text[a:b])
-        if ready:
-            pack(ready)
+        if window:
+            emit(window[0][0], window[-1][1])
 
     if text:
         cut(0, len(text), 0)

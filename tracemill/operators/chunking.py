@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,9 @@ from tracemill.functions.text import blank_to_null
 from tracemill.operators.scan import BLOCK, Running, block_scan, position_block, ranked
 from tracemill.session import stage
 
+#: Characters of pieces that a splitting task gathers before it hands them on.
+SPLIT_CHARS = 1 << 20
+
 
 def scanned_documents(pages: DataFrame, min_ratio: float = fv.MIN_TEXT_RATIO, max_pages: int = fv.MAX_PAGES) -> DataFrame:
     """Documents that cannot be indexed: too many pages, or too few pages with text."""
@@ -69,18 +73,28 @@ def split_text(
     separators: Sequence[str] = fv.SEPARATORS,
     out: str = "pieces",
 ) -> DataFrame:
-    """Add ``pieces``, the recursive split of each row's text (narrow, Arrow batches, no shuffle)."""
+    """Add ``pieces``, the recursive split of each row's text (narrow, Arrow batches, no shuffle).
+
+    A task holds one batch of texts and the pieces of about ``SPLIT_CHARS`` characters.
+    """
     schema = T.StructType(
         [f for f in documents.schema.fields if f.name != text] + [T.StructField(out, T.ArrayType(T.StringType()))]
     )
-    separators = tuple(separators)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pieces = [ct.split_spans(t or "", size, overlap, separators) for t in pdf[text]]
-            yield pdf.drop(columns=[text]).assign(**{out: pieces})
-
-    return documents.mapInPandas(run, schema)
+    separators, rest = tuple(separators), [c for c in documents.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, first, pieces, held = batch.column(text), 0, [], 0
+            for i in range(len(texts)):
+                pieces.append(ct.split_spans(texts[i].as_py() or "", size, overlap, separators))
+                held += sum(map(len, pieces[-1]))
+                if held >= SPLIT_CHARS or i + 1 == len(texts):
+                    rows = batch.slice(first, len(pieces))
+                    columns = [*(rows.column(c) for c in rest), pa.array(pieces, pa.list_(pa.string()))]
+                    first, pieces, held = i + 1, [], 0
+                    yield pa.RecordBatch.from_arrays(columns, [*rest, out])
+
+    return documents.mapInArrow(run, schema)
 
 
 def number_chunks(split: DataFrame, keys: Sequence[str], place: str = "place", block: int = BLOCK) -> DataFrame:
