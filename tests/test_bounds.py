@@ -2,6 +2,9 @@
 
 import tracemalloc
 
+from pyspark.sql import functions as F
+
+from tracemill.functions import payload as pl
 from tracemill.functions.chunk_text import split_spans
 from tracemill.operators import chunking as ck
 
@@ -19,3 +22,12 @@ def test_windows_hold_no_part_per_character(spark, monkeypatch):
     rows = [(1, "aaaa bbbb cccc"), (None, None), (3, ""), (4, "dd"), (5, "eeee ffff")]
     split = ck.split_text(spark.createDataFrame(rows, "n bigint, text string").coalesce(1), size=5, overlap=0, separators=(" ", ""))
     assert [(r["n"], r["pieces"]) for r in split.collect()] == [(1, ["aaaa", "bbbb", "cccc"]), (None, []), (3, []), (4, ["dd"]), (5, ["eeee", "ffff"])]
+
+
+def test_items_beyond_the_cut_are_not_written(spark, monkeypatch):
+    spaced = pl.spaced_json
+    monkeypatch.setattr(pl, "spaced_json", lambda c: F.when(F.contains(c, F.lit("far")), F.raise_error(F.lit("written"))).otherwise(spaced(c)))
+    rows = ['[{"b":1,"a":[1,2]}, 1E2, "longer, than: it", 7, "far"]', "[]", "[1] x]", '{"a":1}', "[1,2", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    cut = [r[0] for r in df.orderBy("i").select(pl.cut_json_array("t", F.lit(30))).collect()]
+    assert cut == ['[{"a": [1, 2], "b": 1}, 100]', "[]", "[1]", None, None, None]

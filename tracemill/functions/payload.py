@@ -45,19 +45,28 @@ def spaced_json(compact: Column) -> Column:
 
 
 def cut_json_array(text: Column | str, cap: Column) -> Column:
-    """The longest prefix of a JSON array whose text stays within ``cap`` characters; null for anything else."""
-    parts = F.from_json(F.to_json(F.try_parse_json(col(text))), "array<variant>")
-    items = F.transform(parts, lambda v: spaced_json(F.to_json(v)))
+    """The longest prefix of a JSON array whose text stays within ``cap`` characters; null for anything else.
+
+    Items are written as text up to the first that does not fit, and no further.
+    """
+    parts = F.try_variant_get(F.try_parse_json(col(text)), "$", "array<variant>")
+    # Read and written twice: only then do all spellings of a number end as one.
+    written = lambda v: spaced_json(F.to_json(F.try_parse_json(F.to_json(v))))
     # Brackets and the separators between items: two characters more for every item.
     start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"), F.lit(True).alias("open"))
 
     def add(acc, item):
-        size = acc["size"] + F.length(item) + 2
-        fits = acc["open"] & (size <= cap)
-        return F.struct(F.when(fits, size).otherwise(acc["size"]).alias("size"), (acc["n"] + fits.cast("int")).alias("n"), fits.alias("open"))
+        # A one-element array names the new size, which is then found once per item and not for every use.
+        size = F.array(F.when(acc["open"], acc["size"] + F.length(written(item)) + 2))
+
+        def after(s):
+            fits = F.coalesce(s <= cap, F.lit(False))
+            return F.struct(F.when(fits, s).otherwise(acc["size"]).alias("size"), (acc["n"] + fits.cast("int")).alias("n"), fits.alias("open"))
+
+        return F.get(F.transform(size, after), F.lit(0))
 
-    held = F.aggregate(items, start, add, lambda acc: acc["n"])
-    return F.concat(F.lit("["), F.array_join(F.slice(items, F.lit(1), held), ", "), F.lit("]"))
+    held = F.aggregate(parts, start, add, lambda acc: acc["n"])
+    return F.concat(F.lit("["), F.array_join(F.transform(F.slice(parts, F.lit(1), held), written), ", "), F.lit("]"))
 
 
 def cut_json_object(text: Column | str, cap: Column) -> Column:

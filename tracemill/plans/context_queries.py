@@ -119,9 +119,9 @@ FROM c LEFT JOIN r ON r.l_suppkey = c.l_suppkey AND (c.cut IS NULL OR r.size <=
 )
 def payload_fit_json(spark, sf_dir):
     """A JSON array per supplier fitted to 2,000 tokens; what is cut stays JSON."""
-    element = F.format_string('{"l": %d, "o": %d, "t": "a, b: c"}', "l_linenumber", "l_orderkey")
-    items = table(spark, sf_dir, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", element.alias("el")).alias("e"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["el"]), ", ")
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber").alias("e"))
+    element = lambda e: F.format_string('{"l": %d, "o": %d, "t": "a, b: c"}', e["l_linenumber"], e["l_orderkey"])
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("e")), element), ", ")
     parts = items.groupBy("l_suppkey").agg(F.concat(F.lit("["), body, F.lit("]")).alias("body"))
     fitted = cx.fit_payload(parts, ["body"], 2000)
     held = F.size(F.from_json("body", "array<struct<l: int, o: bigint>>")).cast("bigint")
