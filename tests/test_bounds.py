@@ -2,11 +2,13 @@
 
 import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracemill.functions import payload as pl
 from tracemill.functions.chunk_text import split_spans
 from tracemill.operators import chunking as ck
+from tracemill.operators import containment as ct
 
 
 def test_windows_hold_no_part_per_character(spark, monkeypatch):
@@ -31,3 +33,25 @@ def test_items_beyond_the_cut_are_not_written(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
     cut = [r[0] for r in df.orderBy("i").select(pl.cut_json_array("t", F.lit(30))).collect()]
     assert cut == ['[{"a": [1, 2], "b": 1}, 100]', "[]", "[1]", None, None, None]
+
+
+def test_one_automaton_in_a_worker(spark, monkeypatch):
+    words = [f"{a}{b}word{c}" for a in "abc" for b in "xyz" for c in range(4)]
+    texts = spark.createDataFrame([(i, f"{w} and {words[-1]}") for i, w in enumerate(words)] + [(99, None)], "i int, t string")
+    needles = spark.createDataFrame([(w,) for w in words], "needle string")
+    whole = sorted((r["i"], r["needle"]) for r in ct.contains_join(texts, "t", needles, "needle").collect())
+    monkeypatch.setattr(ct, "AUTOMATON_BYTES", 1500)
+    lists = ct.needle_lists(needles)
+    assert len(lists) > 4 and [w for n in lists for w in n.held.value.to_pylist()] == sorted(words)
+    assert sorted((r["i"], r["needle"]) for r in ct.contains_join(texts, "t", needles, "needle").collect()) == whole
+
+    def walk(batches):
+        for batch in batches:
+            for needles_part in lists:
+                ct._automaton(needles_part)
+                yield pa.RecordBatch.from_pydict({"held": [len(ct._BUILT)]})
+
+    assert {r["held"] for r in texts.select("i").mapInArrow(walk, "held bigint").collect()} == {1}
+    found = texts.coalesce(1).select("i", ct.contained(F.col("t"), lists).alias("f")).collect()
+    assert all(r["f"] == sorted({words[r["i"]], words[-1]}) for r in found if r["i"] < 99)
+    assert [r["f"] for r in found if r["i"] == 99] == [None]
