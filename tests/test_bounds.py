@@ -9,6 +9,8 @@ from tracemill.functions import payload as pl
 from tracemill.functions.chunk_text import split_spans
 from tracemill.operators import chunking as ck
 from tracemill.operators import containment as ct
+from tracemill.operators import transactions as tr
+from tracemill.session import stage
 
 
 def test_windows_hold_no_part_per_character(spark, monkeypatch):
@@ -55,3 +57,11 @@ def test_one_automaton_in_a_worker(spark, monkeypatch):
     found = texts.coalesce(1).select("i", ct.contained(F.col("t"), lists).alias("f")).collect()
     assert all(r["f"] == sorted({words[r["i"]], words[-1]}) for r in found if r["i"] < 99)
     assert [r["f"] for r in found if r["i"] == 99] == [None]
+
+
+def test_segments_of_all_lines_are_not_broadcast(spark):
+    lines = stage(spark.range(40).selectExpr("'F' AS file_id", "id AS line_no", "id DIV 7 AS seg"), "lines")
+    rows = lines.filter("line_no % 3 = 0").select("file_id", "line_no").unionByName(lines.filter("line_no = 3").select("file_id", "line_no"))
+    moved = tr.in_segments(rows, lines)
+    assert sorted((r["line_no"], r["seg"]) for r in moved.collect()) == sorted([(i, i // 7) for i in range(0, 40, 3)] + [(3, 0)])
+    assert "Broadcast" not in moved._jdf.queryExecution().executedPlan().toString()

@@ -103,8 +103,11 @@ def segments(facts: DataFrame, responses: bool = False, block: int = BLOCK) -> D
 
 
 def in_segments(rows: DataFrame, segmented: DataFrame) -> DataFrame:
-    """Add ``seg`` to rows of lines (``file_id, line_no``): only what was found in a line is moved to its segment."""
-    return rows.join(segmented.select("file_id", "line_no", "seg"), ["file_id", "line_no"])
+    """Add ``seg`` to rows of lines (``file_id, line_no``): only what was found in a line is moved to its segment.
+
+    The segments of all lines pack so well in files that Spark would broadcast them; both sides are shuffled instead.
+    """
+    return rows.join(segmented.select("file_id", "line_no", "seg").hint("merge"), ["file_id", "line_no"])
 
 
 def response_pairs(segmented: DataFrame) -> DataFrame:
